@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import exact_dedup, mixing
+from quillon.llm import exact_dedup, minhash, mixing
 from quillon.session import table
 
 
@@ -16,5 +16,9 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op4_mix_sources": op4_mix_sources}
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op4_mix_sources": op4_mix_sources, "op7_minhash": op7_minhash}
 SQL = {"op3_exact_dedup": exact_dedup.SQL}
