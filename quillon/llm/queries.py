@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import exact_dedup, minhash, mixing
+from quillon.llm import bpe, exact_dedup, minhash, mixing
 from quillon.session import table
 
 
@@ -20,5 +20,9 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op4_mix_sources": op4_mix_sources, "op7_minhash": op7_minhash}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op4_mix_sources": op4_mix_sources, "op7_minhash": op7_minhash, "op10_bpe": op10_bpe}
 SQL = {"op3_exact_dedup": exact_dedup.SQL}
