@@ -35,7 +35,8 @@ def exact_dedup(docs: DataFrame, max_blocks: int = bloom.MAX_BLOCKS) -> DataFram
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
     maybe = probed.filter("_maybe").drop("_maybe")
-    groups = maybe.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # Written first: a join of two plain shuffles is one that Spark can split where a group is large.
+    groups = materialize(maybe.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "exact-groups")
     repeated = maybe.join(groups, "text_sha256").select(
         "doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256"
     )
