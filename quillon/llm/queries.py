@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, exact_dedup, minhash, mixing
+from quillon.llm import bpe, exact_dedup, langid, minhash, mixing, secret_scan
 from quillon.session import table
 
 
@@ -16,6 +16,14 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -24,5 +32,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op4_mix_sources": op4_mix_sources, "op7_minhash": op7_minhash, "op10_bpe": op10_bpe}
+QUERIES = {
+    "op3_exact_dedup": op3_exact_dedup,
+    "op4_mix_sources": op4_mix_sources,
+    "op5_language_id": op5_language_id,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_minhash": op7_minhash,
+    "op10_bpe": op10_bpe,
+}
 SQL = {"op3_exact_dedup": exact_dedup.SQL}
