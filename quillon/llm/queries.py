@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, exact_dedup, langid, minhash, mixing, secret_scan
+from quillon.llm import bpe, exact_dedup, langid, minhash, mixing, secret_scan, toxicity
 from quillon.session import table
 
 
@@ -28,6 +28,10 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_secret_scan": op6_secret_scan,
     "op7_minhash": op7_minhash,
+    "op8_toxicity": op8_toxicity,
     "op10_bpe": op10_bpe,
 }
 SQL = {"op3_exact_dedup": exact_dedup.SQL}
