@@ -5,15 +5,15 @@
    parity map, in which the population count of two maps' XOR tells how many values
    differ.
 2. Texts with the same set form a class; only its least id goes on.
-3. Of the classes that share a band key, the least is compared with each of the others.
-   Pairs whose XOR count excludes the wanted similarity at five and a half standard
-   deviations go; the others are verified on their full sets.
-4. Links give components. Classes of one band key that are still in different components
-   are compared across components, most similar first, until no pair that the sketches
-   allow is left unverified between two components.
+3. Each class is tested with the least class that shares a band key with it: pairs whose
+   XOR count excludes the wanted similarity at five and a half standard deviations go, the
+   others are verified on their full sets. Links give components.
+4. Band keys whose classes are still in different components tie these into clusters. Within
+   a cluster all pairs across components are compared, in squares of bounded blocks: first
+   the sketches, then the full sets, most similar first. Only links leave a task.
 
-So no group is expanded into all its pairs, and no link between two components is passed
-over. Two texts of similarity 0.8 share no band with probability 5e-8.
+So no group is expanded into rows for its pairs, and no link between two components is
+passed over. Two texts of similarity 0.8 share no band with probability 5e-8.
 
 Defined results: null, empty and blank texts have no shingle, link to nothing and are
 their own component; fewer words than a shingle make one shingle of the whole; repeated
@@ -28,7 +28,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.llm import bloom
@@ -154,17 +153,24 @@ def _sets(k: int):
     return run
 
 
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.sort(np.concatenate((x, y)))
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    shared = _shared(x, y)
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column("sa"), batch.column("sb")
-            linked = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = np.frombuffer(left[i].as_buffer(), U), np.frombuffer(right[i].as_buffer(), U)
-                both = np.sort(np.concatenate((x, y)))
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                linked[i] = 100 * shared >= percent * (len(x) + len(y) - shared)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked)], names=["a", "b", "linked"])
+            sets = [[np.frombuffer(v.as_buffer(), U) for v in batch.column(c)] for c in ("sa", "sb")]
+            linked = pa.array([_alike(x, y, percent) for x, y in zip(*sets, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["u", "v"]).filter(linked)
 
     return run
 
@@ -173,54 +179,84 @@ def _xor(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(4)), F.lit(0))
 
 
-def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b, linked) of pairs (a, b) of doc_ids, on the full shingle sets of the two texts."""
-    pairs = materialize(pairs.select("a", "b"), "near-pairs")
-    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "near-ids")
-    some = bloom.only_known(docs.select("doc_id", "text"), "doc_id", ids, ids.count())
-    texts = some.join(ids, "doc_id", "left_semi")
-    sets = materialize(texts.mapInArrow(_sets(k), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "near-sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    return materialize(both.mapInArrow(_confirm(percent), "a long, b long, linked boolean"), "near-verified")
+def _compare_blocks(percent: int, bound: int):
+    """All pairs of two blocks that are in different components, most similar first; a link
+    joins two components, so that pairs within them need no look any more."""
+
+    def run(table):
+        blocks, ids = table.column("block").to_numpy(), table.column("doc_id").to_numpy()
+        comps = table.column("component").to_numpy()
+        sketch = np.stack([table.column(f"s{i}").to_numpy() for i in range(4)], axis=1).view(U)
+        sets = [np.frombuffer(v.as_buffer(), U) for v in table.column("shingles")]
+        low, high = int(table.column("bi")[0].as_py()), int(table.column("bj")[0].as_py())
+        left, right = np.flatnonzero(blocks == low), np.flatnonzero(blocks == high)
+        found = []
+        for i, j in enumerate(left):  # a row of the square at a time
+            others = right[right > j] if low == high else right
+            others = others[comps[others] != comps[j]]
+            bits = np.bitwise_count(sketch[others] ^ sketch[j]).sum(axis=1).astype(np.int64)
+            ok = bits <= bound
+            found.append(np.stack((bits[ok], np.full(int(ok.sum()), j), others[ok])))
+        tests = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+        tests = tests[:, np.argsort(tests[0], kind="stable")]
+        head = {c: c for c in set(comps.tolist())}
+
+        def top(c):
+            while head[c] != c:
+                head[c] = head[head[c]]
+                c = head[c]
+            return c
+
+        links = []
+        for _, i, j in tests.T.tolist():
+            a, b = top(int(comps[i])), top(int(comps[j]))
+            if a != b and _alike(sets[i], sets[j], percent):
+                head[max(a, b)] = min(a, b)
+                links.append((int(ids[i]), int(ids[j])))
+        return pa.table({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([x for _, x in links], pa.int64())})
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select("doc_id", "text")
+    bound = xor_bound(percent)
     signed = materialize(docs.mapInArrow(_sign(k), SIGNED), "near-signed")
     keys = ["k1", "k2", "n_shingles"]
-    classes = materialize(signed.filter("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_n")), "near-classes")
+    classes = materialize(signed.filter("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep")), "near-classes")
     reps = signed.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
     reps = materialize(reps.select("doc_id", "bands", "s0", "s1", "s2", "s3"), "near-reps")
 
     banded = reps.select("doc_id", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("doc_id").alias("leader")).filter("_n > 1")
-    shared = materialize(shared, "near-keys")
+    # Written, so that the join is of two plain shuffles: Spark splits those where a key is frequent.
+    shared = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("doc_id").alias("leader")).filter("_n > 1"), "near-keys")
     members = materialize(banded.join(shared.select("key", "leader"), "key"), "near-members")
-
-    sketches = reps.select("doc_id", F.struct("s0", "s1", "s2", "s3").alias("s"))
-    bound = xor_bound(percent)
-    pairs = members.filter("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    pairs = pairs.join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b").filter(_xor("x", "y") <= bound)
-    tested = verify(pairs, docs, k, percent)
-    links = tested.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    ids = materialize(members.select("doc_id").distinct(), "near-ids")
+    some = bloom.only_known(docs, "doc_id", ids, ids.count()).join(ids, "doc_id", "left_semi")
+    sets = materialize(some.mapInArrow(_sets(k), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "near-sets")
+
+    # One test each: with the least leader of the keys.
+    sketch = reps.select("doc_id", F.struct("s0", "s1", "s2", "s3").alias("s"))
+    pairs = members.groupBy("doc_id").agg(F.min("leader").alias("a")).filter("a <> doc_id").select("a", F.col("doc_id").alias("b"))
+    pairs = pairs.join(sketch.toDF("a", "x"), "a").join(sketch.toDF("b", "y"), "b").filter(_xor("x", "y") <= bound)
+    pairs = materialize(pairs.select("a", "b"), "near-pairs")
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    links = materialize(both.mapInArrow(_confirm(percent), "u long, v long"), "near-links")
     parts = materialize(components(links), "near-parts")
 
-    depth = 4
-    while True:
-        rest = across(members, parts, sketches, bound)
-        rest = rest.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        # The most similar pairs of each two components first; a link makes the others needless.
-        more = verify(_closest(rest, depth), docs, k, percent)
-        if more.isEmpty():
-            break
-        tested = tested.unionByName(more)
-        found = more.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        if not found.isEmpty():
-            stars = parts.select(F.col("node").alias("u"), F.col("component").alias("v"))
-            parts = materialize(components(stars.union(found)), "near-parts")
-        depth *= 8
+    # Keys whose members are still in different components tie these into clusters.
+    placed = members.join(parts, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    placed = materialize(placed, "near-placed")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last")).filter("first <> last").select("key", "first")
+    mixed = materialize(mixed, "near-mixed")
+    ties = materialize(placed.join(mixed, "key").select("doc_id", "component", "first"), "near-ties")
+    clusters = components(ties.select(F.col("component").alias("u"), F.col("first").alias("v")))
+    open_ = ties.select("doc_id", "component").distinct().join(clusters.toDF("component", "cluster"), "component")
+    open_ = open_.join(reps.drop("bands"), "doc_id").join(sets, "doc_id")
+    more = _by_blocks(materialize(open_, "near-open"), percent, bound)
+    stars = parts.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    parts = materialize(components(stars.union(more)), "near-parts")
 
     heads = classes.join(parts, F.col("rep") == F.col("node"), "left").select(*keys, F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", *keys).join(heads, keys, "left")
@@ -228,23 +264,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
-def across(members: DataFrame, parts: DataFrame, sketches: DataFrame, bound: int) -> DataFrame:
-    """Pairs of one band key but different components that the sketches allow: ca, cb, a, b, xor."""
-    placed = members.join(parts, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo <> _hi").select("key")
-    mixed = materialize(mixed, "near-mixed")
-    open_ = materialize(placed.join(mixed, "key").join(sketches, "doc_id"), "near-open")
-    left, right = open_.alias("l"), open_.alias("r")
-    where = (F.col("l.key") == F.col("r.key")) & (F.col("l.doc_id") < F.col("r.doc_id")) & (F.col("l.c") != F.col("r.c")) & (_xor("l.s", "r.s") <= bound)
-    pair = left.join(right, where).select(
-        F.least("l.c", "r.c").alias("ca"), F.greatest("l.c", "r.c").alias("cb"), F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b"), _xor("l.s", "r.s").alias("xor")
-    )
-    return pair.distinct()
+#: A block holds about so many documents and bytes of shingle sets at most.
+BLOCK_DOCS, BLOCK_BYTES = 512, 4 << 20
 
 
-def _closest(pairs: DataFrame, depth: int) -> DataFrame:
-    rank = F.row_number().over(W.partitionBy("ca", "cb").orderBy("xor", "a", "b"))
-    return pairs.withColumn("_rank", rank).filter(F.col("_rank") <= depth).select("a", "b")
+def _by_blocks(docs: DataFrame, percent: int, bound: int) -> DataFrame:
+    """Links between components within each cluster, found in squares of bounded blocks."""
+    sizes = docs.groupBy("cluster").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_BYTES)).cast("int").alias("blocks")
+    )
+    cut = docs.join(materialize(sizes, "near-clusters"), "cluster")
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")}).drop("other", "blocks")
+    return materialize(dealt.groupBy("cluster", "bi", "bj").applyInArrow(_compare_blocks(percent, bound), "u long, v long"), "near-more")
 
 
 def survivors(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
