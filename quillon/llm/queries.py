@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, exact_dedup, langid, minhash, mixing, secret_scan, toxicity
+from quillon.llm import bpe, exact_dedup, langid, minhash, mixing, secret_scan, sentence_spans, suffix_dedup, topk, toxicity
 from quillon.session import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_report(table(spark, sf_dir, "documents"))
+
+
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -32,17 +40,24 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.report(sentence_spans.dedup(table(spark, sf_dir, "documents")))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_top_k": op2_top_k,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op5_language_id": op5_language_id,
     "op6_secret_scan": op6_secret_scan,
     "op7_minhash": op7_minhash,
     "op8_toxicity": op8_toxicity,
+    "op9_sentence_spans": op9_sentence_spans,
     "op10_bpe": op10_bpe,
 }
-SQL = {"op3_exact_dedup": exact_dedup.SQL}
+SQL = {"op2_top_k": topk.SQL, "op3_exact_dedup": exact_dedup.SQL}
