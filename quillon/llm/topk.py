@@ -32,9 +32,9 @@ from quillon.session import materialize
 
 SCALE = 1024
 #: Components in a block, quantised impacts of a dimension, queries in a broadcast.
-BLOCK, LEVELS, QUERY_BLOCK = 1 << 20, 32, 4096
+BLOCK, LEVELS, QUERY_BLOCK = 1 << 19, 32, 4096
 #: Shares of the postings after which the bounds are looked at.
-ROUNDS = (0.3, 0.45, 0.6, 0.8, 1.0)
+ROUNDS = (0.2, 0.3, 0.4, 0.5, 0.65, 0.8, 1.0)
 
 INDEX = "ids binary, codes binary, dims int, rows int, postings binary, segments binary"
 
@@ -118,7 +118,8 @@ class Block:
         self.dim, self.low, self.high, self.begin, self.end = np.frombuffer(row["segments"], np.int64).reshape(-1, 5).T
         own = np.arange(row["dims"]).repeat(row["rows"])
         self.values = self.codes[self.postings, own].astype(np.float64)
-        self.least_few = max(64, row["rows"] // 50)
+        self.first = np.searchsorted(self.dim, np.arange(row["dims"] + 1))
+        self.least_few, self.enough = max(64, row["rows"] // 20), ROUNDS[0]
 
     def members(self, query: np.ndarray, query_id: int, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(rows, exact scores) among which are all of the block's rows in the query's top k.
@@ -131,32 +132,30 @@ class Block:
         bound = np.where(q[self.dim] >= 0, q[self.dim] * self.high, q[self.dim] * self.low).astype(np.float64)
         order = np.argsort(-bound, kind="stable")
         size = np.cumsum((self.end - self.begin)[order])
-        weight = q.astype(np.float64)
         slack = 1e-9 * (np.abs(bound).sum() + 1)
         other = self.ids != query_id
-        done, score, seen = 0, np.zeros(rows), []
-        for share in ROUNDS:
+        used = np.flatnonzero(q).tolist()
+        for share in [x for x in ROUNDS if x >= self.enough]:
             stop = int(np.searchsorted(size, share * size[-1])) + 1 if len(size) else 0
-            part = order[done:stop]
-            done = max(done, stop)
-            if len(part):
-                rows_of = np.concatenate([self.postings[a:b] for a, b in zip(self.begin[part].tolist(), self.end[part].tolist(), strict=True)])
-                value = np.concatenate([self.values[a:b] for a, b in zip(self.begin[part].tolist(), self.end[part].tolist(), strict=True)])
-                of = np.repeat(self.dim[part], (self.end - self.begin)[part])
-                score += np.bincount(rows_of, value * weight[of], rows)
-                seen.append((rows_of, of))
+            left = order[stop:]
             rest = np.zeros(dims)
-            left = order[done:]
             rest[self.dim[left][::-1]] = bound[left][::-1]  # of a dimension's segments left, the first in order
-            upper = score + rest.sum() + slack
-            for rows_of, of in seen:
-                upper -= np.bincount(rows_of, rest[of], rows)
+            # What was seen of a dimension is one end of its postings: the high one for a positive weight.
+            seen = np.bincount(self.dim[order[:stop]], minlength=dims)
+            upper = np.full(rows, rest.sum() + slack)
+            for d in used:
+                if seen[d]:
+                    a, b = (self.first[d + 1] - seen[d], self.first[d + 1] - 1) if q[d] > 0 else (self.first[d], self.first[d] + seen[d] - 1)
+                    a, b = self.begin[a], self.end[b]
+                    upper[self.postings[a:b]] += self.values[a:b] * float(q[d]) - rest[d]
             best = np.argpartition(-np.where(other, upper, -np.inf), min(k, rows) - 1)[:k]
             exact = np.sort(self.codes[best[other[best]]] @ q)[::-1]
             least = max([x for x in (floor, int(exact[k - 1]) if len(exact) >= k else None) if x is not None], default=None)
             few = np.flatnonzero(other & (upper >= least)) if least is not None else np.flatnonzero(other)
             if len(few) <= self.least_few:
                 break
+        # The next query begins where this one ended, or a step before that.
+        self.enough = ROUNDS[max(0, ROUNDS.index(share) - (len(few) <= self.least_few // 4))]
         return few, self.codes[few] @ q
 
 
