@@ -1,10 +1,9 @@
 """Substring dedup on sentences: every run of several consecutive sentences, hashed and joined globally.
 
-A sentence ends after ``.``, ``!`` or ``?`` (and closing quotes) before white space, and at
-line ends. From each sentence starts the run of the fewest sentences, ``RUN`` at least, that
+A sentence ends with a word that ends in ``.``, ``!`` or ``?`` (closing quotes or brackets may
+follow), and at line ends. From each sentence starts the run of the fewest sentences, ``RUN`` at least, that
 has ``LEAST_WORDS`` words; so runs are set by their own text, and a passage gives the same
-runs wherever it stands. Runs compare by their sentences with case folded (A-Z) and white
-space collapsed. Of equal runs the first, by doc_id and then by place, stays; every sentence
+runs wherever it stands. Runs compare by their words, A-Z as a-z. Of equal runs the first, by doc_id and then by place, stays; every sentence
 that any other covers goes.
 
 Runs are counted with map-side sums, so that a frequent run is one row per task; only runs
@@ -17,8 +16,6 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,54 +24,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import bloom
-from quillon.llm.kernels import U, mix64
+from quillon.llm.kernels import U, folded_byte_values, mix64, powers, prefix_hash, range_hash, slices, text_buffers, words
 from quillon.session import materialize
 
 RUN, LEAST_WORDS = 2, 12
-_SENTENCE = re.compile(r"[^\s].*?(?:[.!?]+[\"'”’)\]]*(?=\s|$)|(?=\n)|$)")
-
-
-def sentences(text: str) -> list[tuple[int, int]]:
-    """(start, end) of each sentence, in code points; white space between them belongs to none."""
-    return [m.span() for m in _SENTENCE.finditer(text)]
-
-
-def _hash(sentence: str) -> tuple[int, int]:
-    """(64-bit hash, words)."""
-    words = sentence.lower().split()
-    return int.from_bytes(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"), len(words)
-
-
-def runs(text: str, run: int = RUN, least_words: int = LEAST_WORDS) -> list[tuple[int, int, int]]:
-    """(hash, first sentence, one past the last) of each full run."""
-    spans = sentences(text)
-    if len(spans) < run:
-        return []
-    hashed, words = zip(*(_hash(text[a:b]) for a, b in spans), strict=True)
-    upto = np.concatenate(([0], np.cumsum(words)))
-    first = np.arange(len(spans))
-    end = np.maximum(np.searchsorted(upto, upto[:-1] + least_words), first + run)
-    full = np.flatnonzero(end <= len(spans))
-    one = np.array(hashed, U)
-    out = []
-    for i in full.tolist():
-        j = int(end[i])
-        key = mix64(np.add.reduce(mix64(one[i:j] + np.arange(1, j - i + 1, dtype=U) * U(0x9E3779B97F4A7C15)), keepdims=True))
-        out.append((int(key.view(np.int64)[0]), i, j))
-    return out
+_STOPS, _CLOSING = np.frombuffer(b".!?", np.uint8), np.frombuffer(b"\"')]", np.uint8)
+
+
+def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a slice: (word starts, word ends, each sentence's first word, each sentence's document)."""
+    starts, ends = words(data, offsets[:-1])
+    if not len(starts):
+        return starts, ends, starts, starts
+    doc = np.searchsorted(offsets, starts, side="right") - 1
+    lines = np.concatenate(([0], np.cumsum(data == 10)))
+    last = data[ends - 1]
+    for back in (2, 3):  # a stop may stand before closing quotes or brackets
+        last = np.where(np.isin(last, _CLOSING), data[np.maximum(ends - back, starts)], last)
+    over = np.isin(last, _STOPS)[:-1] | (lines[starts[1:]] > lines[ends[:-1]]) | (doc[1:] != doc[:-1])
+    first = np.concatenate(([0], np.flatnonzero(over) + 1))
+    return starts, ends, first, doc[first]
+
+
+def runs(data: np.ndarray, offsets: np.ndarray, run: int = RUN, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, ...]:
+    """Of a slice's full runs: (document, hash, first sentence and one past the last in the document, seen before in it)."""
+    starts, ends, first, doc = sentences(data, offsets)
+    n = len(first)
+    if n == 0:
+        return (*(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, bool))
+    upto = np.append(first, len(starts))
+    place = np.arange(n)
+    end = np.maximum(np.searchsorted(upto, first + least_words), place + run)
+    full = np.flatnonzero(end <= np.searchsorted(doc, doc, side="right"))
+    hashed = range_hash(prefix_hash(data, folded_byte_values()), starts, ends)
+    total = np.zeros(len(hashed) + 1, U)
+    np.cumsum(hashed * powers(len(hashed)), out=total[1:])
+    end, base = end[full], np.searchsorted(doc, doc[full])
+    key = mix64((total[upto[end]] - total[first[full]]) * powers(len(total), inverse=True)[first[full]]).view(np.int64)
+    own = doc[full]
+    order = np.lexsort((full, key, own))
+    again = np.zeros(len(full), bool)
+    again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (own[order[1:]] == own[order[:-1]])
+    return own, key, full - base, end - base, again
 
 
 def _emit(run: int, least_words: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, t, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                seen: set[int] = set()
-                for key, a, b in runs(text or "", run, least_words):
-                    rows.append((doc, t, key, a, b, key in seen))
-                    seen.add(key)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["doc_id", "t", "key", "a", "b", "again"])
+            data, offsets = text_buffers(batch.column(2))
+            for lo, hi in slices(offsets):
+                part = offsets[lo : hi + 1]
+                doc, key, a, b, again = runs(data[part[0] : part[-1]], part - part[0], run, least_words)
+                at = pa.array(doc + lo)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(key), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(again)],
+                    names=["doc_id", "t", "key", "a", "b", "again"],
+                )
 
     return work
 
@@ -90,19 +95,18 @@ def repeated_sentences(docs: DataFrame, run: int = RUN, least_words: int = LEAST
     return later.groupBy("doc_id", "t").agg(F.collect_set(F.struct(F.col("a").alias("s"), F.col("b").alias("e"))).alias("spans"))
 
 
-def _cut(text: str, spans: list[dict]) -> tuple[list[tuple[int, int]], str, int]:
-    """(removed sentence ranges as maximal runs, kept text, number of sentences)."""
-    own = sentences(text)
-    gone = np.zeros(len(own) + 1, bool)
+def _cut(raw: bytes, begin: np.ndarray, spans: list[dict]) -> tuple[list[tuple[int, int]], bytes]:
+    """(removed sentence ranges as maximal runs, kept bytes); ``begin``: where each sentence starts."""
+    gone = np.zeros(len(begin) + 1, bool)
     for s in spans:
         gone[s["s"] : s["e"]] = True
     edge = np.diff(np.concatenate(([False], gone)).astype(np.int8))
     ranges = list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
     kept, at = [], 0
     for a, b in ranges:
-        kept.append(text[at : own[a][0]])
-        at = own[b][0] if b < len(own) else len(text)
-    return ranges, "".join([*kept, text[at:]]), len(own)
+        kept.append(raw[at : begin[a]])
+        at = int(begin[b]) if b < len(begin) else len(raw)
+    return ranges, b"".join([*kept, raw[at:]])
 
 
 def dedup(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -118,12 +122,21 @@ def dedup(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> Da
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                ranges, kept, n = _cut(text or "", spans or [])
-                rows.append((doc, n, sum(b - a for a, b in ranges), ",".join(f"{a}:{b}" for a, b in ranges), kept))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["doc_id", "n_sentences", "n_removed", "removed", "kept_text"])
+            data, offsets = text_buffers(batch.column(1))
+            spans = batch.column(2).to_pylist()
+            for lo, hi in slices(offsets):
+                part = offsets[lo : hi + 1] - offsets[lo]
+                own = data[offsets[lo] : offsets[hi]]
+                starts, _, first, doc = sentences(own, part)
+                raw, begin = own.tobytes(), starts[first]
+                at = np.searchsorted(doc, np.arange(hi - lo + 1))
+                rows = []
+                for i in range(hi - lo):
+                    text, n = raw[part[i] : part[i + 1]], int(at[i + 1] - at[i])
+                    ranges, kept = _cut(text, begin[at[i] : at[i + 1]] - part[i], spans[lo + i]) if spans[lo + i] else ([], text)
+                    rows.append((n, sum(b - a for a, b in ranges), ",".join(f"{a}:{b}" for a, b in ranges), kept.decode()))
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], names=["doc_id", "n_sentences", "n_removed", "removed", "kept_text"])
 
     return joined.unionByName(rest).mapInArrow(work, "doc_id long, n_sentences long, n_removed long, removed string, kept_text string")
 
