@@ -130,7 +130,7 @@ def fold_openings(rows: DataFrame, keys: list[str]) -> DataFrame:
     """
     place = F.struct(F.col("tier"), F.col("value").isNull().alias("none"), (-F.col("value")).alias("value"), F.col("posting_id"))
     folded = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(place)).alias("all"))
-    return folded.select(*keys, F.element_at("all", 1)["posting_id"].alias("posting_id"), F.transform(F.slice("all", 2, 2**31 - 1), lambda x: x["posting_id"]).alias("other_openings"))
+    return folded.select(*keys, F.element_at("all", 1)["posting_id"].alias("posting_id"), F.transform(F.slice("all", F.lit(2), F.size("all")), lambda x: x["posting_id"]).alias("other_openings"))
 
 
 def page(rows: DataFrame, by: list[Column], limit: int, offset: int = 0) -> DataFrame:

@@ -93,9 +93,9 @@ def _scored(spark, sf, rows=None):
 _PARTS = ("s_pay", "s_recency", "s_deadline", "s_location", "s_prestige", "composite")
 
 
-@query(f"WITH {A.POSTINGS}, {A.SIGHTINGS}, {A.SIGNALS}, {A.SCORED} SELECT posting_id, round(hourly, 6) AS hourly, {', '.join(f'round({p}, 6) AS {p}' for p in _PARTS)} FROM scored WHERE expired_at IS NULL")
+@query(f"WITH {A.POSTINGS}, {A.SIGHTINGS}, {A.SIGNALS}, {A.SCORED} SELECT posting_id, {', '.join(f'round({p}, 6) AS {p}' for p in _PARTS)} FROM scored WHERE expired_at IS NULL")
 def pj8_scores(spark, sf):
-    return _scored(spark, sf).select("posting_id", F.round("hourly", 6).alias("hourly"), *[F.round(p, 6).alias(p) for p in _PARTS])
+    return _scored(spark, sf).select("posting_id", *[F.round(p, 6).alias(p) for p in _PARTS])
 
 
 _AXIS = {
