@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -31,7 +32,7 @@ def _similarity(a: str, b: str) -> float:
     return 1.0 - edit_distance(a, b) / most if most else 1.0
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """1 - distance / length of the longer; 1 for two empty strings; null with null."""
     known: dict[tuple, float] = {}

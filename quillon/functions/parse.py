@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType, TimestampNTZType
 
 _NUMBER = r"(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)\s*([kK])?"
 _RANGE = re.compile(_NUMBER + r"\s*(?:-|–|—|~|to|and)?\s*(?:[A-Z]{3}\s*)?(?:[a-zA-Z]{0,2}[$€£])?\s*(?:" + _NUMBER + ")?")
@@ -48,7 +49,7 @@ def parse_pay_text(text: str | None) -> tuple | None:
     return low, high, currency, period
 
 
-@pandas_udf("min double, max double, currency string, period string")
+@pandas_udf(StructType([StructField("min", DoubleType()), StructField("max", DoubleType()), StructField("currency", StringType()), StructField("period", StringType())]))
 def parse_pay(text: pd.Series) -> pd.DataFrame:
     rows = [parse_pay_text(t) or (None, None, None, None) for t in text]
     return pd.DataFrame(rows, columns=["min", "max", "currency", "period"])
@@ -140,6 +141,6 @@ def _dates(years: list, month: int, day_of_month: int, after: datetime) -> list[
     return out
 
 
-@pandas_udf("timestamp_ntz")
+@pandas_udf(TimestampNTZType())
 def deadline(text: pd.Series, received: pd.Series) -> pd.Series:
     return pd.Series([find_deadline(t, None if pd.isna(r) else pd.Timestamp(r).to_pydatetime()) for t, r in zip(text, received, strict=True)], dtype="datetime64[us]")

@@ -17,9 +17,9 @@ def by_identity(rows: DataFrame, targets: DataFrame, keys: list[str], row_id: st
     """
     found = None
     for i, key in enumerate(keys):
-        hit = rows.select(row_id, key).join(targets.select(target_id, key), key).select(row_id, target_id, F.lit(i).alias("by"))
+        hit = rows.select(row_id, key).join(targets.select(target_id, key), key).select(row_id, target_id, F.lit(i).alias("nth_key"))
         found = hit if found is None else found.unionByName(hit)
-    return found.groupBy(row_id).agg(F.min(F.struct("by", target_id)).alias("m")).select(row_id, f"m.{target_id}", "m.by")
+    return found.groupBy(row_id).agg(F.min(F.struct("nth_key", target_id)).alias("m")).select(row_id, f"m.{target_id}", "m.nth_key")
 
 
 def mentions(texts: DataFrame, text_id: str, text: str, names: DataFrame, name: str) -> DataFrame:
