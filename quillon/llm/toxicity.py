@@ -8,7 +8,8 @@ letters), kept where their count among positive rows stands out (|z| >= 4) and w
 by their smoothed log-count ratio; the models are logistic regressions on these.
 
 The models are fitted on a bounded sample of labelled rows (``SAMPLE``, least hash of the
-doc_id first); all texts are scored whole. The decision threshold is the one of best F1 on
+doc_id first). Which features stand out is counted in Spark, over the sample and without each
+fold, so that the driver gets no other; all texts are scored whole. The decision threshold is the one of best F1 on
 the out-of-fold predictions.
 
 Defined results: a null or empty text has no feature and gets the model's base rate, which
@@ -28,11 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from quillon.session import materialize
+
 SAMPLE = 20_000
 FOLDS = 4
 DIMENSIONS = 1 << 20
 STEMS = (3, 4, 5, 6)
 LEAST_ROWS, LEAST_Z, SMOOTHING = 5, 4.0, 5.0
+#: Features of one model at most, those of largest |z|: bounds the model and its fit on the driver.
+MOST_FEATURES = 2_000
 #: Categories in chain order, as SQL over the columns of ``labels``.
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
 _WORD = re.compile(r"[^\W\d_]+")
@@ -44,10 +49,16 @@ def word_features(word: str) -> tuple[int, ...]:
     return tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) % DIMENSIONS for x in (word, *stems))
 
 
-def text_features(text: str | None) -> np.ndarray:
+def text_features(text: str | None, known: dict[str, tuple[int, ...]]) -> np.ndarray:
+    """``known``: the caller's memo of words, cleared when it is large."""
     found: set[int] = set()
+    if len(known) >= _KEPT_WORDS:
+        known.clear()
     for word in set(_WORD.findall((text or "").lower())):
-        found.update(word_features(word))
+        own = known.get(word)
+        if own is None:
+            own = known[word] = word_features(word)
+        found.update(own)
     return np.sort(np.fromiter(found, np.int32, len(found)))
 
 
@@ -102,17 +113,25 @@ def fit_linear(rows: Rows, y: np.ndarray, earlier: np.ndarray, steps: int = 150,
     expected = count * base
     z = (c1 - expected) / np.sqrt(np.maximum(expected * (1 - base), 1e-9))
     chosen = np.flatnonzero((count >= LEAST_ROWS) & (np.abs(z) >= LEAST_Z))
+    if len(chosen) > MOST_FEATURES:
+        chosen = np.sort(chosen[np.argsort(-np.abs(z[chosen]), kind="stable")[:MOST_FEATURES]])
     ratio = np.log((c1[chosen] + SMOOTHING * base) / pos / ((count[chosen] - c1[chosen] + SMOOTHING * (1 - base)) / (n - pos)))
     place = np.full(DIMENSIONS, -1)
     place[chosen] = np.arange(len(chosen))
     column = place[rows.flat]
     row, column = owner[column >= 0], column[column >= 0]
-    value = ratio[column]
+    # Sums by row and by feature over entries in order of each.
+    starts = np.flatnonzero(np.diff(row, prepend=-1))
+    filled, order = row[starts], np.argsort(column, kind="stable")
+    of_feature, begin = row[order], np.searchsorted(column[order], np.arange(len(chosen)))
     w, e, b = np.zeros(len(chosen)), np.zeros(earlier.shape[1]), none.bias
     gw, ge, gb = np.full(len(w), 1e-8), np.full(len(e), 1e-8), 1e-8
     for _ in range(steps):  # full-batch Adagrad
-        error = (_sigmoid(np.bincount(row, w[column] * value, n) + earlier @ e + b) - y) / n
-        dw = np.bincount(column, error[row] * value, len(w)) + decay * w / n
+        total = earlier @ e + b
+        if len(chosen):
+            total[filled] += np.add.reduceat((w * ratio)[column], starts)
+        error = (_sigmoid(total) - y) / n
+        dw = (np.add.reduceat(error[of_feature], begin) * ratio if len(chosen) else w) + decay * w / n
         de, db = error @ earlier, error.sum()
         gw += dw * dw
         ge += de * de
@@ -138,10 +157,9 @@ class Chain:
         return {f: tuple(w) for f, w in found.items()}, self.models
 
 
-def fit_chain(rows: Rows, labels: np.ndarray, names: list[str], folds: int = FOLDS) -> Chain:
-    """labels: a row per text, a column per category; NaN where unknown."""
+def fit_chain(rows: Rows, labels: np.ndarray, names: list[str], fold: np.ndarray, folds: int = FOLDS) -> Chain:
+    """labels: a row per text, a column per category; NaN where unknown. fold: each text's."""
     n = len(labels)
-    fold = np.arange(n) % folds
     earlier, models = np.zeros((n, 0)), []
     for c in range(len(names)):
         known = ~np.isnan(labels[:, c])
@@ -177,22 +195,55 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, categories:
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
 
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
+    labelled = [F.col(f"_y{i}") for i in range(len(names))]
+
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, ...]] = {}
+        for batch in batches:
+            yield _with_lists(batch, [text_features(t, known) for t in batch.column("text").to_pylist()])
+
+    schema = "doc_id long, fold int, " + ", ".join(f"_y{i} double" for i in range(len(names))) + ", features array<int>"
+    rows = materialize(texts.select("doc_id", fold, *labelled, "text").mapInArrow(features, schema), "toxicity-rows")
+    chosen = docs.sparkSession.sparkContext.broadcast(_telling(rows, len(names)))
+
+    def only_chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [text_features(t) for t in batch.column("text").to_pylist()]
-            at = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
-            flat = np.concatenate(found) if found else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(batch.column(f"_y{i}") for i in range(len(names))), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
-                names=["doc_id", *(f"_y{i}" for i in range(len(names))), "features"],
-            )
-
-    schema = "doc_id long, " + ", ".join(f"_y{i} double" for i in range(len(names))) + ", features array<int>"
-    got = texts.mapInArrow(features, schema).toArrow().sort_by("doc_id").combine_chunks()
+            lists = [np.array(x, np.int32) for x in batch.column("features").to_pylist()]
+            yield _with_lists(batch, [x[np.isin(x, chosen.value)] for x in lists])
+
+    got = rows.mapInArrow(only_chosen, schema).toArrow().sort_by("doc_id").combine_chunks()
     lists = got.column("features").combine_chunks()
-    rows = Rows(lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))) if got.num_rows else Rows(np.zeros(0, np.int32), np.zeros(1, np.int64))
+    sparse = Rows(lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))) if got.num_rows else Rows(np.zeros(0, np.int32), np.zeros(1, np.int64))
     y = np.column_stack([got.column(f"_y{i}").to_numpy() for i in range(len(names))])
-    return fit_chain(rows, y, names)
+    return fit_chain(sparse, y, names, got.column("fold").to_numpy())
+
+
+def _with_lists(batch: pa.RecordBatch, lists: list[np.ndarray]) -> pa.RecordBatch:
+    """The batch with its last column replaced by ``features``."""
+    at = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
+    flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
+    kept = batch.schema.names[:-1]
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(at), pa.array(flat.astype(np.int32)))], names=[*kept, "features"])
+
+
+def _telling(rows: DataFrame, categories: int) -> np.ndarray:
+    """Features that stand out in any category, over all rows or without any one fold; no fit can choose another."""
+    ones = lambda of: [F.count(F.lit(1)).alias("n"), *(F.sum(f"_y{c}").alias(f"p{c}") for c in range(categories))] if of is None else [F.count_if(F.col("fold") == of).alias(f"n_{of}"), *(F.sum(F.when(F.col("fold") == of, F.col(f"_y{c}"))).alias(f"p{c}_{of}") for c in range(categories))]
+    parts = [a for of in (None, *range(FOLDS)) for a in ones(of)]
+    all_ = {k: v or 0 for k, v in rows.agg(*parts).first().asDict().items()}
+    counts = rows.select("fold", *[f"_y{c}" for c in range(categories)], F.explode("features").alias("f")).groupBy("f").agg(*parts)
+    out = F.lit(False)
+    for of in (None, *range(FOLDS)):
+        less = lambda name: F.col(name) - F.coalesce(F.col(f"{name}_{of}"), F.lit(0)) if of is not None else F.col(name)  # noqa: B023, E731
+        n = all_["n"] - (all_[f"n_{of}"] if of is not None else 0)
+        for c in range(categories):
+            p = all_[f"p{c}"] - (all_[f"p{c}_{of}"] if of is not None else 0)
+            base = min(max(p / max(1, n), 1e-4), 1 - 1e-4)
+            expected = less("n") * base
+            z = (less(f"p{c}") - expected) / F.sqrt(F.greatest(expected * (1 - base), F.lit(1e-9)))
+            out = out | ((less("n") >= LEAST_ROWS) & (F.abs(z) >= LEAST_Z - 1e-6))
+    return np.sort(counts.filter(out).select("f").toArrow().column(0).to_numpy().astype(np.int32))
 
 
 def scorer(chain: Chain):
