@@ -77,24 +77,33 @@ class Linear:
 
 @dataclass
 class Rows:
-    """Sparse presence rows: the features of row i are flat[at[i]:at[i + 1]]."""
+    """Sparse presence rows: the features of row i are flat[at[i]:at[i + 1]], each under ``dims``."""
 
     flat: np.ndarray
     at: np.ndarray
+    dims: int
 
     @property
     def owner(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
+        return np.repeat(np.arange(len(self.at) - 1, dtype=np.int32), np.diff(self.at))
+
+    def parts(self, rows: int = 1000) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(first row, one past the last, their features), a bounded part at a time."""
+        for i in range(0, len(self.at) - 1, rows):
+            j = min(i + rows, len(self.at) - 1)
+            yield i, j, self.flat[self.at[i] : self.at[j]]
 
     def sums(self, model: Linear) -> np.ndarray:
-        dense = np.zeros(DIMENSIONS)
+        dense, out = np.zeros(self.dims), np.zeros(len(self.at) - 1)
         dense[model.features] = model.weights
-        return np.bincount(self.owner, dense[self.flat], len(self.at) - 1)
+        for i, j, flat in self.parts():
+            out[i:j] = np.bincount(np.repeat(np.arange(j - i), np.diff(self.at[i : j + 1])), dense[flat], j - i)
+        return out
 
     def take(self, rows: np.ndarray) -> "Rows":
         sizes = np.diff(self.at)[rows]
         flat = np.concatenate([self.flat[self.at[i] : self.at[i + 1]] for i in rows]) if len(rows) else self.flat[:0]
-        return Rows(flat, np.concatenate(([0], np.cumsum(sizes))))
+        return Rows(flat, np.concatenate(([0], np.cumsum(sizes))), self.dims)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -107,31 +116,33 @@ def fit_linear(rows: Rows, y: np.ndarray, earlier: np.ndarray, steps: int = 150,
     none = Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(earlier.shape[1]), float(np.log(base / (1 - base))))
     if n == 0 or pos == 0 or pos == n:
         return none
-    owner = rows.owner
-    c1 = np.bincount(rows.flat, y[owner], DIMENSIONS)
-    count = np.bincount(rows.flat, minlength=DIMENSIONS)
+    c1, count = np.zeros(rows.dims), np.zeros(rows.dims, np.int64)
+    for i, j, flat in rows.parts():
+        count += np.bincount(flat, minlength=rows.dims)
+        c1 += np.bincount(flat, np.repeat(y[i:j], np.diff(rows.at[i : j + 1])), rows.dims)
     expected = count * base
     z = (c1 - expected) / np.sqrt(np.maximum(expected * (1 - base), 1e-9))
     chosen = np.flatnonzero((count >= LEAST_ROWS) & (np.abs(z) >= LEAST_Z))
     if len(chosen) > MOST_FEATURES:
         chosen = np.sort(chosen[np.argsort(-np.abs(z[chosen]), kind="stable")[:MOST_FEATURES]])
     ratio = np.log((c1[chosen] + SMOOTHING * base) / pos / ((count[chosen] - c1[chosen] + SMOOTHING * (1 - base)) / (n - pos)))
-    place = np.full(DIMENSIONS, -1)
-    place[chosen] = np.arange(len(chosen))
-    column = place[rows.flat]
-    row, column = owner[column >= 0], column[column >= 0]
+    place = np.full(rows.dims, -1, np.int32)
+    place[chosen] = np.arange(len(chosen), dtype=np.int32)
+    column, row = place[rows.flat], rows.owner
+    row, column = row[column >= 0], column[column >= 0]
     # Sums by row and by feature over entries in order of each.
     starts = np.flatnonzero(np.diff(row, prepend=-1))
-    filled, order = row[starts], np.argsort(column, kind="stable")
+    filled, order = row[starts], np.argsort(column.astype(np.int16 if len(chosen) < 1 << 15 else np.int32), kind="stable")
     of_feature, begin = row[order], np.searchsorted(column[order], np.arange(len(chosen)))
+    del row, order
     w, e, b = np.zeros(len(chosen)), np.zeros(earlier.shape[1]), none.bias
     gw, ge, gb = np.full(len(w), 1e-8), np.full(len(e), 1e-8), 1e-8
     for _ in range(steps):  # full-batch Adagrad
         total = earlier @ e + b
         if len(chosen):
-            total[filled] += np.add.reduceat((w * ratio)[column], starts)
+            total[filled] += np.add.reduceat((w * ratio).astype(np.float32)[column], starts)
         error = (_sigmoid(total) - y) / n
-        dw = (np.add.reduceat(error[of_feature], begin) * ratio if len(chosen) else w) + decay * w / n
+        dw = (np.add.reduceat(error.astype(np.float32)[of_feature], begin) * ratio if len(chosen) else w) + decay * w / n
         de, db = error @ earlier, error.sum()
         gw += dw * dw
         ge += de * de
@@ -205,18 +216,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, categories:
 
     schema = "doc_id long, fold int, " + ", ".join(f"_y{i} double" for i in range(len(names))) + ", features array<int>"
     rows = materialize(texts.select("doc_id", fold, *labelled, "text").mapInArrow(features, schema), "toxicity-rows")
-    chosen = docs.sparkSession.sparkContext.broadcast(_telling(rows, len(names)))
+    telling = _telling(rows, len(names))
+    shared = docs.sparkSession.sparkContext.broadcast(telling)
 
-    def only_chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def only_telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Features as places among the telling ones, the others left out."""
         for batch in batches:
             lists = [np.array(x, np.int32) for x in batch.column("features").to_pylist()]
-            yield _with_lists(batch, [x[np.isin(x, chosen.value)] for x in lists])
+            yield _with_lists(batch, [np.searchsorted(shared.value, x[np.isin(x, shared.value)]) for x in lists])
 
-    got = rows.mapInArrow(only_chosen, schema).toArrow().sort_by("doc_id").combine_chunks()
+    got = rows.mapInArrow(only_telling, schema).toArrow().sort_by("doc_id").combine_chunks()
     lists = got.column("features").combine_chunks()
-    sparse = Rows(lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))) if got.num_rows else Rows(np.zeros(0, np.int32), np.zeros(1, np.int64))
+    flat = lists.flatten().to_numpy().astype(np.int16 if len(telling) < 1 << 15 else np.int32)
+    sparse = Rows(flat, np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))), len(telling)) if got.num_rows else Rows(flat, np.zeros(1, np.int64), len(telling))
     y = np.column_stack([got.column(f"_y{i}").to_numpy() for i in range(len(names))])
-    return fit_chain(sparse, y, names, got.column("fold").to_numpy())
+    fold_of = got.column("fold").to_numpy()
+    del got, lists
+    chain = fit_chain(sparse, y, names, fold_of)
+    for m in chain.models:
+        m.features = telling[m.features]
+    return chain
 
 
 def _with_lists(batch: pa.RecordBatch, lists: list[np.ndarray]) -> pa.RecordBatch:
@@ -233,7 +252,7 @@ def _telling(rows: DataFrame, categories: int) -> np.ndarray:
     parts = [a for of in (None, *range(FOLDS)) for a in ones(of)]
     all_ = {k: v or 0 for k, v in rows.agg(*parts).first().asDict().items()}
     counts = rows.select("fold", *[f"_y{c}" for c in range(categories)], F.explode("features").alias("f")).groupBy("f").agg(*parts)
-    out = F.lit(False)
+    strength = []
     for of in (None, *range(FOLDS)):
         less = lambda name: F.col(name) - F.coalesce(F.col(f"{name}_{of}"), F.lit(0)) if of is not None else F.col(name)  # noqa: B023, E731
         n = all_["n"] - (all_[f"n_{of}"] if of is not None else 0)
@@ -241,9 +260,14 @@ def _telling(rows: DataFrame, categories: int) -> np.ndarray:
             p = all_[f"p{c}"] - (all_[f"p{c}_{of}"] if of is not None else 0)
             base = min(max(p / max(1, n), 1e-4), 1 - 1e-4)
             expected = less("n") * base
-            z = (less(f"p{c}") - expected) / F.sqrt(F.greatest(expected * (1 - base), F.lit(1e-9)))
-            out = out | ((less("n") >= LEAST_ROWS) & (F.abs(z) >= LEAST_Z - 1e-6))
-    return np.sort(counts.filter(out).select("f").toArrow().column(0).to_numpy().astype(np.int32))
+            z = F.abs((less(f"p{c}") - expected) / F.sqrt(F.greatest(expected * (1 - base), F.lit(1e-9))))
+            strength.append(F.when((less("n") >= LEAST_ROWS) & (z >= LEAST_Z - 1e-6), z))
+    strong = materialize(counts.select("f", *[z.alias(f"z{i}") for i, z in enumerate(strength)]).filter(F.coalesce(*[F.col(f"z{i}") for i in range(len(strength))]).isNotNull()), "toxicity-strong")
+    tops = [strong.filter(F.col(f"z{i}").isNotNull()).orderBy(F.desc(f"z{i}"), "f").limit(MOST_FEATURES).select("f") for i in range(len(strength))]
+    union = tops[0]
+    for t in tops[1:]:
+        union = union.union(t)
+    return np.sort(union.distinct().toArrow().column(0).to_numpy().astype(np.int32))
 
 
 def scorer(chain: Chain):
