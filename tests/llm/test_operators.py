@@ -198,6 +198,24 @@ def test_sentence_spans(spark):
     assert got[4].kept_text == "Gamma delta." and got[5].kept_text == "" and got[3].kept_text == texts[3] and got[6].n_sentences == 2
 
 
+def test_sentence_spans_in_mid_sentence(spark):
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcdefghijk") for _ in range(r.randint(2, 8))) for _ in range(3000)]
+    say = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    han = lambda n: "".join(chr(r.randrange(0x4E00, 0x9F00)) for _ in range(n))
+    passages = [say(50) for _ in range(30)] + [", ".join(say(10) for _ in range(5)) + ". " + say(3) for _ in range(5)]
+    texts = [f"{say(r.randint(1, 25))} {p} {say(r.randint(1, 25))}" for p in passages for _ in range(2)]
+    blankless = [han(50) for _ in range(10)]
+    texts += [han(r.randint(1, 25)) + p + han(r.randint(1, 25)) for p in blankless for _ in range(2)]
+    got = {x.doc_id: x for x in sentence_spans.dedup(docs_of(spark, texts)).collect()}
+    for i, p in enumerate(passages + blankless):
+        assert got[2 * i].n_removed == 0 and got[2 * i].kept_text == texts[2 * i]
+        text, kept = texts[2 * i + 1], got[2 * i + 1].kept_text
+        gone = len(text.split()) - len(kept.split()) if i < len(passages) else len(text) - len(kept)
+        head, tail = text.split(p)
+        assert 20 <= gone <= 53 and kept.startswith(head) and kept.endswith(tail)
+
+
 def test_bpe(spark, texts):
     from tokenizers import Tokenizer
 
