@@ -1,11 +1,13 @@
 """Mixing sources to target weights with a low-discrepancy schedule.
 
-The mix is a row of slots of equal token count. Slot t belongs to the source whose
+The mix is a row of slots of about equal token count. Slot t belongs to the source whose
 interval of cumulative target shares holds the golden-ratio point frac((t + 1) / phi),
 so at any length each source's share is within a few slots of its target. Slots are
-ranked within their source; the r-th slot takes the r-th block of the source's
-documents, shuffled by a hash and cut into blocks of the slot's token count; after the
-last block the next pass begins, three passes at most.
+ranked within their source. A source's documents, shuffled by a hash and repeated for
+three passes at most, are a stream that is taken up to the source's target and cut into as many
+blocks as the source has slots, which differ by a word at most; the r-th slot takes the
+r-th block. So each source gets its target (rounded to a word), however small it is beside the mix.
+A source whose interval holds no point shares one slot with the slot's own source.
 
 Everything that needs an order within a source (running totals, ranks) is done in two
 levels, within hash or slot ranges and then over the ranges' sums, so that a source
@@ -27,7 +29,7 @@ from quillon.session import materialize
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_PASSES = 3
-#: Tokens in a slot: a 2^18th of the mix, between these bounds.
+#: Tokens in a slot, about: a 2^18th of the mix, between these bounds.
 MIN_BLOCK, MAX_BLOCK, SLOTS = 16, 4096, 1 << 18
 _RANGES = 256
 _GRID = 1024
@@ -117,20 +119,30 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int =
     point = spark.range(slots).withColumnRenamed("id", "slot").withColumn("_u", t * golden - F.floor(t * golden))
     point = point.withColumn("_cell", F.floor(F.col("_u") * _GRID).cast("int"))
     dealt = point.join(cells, "_cell").filter("_u >= _lo AND _u < _hi").select("slot", "_sid")
-    dealt = dealt.withColumn("_range", F.floor(F.col("slot") / 4096))
+    counted = sources.select("_sid", F.col("source").alias("_src"), F.col("source_size").alias("_of"), F.round("target").cast("long").alias("_take")).filter("_take > 0")
+    counted = counted.join(dealt.groupBy("_sid").agg(F.count(F.lit(1)).alias("_slots")), "_sid", "left")
+    counted = materialize(counted, "mix-slots")  # a row per source; the joins below know its size
+    slotless = counted.filter("_slots IS NULL").select(F.pmod(F.xxhash64("_sid"), F.lit(max(1, slots))).alias("slot"), "_sid")
+    dealt = dealt.unionByName(slotless).withColumn("_range", F.floor(F.col("slot") / 4096))
     ranked = _running(dealt, ["_sid"], "_range", ["slot"], F.lit(1), "_rank")
 
-    # Documents to blocks: places in the shuffled stream of the source, cut at block ends.
-    placed = sizes.filter("size > 0").join(sources.select(F.col("source").alias("_src"), "_sid"), F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
+    # Documents to blocks: places in the shuffled stream of the source, pass after pass up to its
+    # target, cut at block ends. The first _more blocks have a word more than the others.
+    of = counted.withColumn("_slots", F.coalesce("_slots", F.lit(1))).withColumns({"_least": F.expr("_take div _slots"), "_more": F.expr("_take % _slots")})
+    placed = sizes.filter("size > 0").join(of, F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
     placed = placed.withColumn("_range", F.pmod(F.shiftrightunsigned("_order", 40), F.lit(_RANGES)))
     placed = _running(placed, ["_sid"], "_range", ["_order", "doc_id", "_row"], F.col("size"), "_start")
-    cut = placed.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_start") / block), F.floor((F.col("_start") + F.col("size") - 1) / block))))
-    words = F.least(F.col("_start") + F.col("size"), (F.col("_block") + 1) * block) - F.greatest(F.col("_start"), F.col("_block") * block)
-    pieces = cut.select("_sid", "_block", "_row", words.alias("words"))
-
-    n_blocks = sources.select("_sid", F.ceil(F.col("source_size") / block).alias("_blocks"))
-    taken = ranked.join(n_blocks, "_sid").withColumns({"_block": F.col("_rank") % F.col("_blocks"), "pass": F.floor(F.col("_rank") / F.col("_blocks"))})
-    schedule = taken.filter(F.col("pass") < max_passes).join(pieces, ["_sid", "_block"]).select("slot", "_row", "words", "pass")
+    passes = placed.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(max_passes - 1))))
+    passes = passes.withColumn("_from", F.col("pass") * F.col("_of") + F.col("_start")).filter("_from < _take")
+    passes = passes.withColumn("_to", F.least(F.col("_from") + F.col("size"), F.col("_take")))
+    block_of = lambda at: F.expr(
+        f"IF({at} < _more * (_least + 1), ({at}) div (_least + 1), _more + ({at} - _more * (_least + 1)) div greatest(_least, 1L))"
+    )
+    cut = passes.withColumn("_rank", F.explode(F.sequence(block_of("_from"), block_of("(_to - 1)"))))
+    begin = F.col("_rank") * F.col("_least") + F.least("_rank", "_more")
+    end = begin + F.col("_least") + F.when(F.col("_rank") < F.col("_more"), 1).otherwise(0)
+    pieces = cut.select("_sid", "_rank", "_row", (F.least(F.col("_to"), end) - F.greatest(F.col("_from"), begin)).alias("words"), "pass")
+    schedule = ranked.join(pieces, ["_sid", "_rank"]).select("slot", "_row", "words", "pass")
     return sizes, sources, schedule
 
 

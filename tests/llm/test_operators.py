@@ -128,6 +128,26 @@ def test_mixing_targets_and_takes(spark):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix(docs_of(spark, texts, sources=sources)).collect()))  # no null sorts: rows are complete but for source
 
 
+def test_mixing_gives_a_tiny_source_its_target(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS", 64)  # slots of about 400 words, as a large mix has
+    r = random.Random(9)
+    sources = ["a"] * 300 + ["b"] * 300 + ["tiny"] * 4 + ["word"] + ["z"] * 20 + [None] * 2
+    texts = ["w " * (r.randint(20, 60) if s in ("a", "b") else r.randint(1, 9) if s else 40) for s in sources]
+    texts[604] = "w"
+    rows = mixing.mix(docs_of(spark, texts, sources=sources)).collect()
+    taken = collections.Counter()
+    for row in rows:
+        assert row.taken <= 3 * row.size
+        taken[row.source] += row.taken
+    target = {row.source: row.target for row in rows}
+    assert all(abs(taken[s] - t) <= 0.5 + 1e-6 for s, t in target.items())
+    assert target["word"] == 3 and target["tiny"] > 3
+    kept = mixing.mixed(docs_of(spark, texts, sources=sources)).groupBy("source").count().collect()
+    assert {x.source for x in kept} == set(sources)
+    slots = mixing.plan(docs_of(spark, texts, sources=sources))[2]
+    assert all(x.words > 0 and 0 <= x["pass"] < 3 for x in slots.collect())
+
+
 def test_language_id(spark):
     r = random.Random(4)
     words = {"en": ["the", "house", "with", "shing"], "fr": ["les", "maison", "avec", "eaux"], "es": ["del", "casa", "ciones", "muy"]}
