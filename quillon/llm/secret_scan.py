@@ -1,8 +1,10 @@
 """Secret scans: fixed patterns, and a randomness test battery for what they miss.
 
 Patterns give the base spans ``assign``, ``access`` and ``hex``. Besides, every run of
-20 or more characters of ``[A-Za-z0-9+/_=-]`` that holds a digit and a letter is a candidate
-of the narrowest encoding that fits it (hex, base32, base36, base62, base64). Three tests ask
+20 or more characters of ``[A-Za-z0-9+/_-]`` that holds a letter, with up to two ``=`` after it, is a
+candidate, so the name and the value of NAME=VALUE are two; of a run that a base span covers
+in part, what lies outside is. A candidate is of the narrowest encoding that fits it (hex, letters
+of one case, base32, base36, letters, base62, base64). Three tests ask
 whether it could be random in that encoding: chi-squared for equal use of the alphabet,
 runs above and below the alphabet's middle, and the serial correlation of neighbours. Their
 p-values combine by Fisher's method. Written text and counters fail; keys do not.
@@ -11,8 +13,8 @@ Which failures count is decided over the whole corpus: within each length class
 candidate's tests are weak, so it must not share a threshold with long ones) the
 Benjamini-Hochberg rule finds the p-value up to which candidates are called structured.
 The rule needs only how many p-values lie below each; these are counted in logarithmic
-bins, so the global step is one small aggregate. Candidates that are not structured and
-overlap no base span become ``random`` spans.
+bins, so the global step is one small aggregate. Candidates that are not structured
+become ``random`` spans.
 
 Defined results: a null text counts as empty and has no span; repeated rows are judged
 alike; an empty table gives an empty result. Offsets are code points, ends exclusive.
@@ -39,13 +41,17 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "random")
 LEAST_VALUE, LEAST_ACCESS = 6, 20
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST_CANDIDATE = 20
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 _HINTS = ("passw", "secret", "token", "api")
 #: Alphabets from narrow to wide.
 ENCODINGS = (
     ("hex", "0123456789abcdef"),
+    ("lower", "abcdefghijklmnopqrstuvwxyz"),
+    ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"),
+    ("letters", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 )
@@ -80,9 +86,9 @@ def _chi_squared_tail(x: float, k: int) -> float:
 
 
 def infer_encoding(value: str) -> str | None:
-    """The alphabet of the narrowest encoding, or None if there is no digit or no letter."""
+    """The alphabet of the narrowest encoding, or None if there is no letter."""
     chars = set(value.rstrip("="))
-    if not any(c.isdigit() for c in chars) or not any(c.isalpha() for c in chars):
+    if not any(c.isalpha() for c in chars):
         return None
     if chars <= set("0123456789ABCDEF"):
         value, chars = value.lower(), {c.lower() for c in chars}
@@ -123,6 +129,21 @@ def randomness(value: str) -> float | None:
     return min(1.0, math.exp(-half) * (1 + half + half * half / 2)) if half < 700 else 0.0
 
 
+def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of the candidates, outside the base spans."""
+    for m in CANDIDATE.finditer(text):
+        at, end = m.span()
+        for _, a, b in base:  # by start
+            if a < end and at < b:
+                if a - at >= LEAST_CANDIDATE:
+                    yield at, a
+                at = b
+        if at == m.start():
+            yield at, end
+        elif end - at >= LEAST_CANDIDATE and (rest := CANDIDATE.match(text, at, end)):
+            yield rest.span()
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, base and candidate spans; candidates with their length class and p-value bin."""
 
@@ -136,12 +157,12 @@ def scan(docs: DataFrame) -> DataFrame:
                 own = base_spans(text)
                 base.append([{"kind": k, "start": a, "end": b} for k, a, b in own])
                 found = []
-                for m in CANDIDATE.finditer(text):
-                    if any(a < m.end() and m.start() < b for _, a, b in own) or (p := randomness(m[0])) is None:
+                for start, end in candidates(text, own):
+                    if (p := randomness(text[start:end])) is None:
                         continue
-                    size = next((i for i, top in enumerate(LENGTHS) if len(m[0]) <= top), len(LENGTHS))
+                    size = next((i for i, top in enumerate(LENGTHS) if end - start <= top), len(LENGTHS))
                     place = min(_BINS, int(-math.log10(max(p, 1e-300)) * _BINS_A_DECADE))
-                    found.append({"start": m.start(), "end": m.end(), "size": size, "bin": place})
+                    found.append({"start": start, "end": end, "size": size, "bin": place})
                 more.append(found)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, span), pa.array(more, candidate)], names=["doc_id", "base", "candidates"])
 

@@ -170,6 +170,18 @@ def test_secret_scan(spark):
     assert got[5].n_assign + got[5].n_hex == 0
 
 
+def test_secret_scan_assignments_urls_and_letters(spark):
+    key, letters = "q8Zr2LxV0pTn5KcW7yHb3MdJ", "nZQfrVKexUcJTTwgLmsXBhOa"
+    texts = [f"AWS_KEY={key}", f"https://x.org/a?sig={key}&v=1", f"see {letters} here", f"K={key}==", f"{key}{'0a1b2c3d' * 3} end", f"-{'deadbeef' * 3}/{key}", "a=b=c= " + "=" * 30]
+    got = {r.doc_id: r for r in secret_scan.report(secret_scan.find_secrets(docs_of(spark, texts))).collect()}
+    assert [got[i].spans for i in range(4)] == ["random:8:32", "random:20:44", "random:4:28", "random:2:28"]
+    assert got[4].n_hex == 1 and got[4].n_random == 1 and got[5].n_hex == 1 and got[5].spans.endswith(",random:25:50") and got[6].spans == ""
+    # long words, paths and names stay structured beside keys
+    prose = ["internationalization/of/the/configuration", "getUserNameFromTheRequestContextOfTheSession", "well-known-phrases-in-the-text-of-the-page"] * 10
+    rows = secret_scan.report(secret_scan.find_secrets(docs_of(spark, [*prose, f"KEY={key}"]))).collect()
+    assert {r.doc_id for r in rows if r.n_random} == {len(prose)}
+
+
 def shingles(text, k):
     words = [w for w in (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).split(" ") if w]
     if not words:
