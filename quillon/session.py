@@ -15,12 +15,16 @@ _LOCAL: list[str] = []
 def scratch_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; where that is unset (tests,
-    a laptop) a temporary folder of this process stands in, gone at its end.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, a temporary folder of
+    this process stands in on a local master (tests, a laptop), gone at its end; on any other
+    master that is an error, since no executor would see what another wrote.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="quillon-"))
         atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
@@ -36,7 +40,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/quillon/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._quillon_path = path
+    return written
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, once nothing reads it any more."""
+    for df in written:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._quillon_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
