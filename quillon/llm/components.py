@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.session import materialize
+from quillon.session import discard, materialize
 
 
 def _checksum(edges: DataFrame) -> tuple:
@@ -26,12 +26,13 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("v"), F.col("u"))).toDF("u", "v")
         # The minima are written, so that each join is of two plain shuffles: Spark splits those where a node has many links.
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        first = materialize(both.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
+        large = both.join(first, "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         large = materialize(large, "cc-large")
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        edges = materialize(small.select("e.u", "e.v").filter("u <> v").distinct(), "cc")
+        past, edges = edges, materialize(small.select("e.u", "e.v").filter("u <> v").distinct(), "cc")
+        discard(first, large, least, past)
         now = _checksum(edges)
         if now == seen:
             break

@@ -4,20 +4,26 @@
    values, 32 band keys of 4 values and an odd sketch: the values fold into a 256-bit
    parity map, in which the population count of two maps' XOR tells how many values
    differ.
-2. Texts with the same set form a class; only its least id goes on.
+2. Rows with the same set (its size and 128 hash bits) form a class, whatever their doc_ids;
+   the graph is one of classes.
 3. Each class is tested with the least class that shares a band key with it: pairs whose
    XOR count excludes the wanted similarity at five and a half standard deviations go, the
    others are verified on their full sets. Links give components.
-4. Band keys whose classes are still in different components tie these into clusters. Within
-   a cluster all pairs across components are compared, in squares of bounded blocks: first
-   the sketches, then the full sets, most similar first. Only links leave a task.
-
-So no group is expanded into rows for its pairs, and no link between two components is
+4. A band key whose classes are still in different components is open. Within an open key the
+   sketches of classes in different components are compared, in squares of bounded blocks;
+   a pair counts under the first band key that it shares. Only classes with a promising
+   partner go on with their full sets, and are verified in squares again, most similar first.
+   What leaves a task is a row per class, then links that join components.
+
+So no group is expanded into rows for its pairs, work grows with the sizes of open keys and
+not with what chains of them tie together, and no link between two components is
 passed over. Two texts of similarity 0.8 share no band with probability 5e-8.
 
 Defined results: null, empty and blank texts have no shingle, link to nothing and are
-their own component; fewer words than a shingle make one shingle of the whole; repeated
-rows with one doc_id are one document of the graph; an empty table gives an empty result.
+their own component; fewer words than a shingle make one shingle of the whole; rows that
+repeat a doc_id are judged each by its own text, so one doc_id can have several components;
+a row with a null doc_id takes part, its component_id is the least doc_id reachable, null if
+there is none, and ``kept`` is null-safe equality; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ from pyspark.sql import functions as F
 from quillon.llm import bloom
 from quillon.llm.components import components
 from quillon.llm.kernels import U, folded_byte_values, mix64, prefix_hash, range_hash, slices, text_buffers, words
-from quillon.session import materialize
+from quillon.session import discard, materialize
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
@@ -112,7 +118,17 @@ def signatures(sets: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return bands.view(np.int64), sketch
 
 
-SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, s0 long, s1 long, s2 long, s3 long"
+KEYS = ["k1", "k2", "n_shingles"]
+
+
+def _set_keys(sets: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit words that stand for each set."""
+    if not len(begin):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.add.reduceat(mix64(x), begin).view(np.int64) for x in (sets + U(1), sets ^ U(0xA5A5A5A5A5A5A5A5)))
+
+
+SIGNED = "doc_id long, _row long, n_shingles long, k1 long, k2 long, bands array<long>, s0 long, s1 long, s2 long, s3 long"
 
 
 def _sign(k: int):
@@ -124,17 +140,16 @@ def _sign(k: int):
                 sets, at = shingle_sets(data[own[0] : own[-1]], own - own[0], k)
                 n, sizes = b - a, np.diff(at)
                 full = sizes > 0
-                k1, k2 = np.zeros(n, U), np.zeros(n, U)
+                k1, k2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
                 bands, sketch = np.zeros((n, BANDS), np.int64), np.zeros((n, 4), np.int64)
                 if full.any():
                     begin = at[:-1][full]
-                    k1[full] = np.add.reduceat(mix64(sets + U(1)), begin)
-                    k2[full] = np.add.reduceat(mix64(sets ^ U(0xA5A5A5A5A5A5A5A5)), begin)
+                    k1[full], k2[full] = _set_keys(sets, begin)
                     bands[full], sketch[full] = signatures(sets, np.append(begin, len(sets)))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(full, BANDS, 0)))).astype(np.int32)), pa.array(bands[full].ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, n), pa.array(sizes), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), lists, *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(4))],
-                    names=["doc_id", "n_shingles", "k1", "k2", "bands", "s0", "s1", "s2", "s3"],
+                    [batch.column(0).slice(a, n), batch.column(2).slice(a, n), pa.array(sizes), pa.array(k1), pa.array(k2), lists, *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(4))],
+                    names=["doc_id", "_row", "n_shingles", "k1", "k2", "bands", "s0", "s1", "s2", "s3"],
                 )
 
     return run
@@ -143,12 +158,16 @@ def _sign(k: int):
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
+            data, offsets = text_buffers(batch.column(0))
             for a, b in slices(offsets):
                 own = offsets[a : b + 1]
                 sets, at = shingle_sets(data[own[0] : own[-1]], own - own[0], k)
+                full = np.diff(at) > 0
+                begin, end = at[:-1][full], at[1:][full]
+                k1, k2 = _set_keys(sets, begin)
                 raw = sets.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([raw[8 * x : 8 * y] for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", "shingles"])
+                held = pa.array([raw[8 * x : 8 * y] for x, y in zip(begin, end, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(end - begin), held], names=[*KEYS, "shingles"])
 
     return run
 
@@ -179,108 +198,199 @@ def _xor(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(4)), F.lit(0))
 
 
-def _compare_blocks(percent: int, bound: int):
-    """All pairs of two blocks that are in different components, most similar first; a link
-    joins two components, so that pairs within them need no look any more."""
+def _squares(work):
+    """``work`` on each square of a partition's rows, which are sorted by ``square``; a square is bounded."""
 
-    def run(table):
-        blocks, ids = table.column("block").to_numpy(), table.column("doc_id").to_numpy()
-        comps = table.column("component").to_numpy()
-        sketch = np.stack([table.column(f"s{i}").to_numpy() for i in range(4)], axis=1).view(U)
-        sets = [np.frombuffer(v.as_buffer(), U) for v in table.column("shingles")]
-        low, high = int(table.column("bi")[0].as_py()), int(table.column("bj")[0].as_py())
-        left, right = np.flatnonzero(blocks == low), np.flatnonzero(blocks == high)
-        found = []
-        for i, j in enumerate(left):  # a row of the square at a time
-            others = right[right > j] if low == high else right
-            others = others[comps[others] != comps[j]]
-            bits = np.bitwise_count(sketch[others] ^ sketch[j]).sum(axis=1).astype(np.int64)
-            ok = bits <= bound
-            found.append(np.stack((bits[ok], np.full(int(ok.sum()), j), others[ok])))
-        tests = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
-        tests = tests[:, np.argsort(tests[0], kind="stable")]
-        head = {c: c for c in set(comps.tolist())}
-
-        def top(c):
-            while head[c] != c:
-                head[c] = head[head[c]]
-                c = head[c]
-            return c
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held and held[-1].column("square")[-1] != batch.column("square")[0]:
+                yield from done(held)
+                held = []
+            column = batch.column("square").to_numpy()
+            cut = int(np.searchsorted(column, column[-1]))  # the last square may go on in the next batch
+            if cut:
+                yield from done([*held, batch.slice(0, cut)])
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from done(held)
+
+    def done(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        square = table.column("square").to_numpy()
+        ends = np.append(np.flatnonzero(np.diff(square)) + 1, len(square))
+        out = work(Square(table), zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True))
+        if out.num_rows:
+            yield out
+
+    return run
+
+
+class Square:
+    """The columns of a table of squares that both comparisons need."""
 
+    def __init__(self, table: pa.Table):
+        self.key, self.cid, self.component, self.size, self.side = (table.column(c).to_numpy() for c in ("key", "cid", "component", "n_shingles", "side"))
+        self.sketch = np.stack([table.column(f"s{i}").to_numpy() for i in range(4)], axis=1).view(U)
+        self.bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        self.sets = table.column("shingles") if "shingles" in table.column_names else None
+
+    def promising(self, low: int, high: int, percent: int, bound: int) -> np.ndarray:
+        """(XOR bits, row, row) of the pairs to verify: of different components, not excluded by
+        their sketches or sizes, and met under the first band that they share."""
+        side = self.side[low:high]
+        left, right = low + np.flatnonzero(side <= 0), low + np.flatnonzero(side >= 0)
+        found = []
+        for i in left.tolist():
+            # Side 0: a block against itself, each pair once; otherwise -1 against 1.
+            others = right[right > i] if self.side[i] == 0 else right
+            others = others[(self.component[others] != self.component[i])]
+            n, m = self.size[others], self.size[i]
+            others = others[100 * np.minimum(n, m) >= percent * np.maximum(n, m)]
+            bits = np.bitwise_count(self.sketch[others] ^ self.sketch[i]).sum(axis=1).astype(np.int64)
+            others, bits = others[bits <= bound], bits[bits <= bound]
+            if len(others):
+                shared = self.bands[others] == self.bands[i]
+                first = self.bands[i][shared.argmax(axis=1)] == self.key[i]
+                found.append(np.stack((bits[first], np.full(int(first.sum()), i), others[first])))
+        return np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+
+
+def _flag(percent: int, bound: int):
+    def work(square: Square, groups) -> pa.RecordBatch:
+        rows = [np.unique(square.promising(a, b, percent, bound)[1:]) for a, b in groups]
+        rows = np.concatenate(rows)
+        return pa.RecordBatch.from_arrays([pa.array(square.key[rows]), pa.array(square.cid[rows])], names=["key", "cid"])
+
+    return work
+
+
+def _verify(percent: int, bound: int):
+    """Links of promising pairs, most similar first; a link joins two components, so that
+    pairs within them need no look any more."""
+
+    def work(square: Square, groups) -> pa.RecordBatch:
         links = []
-        for _, i, j in tests.T.tolist():
-            a, b = top(int(comps[i])), top(int(comps[j]))
-            if a != b and _alike(sets[i], sets[j], percent):
-                head[max(a, b)] = min(a, b)
-                links.append((int(ids[i]), int(ids[j])))
-        return pa.table({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([x for _, x in links], pa.int64())})
+        for a, b in groups:
+            tests = square.promising(a, b, percent, bound)
+            head: dict[int, int] = {}
+
+            def top(c, head=head):
+                while (up := head.get(c, c)) != c:
+                    head[c] = head.get(up, up)
+                    c = head[c]
+                return c
+
+            for _, i, j in tests[:, np.argsort(tests[0], kind="stable")].T.tolist():
+                x, y = top(int(square.component[i])), top(int(square.component[j]))
+                if x != y and _alike(*(np.frombuffer(square.sets[n].as_buffer(), U) for n in (i, j)), percent):
+                    head[max(x, y)] = min(x, y)
+                    links.append((int(square.cid[i]), int(square.cid[j])))
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in range(2)], names=["u", "v"])
+
+    return work
+
+
+#: Rows of a block and bytes of shingle sets in it at most, about. Below MOST_SHARES blocks of a key they are smaller.
+BLOCK_DOCS, BLOCK_BYTES, SMALL, MOST_SHARES = 4096, 4 << 20, 128, 16
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of open keys dealt to the squares of their key's blocks: one row per square, with its side in it."""
+    n = F.count(F.lit(1))
+    by_rows = F.greatest(F.ceil(n / BLOCK_DOCS), F.least(F.ceil(n / SMALL), F.lit(MOST_SHARES)))
+    by_bytes = [F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_BYTES)] if "shingles" in rows.columns else []
+    sizes = rows.groupBy("key").agg((F.greatest(by_rows, *by_bytes) if by_bytes else by_rows).cast("int").alias("blocks"))
+    cut = rows.join(materialize(sizes, "near-blocks"), "key")
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    square = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    return dealt.withColumns({"square": square, "side": F.signum(F.col("block") - F.col("other")).cast("int")}).drop("block", "other", "blocks")
 
-    return run
 
+def _by_squares(rows: DataFrame, work, schema: str, label: str) -> DataFrame:
+    return materialize(_dealt(rows).repartition("square").sortWithinPartitions("square").mapInArrow(_squares(work), schema), label)
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept."""
-    docs = docs.select("doc_id", "text")
-    bound = xor_bound(percent)
-    signed = materialize(docs.mapInArrow(_sign(k), SIGNED), "near-signed")
-    keys = ["k1", "k2", "n_shingles"]
-    classes = materialize(signed.filter("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep")), "near-classes")
-    reps = signed.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
-    reps = materialize(reps.select("doc_id", "bands", "s0", "s1", "s2", "s3"), "near-reps")
 
-    banded = reps.select("doc_id", F.explode("bands").alias("key"))
+def classes_of(signed: DataFrame) -> DataFrame:
+    """A row per distinct set: its keys, the number ``cid``, least doc_id ``rep``, bands and sketch."""
+    of = [F.any_value(c).alias(c) for c in ("bands", "s0", "s1", "s2", "s3")]
+    found = signed.filter("n_shingles > 0").groupBy(*KEYS).agg(F.min("doc_id").alias("rep"), *of)
+    return materialize(found.withColumn("cid", F.monotonically_increasing_id()), "near-classes")
+
+
+def linked(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Components of the classes: node, component (both cid); classes without a link have no row."""
+    bound = xor_bound(percent)
+    banded = classes.select("cid", F.explode("bands").alias("key"))
     # Written, so that the join is of two plain shuffles: Spark splits those where a key is frequent.
-    shared = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("doc_id").alias("leader")).filter("_n > 1"), "near-keys")
+    shared = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("cid").alias("leader")).filter("_n > 1"), "near-keys")
     members = materialize(banded.join(shared.select("key", "leader"), "key"), "near-members")
-    ids = materialize(members.select("doc_id").distinct(), "near-ids")
-    some = bloom.only_known(docs, "doc_id", ids, ids.count()).join(ids, "doc_id", "left_semi")
-    sets = materialize(some.mapInArrow(_sets(k), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "near-sets")
+
+    # The full sets of these, from rows with the doc_ids of theirs.
+    wanted = materialize(members.select("cid").distinct().join(classes.select("cid", *KEYS, F.col("rep").alias("doc_id")), "cid"), "near-wanted")
+    some = bloom.only_known(docs, "doc_id", wanted, wanted.count()).select("text").mapInArrow(_sets(k), "k1 long, k2 long, n_shingles long, shingles binary")
+    sets = some.join(wanted.select("cid", *KEYS), KEYS).groupBy("cid").agg(F.any_value("shingles").alias("shingles"))
+    sets = materialize(sets, "near-sets")
 
     # One test each: with the least leader of the keys.
-    sketch = reps.select("doc_id", F.struct("s0", "s1", "s2", "s3").alias("s"))
-    pairs = members.groupBy("doc_id").agg(F.min("leader").alias("a")).filter("a <> doc_id").select("a", F.col("doc_id").alias("b"))
+    sketch = classes.select("cid", F.struct("s0", "s1", "s2", "s3").alias("s"))
+    pairs = members.groupBy("cid").agg(F.min("leader").alias("a")).filter("a <> cid").select("a", F.col("cid").alias("b"))
     pairs = pairs.join(sketch.toDF("a", "x"), "a").join(sketch.toDF("b", "y"), "b").filter(_xor("x", "y") <= bound)
     pairs = materialize(pairs.select("a", "b"), "near-pairs")
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     links = materialize(both.mapInArrow(_confirm(percent), "u long, v long"), "near-links")
     parts = materialize(components(links), "near-parts")
 
-    # Keys whose members are still in different components tie these into clusters.
-    placed = members.join(parts, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    # Keys whose classes are still in different components.
+    placed = members.join(parts, F.col("cid") == F.col("node"), "left").select("key", "cid", F.coalesce("component", "cid").alias("component"))
     placed = materialize(placed, "near-placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last")).filter("first <> last").select("key", "first")
-    mixed = materialize(mixed, "near-mixed")
-    ties = materialize(placed.join(mixed, "key").select("doc_id", "component", "first"), "near-ties")
-    clusters = components(ties.select(F.col("component").alias("u"), F.col("first").alias("v")))
-    open_ = ties.select("doc_id", "component").distinct().join(clusters.toDF("component", "cluster"), "component")
-    open_ = open_.join(reps.drop("bands"), "doc_id").join(sets, "doc_id")
-    more = _by_blocks(materialize(open_, "near-open"), percent, bound)
+    open_ = placed.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last")).filter("first <> last").select("key")
+    open_ = placed.join(materialize(open_, "near-open"), "key")
+    signs = classes.select("cid", "n_shingles", "bands", "s0", "s1", "s2", "s3")
+    flagged = _by_squares(open_.join(signs, "cid"), _flag(percent, bound), "key long, cid long", "near-flagged").distinct()
+    exact = flagged.join(placed, ["key", "cid"]).join(signs, "cid").join(sets, "cid")
+    more = _by_squares(materialize(exact, "near-exact"), _verify(percent, bound), "u long, v long", "near-more")
     stars = parts.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    parts = materialize(components(stars.union(more)), "near-parts")
+    parts = components(stars.union(more))
+    discard(shared, members, wanted, sets, pairs, links, placed)
+    return parts
 
-    heads = classes.join(parts, F.col("rep") == F.col("node"), "left").select(*keys, F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", *keys).join(heads, keys, "left")
-    component = F.coalesce(F.col("component_id"), F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
+def _placed(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """Each of ``rows`` (doc_id, text, _row): doc_id, _row, n_shingles, component; null for rows without a shingle."""
+    signed = materialize(rows.mapInArrow(_sign(k), SIGNED), "near-signed")
+    classes = classes_of(signed)
+    parts = materialize(linked(rows, classes, k, percent), "near-parts")
+    own = classes.join(parts, F.col("cid") == F.col("node"), "left").select(*KEYS, F.coalesce("component", "cid").alias("component"))
+    return signed.select("doc_id", "_row", *KEYS).join(materialize(own, "near-own"), KEYS, "left").drop("k1", "k2")
 
-#: A block holds about so many documents and bytes of shingle sets at most.
-BLOCK_DOCS, BLOCK_BYTES = 512, 4 << 20
 
-
-def _by_blocks(docs: DataFrame, percent: int, bound: int) -> DataFrame:
-    """Links between components within each cluster, found in squares of bounded blocks."""
-    sizes = docs.groupBy("cluster").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_BYTES)).cast("int").alias("blocks")
-    )
-    cut = docs.join(materialize(sizes, "near-clusters"), "cluster")
-    cut = cut.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")}).drop("other", "blocks")
-    return materialize(dealt.groupBy("cluster", "bi", "bj").applyInArrow(_compare_blocks(percent, bound), "u long, v long"), "near-more")
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, kept."""
+    placed = materialize(_placed(docs.select("doc_id", "text", F.lit(0).cast("long").alias("_row")), k, percent), "near-rows")
+    least = materialize(placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id")), "near-least")
+    out = placed.join(least, "component", "left")
+    out = out.withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def survivors(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component, the one with the least doc_id."""
-    gone = near_duplicates(docs, k, percent).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """``docs`` with one row of each component, whole with all its columns: the one of least doc_id.
+
+    A null doc_id comes after all others, and of the rows that repeat the least doc_id one
+    stays. Rows without a shingle (null, empty and blank texts) are no copies and all stay.
+    Of the others only those that may go shuffle.
+    """
+    rows = materialize(bloom.packed(docs).withColumn("_row", F.monotonically_increasing_id()), "near-docs")
+    placed = materialize(_placed(rows.select("row.doc_id", "row.text", "_row"), k, percent).filter("component IS NOT NULL"), "near-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row"))
+    keepers = materialize(placed.groupBy("component").agg(first.alias("first")).select("first._row"), "near-keepers")
+    gone = materialize(placed.select("_row").join(keepers, "_row", "left_anti"), "near-gone")
+    blocks, hashed = bloom.block_count(gone.count()), F.xxhash64("_row")
+    probed = bloom.probe(rows, hashed, blocks, bloom.build(gone, hashed, blocks), "_maybe")
+    checked = probed.filter("_maybe").join(gone, "_row", "left_anti")
+    return probed.filter("NOT _maybe").select("row.*").unionByName(checked.select("row.*"))
