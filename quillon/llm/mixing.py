@@ -15,7 +15,7 @@ with a third of all rows never meets in one task.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in
 the order of weights; size 0 documents take nothing; an empty table gives an empty
-result; repeated doc_ids count as separate rows.
+result; null and repeated doc_ids count as separate rows.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.llm import bloom
 from quillon.session import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -35,10 +36,10 @@ _RANGES = 256
 _GRID = 1024
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and a place in the shuffled order."""
+def sized(rows: DataFrame) -> DataFrame:
+    """doc_id, source, size, a place in the shuffled order and the row's number, of doc_id, text, source, _row."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
-    return docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", F.lit("shuffle")).alias("_order"))
+    return rows.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", F.lit("shuffle")).alias("_order"), "_row")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:
@@ -82,15 +83,17 @@ def _running(df: DataFrame, keys: list[str], range_col: str, order: list[str], v
     return df.join(sums, [*keys, range_col]).withColumn(into, F.col("_base") + F.col("_in")).drop("_v", "_in", "_base")
 
 
-def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The mix of ``docs``.
+def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The mix of ``rows``: doc_id, text, source and, where the caller has one, the row's number ``_row``.
 
     Returns (sizes, sources, schedule). sizes: doc_id, source, size and the row's number
     ``_row``. sources: the targets, with a dense ``_sid``. schedule, one row per slot and
     piece of a document in it: slot, _row, words, pass.
     """
-    spark = docs.sparkSession
-    sizes = materialize(sized(docs).withColumn("_row", F.monotonically_increasing_id()), "mix-sizes")
+    spark = rows.sparkSession
+    if "_row" not in rows.columns:
+        rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    sizes = materialize(sized(rows), "mix-sizes")
     found = targets(sizes, weights, max_passes)
     first = W.orderBy(F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, W.currentRow)
     every = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
@@ -148,7 +151,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int =
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken (words of it in the mix)."""
-    sizes, sources, schedule = plan(docs, weights, max_passes)
+    sizes, sources, schedule = plan(docs.select("doc_id", "text", "source"), weights, max_passes)
     taken = schedule.groupBy("_row").agg(F.sum("words").alias("taken"))
     of = sources.select(F.col("source").alias("_src"), "source_size", "target")
     out = sizes.join(of, F.col("source").eqNullSafe(F.col("_src"))).join(taken, "_row", "left")
@@ -156,11 +159,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = M
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:
-    """The documents that the mix uses, with all their columns, each once per pass that begins on it.
+    """The rows of ``docs`` that the mix uses, whole with all their columns, each once per pass that takes words of it.
 
-    A document of which less than half a pass is taken is left out; so is one without words.
+    So of each source the last document taken counts whole, where its target ends within it.
+    Rows without words are left out. Rows with null or repeated doc_ids are rows like all others.
     """
-    took = mix(docs, weights, max_passes).filter("size > 0")
-    times = took.select("doc_id", F.least(F.lit(max_passes), F.round(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
-    times = times.groupBy("doc_id").agg(F.max("_times").alias("_times")).filter("_times > 0")
-    return docs.join(times, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_copy", "_times").select(*docs.columns)
+    rows = materialize(bloom.packed(docs).withColumn("_row", F.monotonically_increasing_id()), "mix-docs")
+    schedule = plan(rows.select("row.doc_id", "row.text", "row.source", "_row"), weights, max_passes)[2]
+    times = materialize(schedule.groupBy("_row").agg(F.count_distinct("pass").cast("int").alias("times")), "mix-times")
+    return rows.join(times, "_row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -8,19 +8,21 @@ for every row the sum of what was seen plus, for each dimension not seen yet, th
 next segment; rows whose bound is under the k-th best exact score so far cannot be members.
 It stops only when few rows are left, and rescores all of these exactly in integers.
 
-Queries go to the tasks in blocks of about ``QUERY_BLOCK`` rows, each a broadcast of bounded
+Queries go to the tasks in blocks of about ``QUERY_BYTES``, each a broadcast of bounded
 size; every block is searched against the whole index, and the best k rows of each task meet
 in a window by query.
 
 Defined results: vectors that are null or hold a null, NaN or infinite component take no part;
 vectors of unequal length count as padded with zeros; equal scores go to the smaller vec_id; a
 repeated vec_id is never its own neighbour and is one query; an empty table gives an empty
-result. Scores must fit 64 bits.
+result. A component beyond 64 bits counts as the nearest 64-bit number; scores beyond 64 bits rank by
+their true value and are returned as the nearest 64-bit number.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 from quillon.session import materialize
 
 SCALE = 1024
-#: Components in a block, quantised impacts of a dimension, queries in a broadcast.
-BLOCK, LEVELS, QUERY_BLOCK = 1 << 19, 32, 4096
+#: Components in a block, quantised impacts of a dimension, bytes of queries in a broadcast.
+BLOCK, LEVELS, QUERY_BYTES = 1 << 19, 32, 16 << 20
 #: Shares of the postings after which the bounds are looked at.
 ROUNDS = (0.2, 0.3, 0.4, 0.5, 0.65, 0.8, 1.0)
 
@@ -69,7 +71,9 @@ def _build(ids: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
         order = np.argsort(codes[:, d], kind="stable")
         value = codes[order, d]
         step = max(1, -(-(int(value[-1]) - int(value[0]) + 1) // LEVELS)) if rows else 1
-        begin = np.flatnonzero(np.concatenate(([True], np.diff((value - value[0]) // step) != 0)))
+        # Differences as unsigned words: they fit, whatever the values are.
+        level = (value.view(np.uint64) - value[:1].view(np.uint64)) // np.uint64(step)
+        begin = np.flatnonzero(np.concatenate(([True], np.diff(level) != 0)))
         end = np.append(begin[1:], rows)
         postings[d] = order
         segments.append(np.stack((np.full(len(begin), d), value[begin], value[end - 1], begin + d * rows, end + d * rows), axis=1))
@@ -120,6 +124,13 @@ class Block:
         self.values = self.codes[self.postings, own].astype(np.float64)
         self.first = np.searchsorted(self.dim, np.arange(row["dims"] + 1))
         self.least_few, self.enough = max(64, row["rows"] // 20), ROUNDS[0]
+        self.largest = float(np.abs(self.codes.astype(np.float64)).max(initial=0))
+
+    def exact(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Integer inner products, as Python integers where 64 bits might not hold a sum."""
+        if self.largest * float(np.abs(q.astype(np.float64)).max(initial=0)) * max(1, len(q)) < 2.0**62:
+            return self.codes[rows] @ q
+        return self.codes[rows].astype(object) @ q.astype(object)
 
     def members(self, query: np.ndarray, query_id: int, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(rows, exact scores) among which are all of the block's rows in the query's top k.
@@ -129,7 +140,8 @@ class Block:
         rows, dims = self.codes.shape
         q = np.zeros(dims, np.int64)
         q[: min(dims, len(query))] = query[:dims]
-        bound = np.where(q[self.dim] >= 0, q[self.dim] * self.high, q[self.dim] * self.low).astype(np.float64)
+        weight = q[self.dim].astype(np.float64)
+        bound = np.where(weight >= 0, weight * self.high.astype(np.float64), weight * self.low.astype(np.float64))
         order = np.argsort(-bound, kind="stable")
         size = np.cumsum((self.end - self.begin)[order])
         slack = 1e-9 * (np.abs(bound).sum() + 1)
@@ -149,14 +161,14 @@ class Block:
                     a, b = self.begin[a], self.end[b]
                     upper[self.postings[a:b]] += self.values[a:b] * float(q[d]) - rest[d]
             best = np.argpartition(-np.where(other, upper, -np.inf), min(k, rows) - 1)[:k]
-            exact = np.sort(self.codes[best[other[best]]] @ q)[::-1]
+            exact = np.sort(self.exact(best[other[best]], q))[::-1]
             least = max([x for x in (floor, int(exact[k - 1]) if len(exact) >= k else None) if x is not None], default=None)
-            few = np.flatnonzero(other & (upper >= least)) if least is not None else np.flatnonzero(other)
+            few = np.flatnonzero(other & (upper >= float(least))) if least is not None else np.flatnonzero(other)
             if len(few) <= self.least_few:
                 break
         # The next query begins where this one ended, or a step before that.
         self.enough = ROUNDS[max(0, ROUNDS.index(share) - (len(few) <= self.least_few // 4))]
-        return few, self.codes[few] @ q
+        return few, self.exact(few, q)
 
 
 def _search(queries, k: int):
@@ -173,8 +185,10 @@ def _search(queries, k: int):
                     rows, scores = block.members(query_codes[i], query_id, k, -own[k - 1][0] if len(own) >= k else None)
                     best[i] = sorted(own + list(zip((-scores).tolist(), block.ids[rows].tolist(), strict=True)))[:k]
         flat = [(int(q), v, -s) for q, own in zip(query_ids, best, strict=True) for s, v in own]
-        columns = [pa.array([x[i] for x in flat], pa.int64()) for i in range(3)]
-        yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
+        columns = [pa.array([x[i] for x in flat], pa.int64()) for i in range(2)]
+        # A true score can need more than 64 bits; its rank is of its high part, then its low one.
+        columns += [pa.array([Decimal(x[2] >> 62) for x in flat], pa.decimal128(38, 0)), pa.array([x[2] & (1 << 62) - 1 for x in flat], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "high", "low"])
 
     return run
 
@@ -183,16 +197,19 @@ def search(queries: DataFrame, index: DataFrame, k: int = 10) -> DataFrame:
     """``queries`` (vec_id, code) against a whole index: query_id, rank, vec_id, score."""
     spark = queries.sparkSession
     queries = materialize(queries.dropDuplicates(["vec_id"]), "topk-queries")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    found = None
+    found = queries.agg(F.count(F.lit(1)), F.max(F.size("code"))).first()
+    blocks = max(1, -(-found[0] * 8 * max(1, found[1] or 1) // QUERY_BYTES))
+    ranked = None
     for b in range(blocks):
         part = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow().sort_by("vec_id")
         shared = spark.sparkContext.broadcast((part.column(0).to_numpy(), _matrix(part.column(1))))
-        own = materialize(index.repartition(max(1, index.rdd.getNumPartitions())).mapInArrow(_search(shared, k), "query_id long, vec_id long, score long"), "topk-found")
-        found = own if found is None else found.union(own)
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+        own = materialize(index.repartition(max(1, index.rdd.getNumPartitions())).mapInArrow(_search(shared, k), "query_id long, vec_id long, high decimal(38,0), low long"), "topk-found")
+        shared.unpersist()
+        ranked = own if ranked is None else ranked.union(own)
+    order = W.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), "vec_id")
+    score = F.when(F.col("high") > 1, F.lit((1 << 63) - 1)).when(F.col("high") < -2, F.lit(-(1 << 63))).otherwise(F.col("high").cast("long") * (1 << 62) + F.col("low"))
+    ranked = ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", score.alias("score"))
 
 
 def nearest(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:

@@ -9,11 +9,14 @@ by their smoothed log-count ratio; the models are logistic regressions on these.
 
 The models are fitted on a bounded sample of labelled rows (``SAMPLE``, least hash of the
 doc_id first). Which features stand out is counted in Spark, over the sample and without each
-fold, so that the driver gets no other; all texts are scored whole. The decision threshold is the one of best F1 on
+fold, so that the driver gets no other (their number is bounded by the sample's vocabulary); all texts are scored whole. The decision threshold is the one of best F1 on
 the out-of-fold predictions.
 
-Defined results: a null or empty text has no feature and gets the model's base rate, which
-is never called toxic; rows with null doc_id or null labels are not learned from; if a label
+The categories are those that ``labels`` has. One, low quality, is no kind of toxicity; it stands
+first because the chain needs an earlier category, and ``toxic`` alone decides.
+
+Defined results: a text without a word (null and empty ones too) has no feature, gets the model's
+base rate and is never called toxic; rows with null doc_id or null labels are not learned from; if a label
 repeats, the larger counts; without labels of both kinds nothing is toxic.
 """
 
@@ -29,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from quillon.llm.bloom import packed
 from quillon.session import materialize
 
 SAMPLE = 20_000
@@ -36,8 +40,6 @@ FOLDS = 4
 DIMENSIONS = 1 << 20
 STEMS = (3, 4, 5, 6)
 LEAST_ROWS, LEAST_Z, SMOOTHING = 5, 4.0, 5.0
-#: Features of one model at most, those of largest |z|: bounds the model and its fit on the driver.
-MOST_FEATURES = 2_000
 #: Categories in chain order, as SQL over the columns of ``labels``.
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
 _WORD = re.compile(r"[^\W\d_]+")
@@ -83,10 +85,6 @@ class Rows:
     at: np.ndarray
     dims: int
 
-    @property
-    def owner(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.at) - 1, dtype=np.int32), np.diff(self.at))
-
     def parts(self, rows: int = 1000) -> Iterator[tuple[int, int, np.ndarray]]:
         """(first row, one past the last, their features), a bounded part at a time."""
         for i in range(0, len(self.at) - 1, rows):
@@ -123,26 +121,30 @@ def fit_linear(rows: Rows, y: np.ndarray, earlier: np.ndarray, steps: int = 150,
     expected = count * base
     z = (c1 - expected) / np.sqrt(np.maximum(expected * (1 - base), 1e-9))
     chosen = np.flatnonzero((count >= LEAST_ROWS) & (np.abs(z) >= LEAST_Z))
-    if len(chosen) > MOST_FEATURES:
-        chosen = np.sort(chosen[np.argsort(-np.abs(z[chosen]), kind="stable")[:MOST_FEATURES]])
     ratio = np.log((c1[chosen] + SMOOTHING * base) / pos / ((count[chosen] - c1[chosen] + SMOOTHING * (1 - base)) / (n - pos)))
     place = np.full(rows.dims, -1, np.int32)
     place[chosen] = np.arange(len(chosen), dtype=np.int32)
-    column, row = place[rows.flat], rows.owner
-    row, column = row[column >= 0], column[column >= 0]
-    # Sums by row and by feature over entries in order of each.
-    starts = np.flatnonzero(np.diff(row, prepend=-1))
-    filled, order = row[starts], np.argsort(column.astype(np.int16 if len(chosen) < 1 << 15 else np.int32), kind="stable")
-    of_feature, begin = row[order], np.searchsorted(column[order], np.arange(len(chosen)))
-    del row, order
+    small = np.int16 if len(chosen) < 1 << 15 else np.int32
+    # Of some rows each: the first, one past the last; by row the entries' features, by feature the entries' rows.
+    parts = []
+    for i, j, flat in rows.parts():
+        column, row = place[flat], np.repeat(np.arange(j - i, dtype=np.int16), np.diff(rows.at[i : j + 1]))
+        row, column = row[column >= 0], column[column >= 0]
+        starts, order = np.flatnonzero(np.diff(row, prepend=-1)), np.argsort(column, kind="stable")
+        begin = np.flatnonzero(np.diff(column[order], prepend=-1))
+        parts.append((i, j, column.astype(small), starts, row[starts], row[order], begin, column[order][begin]))
     w, e, b = np.zeros(len(chosen)), np.zeros(earlier.shape[1]), none.bias
     gw, ge, gb = np.full(len(w), 1e-8), np.full(len(e), 1e-8), 1e-8
     for _ in range(steps):  # full-batch Adagrad
-        total = earlier @ e + b
-        if len(chosen):
-            total[filled] += np.add.reduceat((w * ratio).astype(np.float32)[column], starts)
-        error = (_sigmoid(total) - y) / n
-        dw = (np.add.reduceat(error.astype(np.float32)[of_feature], begin) * ratio if len(chosen) else w) + decay * w / n
+        weights, dw, error = (w * ratio).astype(np.float32), np.zeros(len(chosen)), np.empty(n)
+        for i, j, column, starts, filled, row, begin, own in parts:
+            total = earlier[i:j] @ e + b
+            if len(starts):
+                total[filled] += np.add.reduceat(weights[column], starts)
+            error[i:j] = (_sigmoid(total) - y[i:j]) / n
+            if len(starts):
+                dw[own] += np.add.reduceat(error[i:j].astype(np.float32)[row], begin)
+        dw = dw * ratio + decay * w / n
         de, db = error @ earlier, error.sum()
         gw += dw * dw
         ge += de * de
@@ -159,13 +161,13 @@ class Chain:
     models: list[Linear]
     threshold: float
 
-    def table(self) -> tuple[dict[int, tuple[float, ...]], list[Linear]]:
-        """Weights of each chosen feature in all models."""
-        found: dict[int, list[float]] = {}
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """(features that any model chose, their weights in all models)."""
+        features = np.unique(np.concatenate([m.features for m in self.models]).astype(np.int64))
+        weights = np.zeros((len(features), len(self.models)))
         for i, m in enumerate(self.models):
-            for f, w in zip(m.features.tolist(), m.weights.tolist(), strict=True):
-                found.setdefault(f, [0.0] * len(self.models))[i] = w
-        return {f: tuple(w) for f, w in found.items()}, self.models
+            weights[np.searchsorted(features, m.features), i] = m.weights
+        return features, weights
 
 
 def fit_chain(rows: Rows, labels: np.ndarray, names: list[str], fold: np.ndarray, folds: int = FOLDS) -> Chain:
@@ -262,41 +264,44 @@ def _telling(rows: DataFrame, categories: int) -> np.ndarray:
             expected = less("n") * base
             z = F.abs((less(f"p{c}") - expected) / F.sqrt(F.greatest(expected * (1 - base), F.lit(1e-9))))
             strength.append(F.when((less("n") >= LEAST_ROWS) & (z >= LEAST_Z - 1e-6), z))
-    strong = materialize(counts.select("f", *[z.alias(f"z{i}") for i, z in enumerate(strength)]).filter(F.coalesce(*[F.col(f"z{i}") for i in range(len(strength))]).isNotNull()), "toxicity-strong")
-    tops = [strong.filter(F.col(f"z{i}").isNotNull()).orderBy(F.desc(f"z{i}"), "f").limit(MOST_FEATURES).select("f") for i in range(len(strength))]
-    union = tops[0]
-    for t in tops[1:]:
-        union = union.union(t)
-    return np.sort(union.distinct().toArrow().column(0).to_numpy().astype(np.int32))
+    strong = counts.filter(F.coalesce(*strength).isNotNull()).select("f")
+    return np.sort(materialize(strong, "toxicity-strong").toArrow().column(0).to_numpy().astype(np.int32))
 
 
 def scorer(chain: Chain):
     """A vectorised UDF: text -> struct of the categories' probabilities and the decision."""
-    weights, models = chain.table()
-    names, threshold = chain.names, chain.threshold
+    features, weights = chain.table()
+    names, models, threshold = chain.names, chain.models, chain.threshold
     schema = ", ".join(f"p_{n} double" for n in names) + f", {names[-1]} boolean"
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         kept: dict[str, tuple[int, ...]] = {}
+        place = {f: i for i, f in enumerate(features.tolist())}
         for texts in batches:
-            total = np.zeros((len(texts), len(models)))
+            said, flat, sizes = np.zeros(len(texts), bool), [], []
             for i, text in enumerate(texts):
                 found: set[int] = set()
-                for word in set(_WORD.findall((text or "").lower())):
+                words = set(_WORD.findall((text or "").lower()))
+                said[i] = bool(words)
+                if len(kept) >= _KEPT_WORDS:
+                    kept.clear()
+                for word in words:
                     own = kept.get(word)
                     if own is None:
-                        if len(kept) >= _KEPT_WORDS:
-                            kept.clear()
-                        own = kept[word] = tuple(f for f in word_features(word) if f in weights)
+                        own = kept[word] = tuple(place[f] for f in word_features(word) if f in place)
                     if own:
                         found.update(own)
-                for f in sorted(found):
-                    total[i] += weights[f]
+                flat += sorted(found)
+                sizes.append(len(found))
+            total, filled = np.zeros((len(texts), len(models))), np.flatnonzero(sizes)
+            if len(filled):
+                starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+                total[filled] = np.add.reduceat(weights[np.array(flat)], starts[filled], axis=0)
             earlier = np.zeros((len(texts), 0))
             for c, m in enumerate(models):
                 earlier = np.column_stack((earlier, _sigmoid(m.logit(total[:, c], earlier))))
             out = {f"p_{n}": earlier[:, c] for c, n in enumerate(names)}
-            yield pd.DataFrame(out | {names[-1]: earlier[:, -1] > threshold})
+            yield pd.DataFrame(out | {names[-1]: said & (earlier[:, -1] > threshold)})
 
     return pandas_udf(score, schema)
 
@@ -308,6 +313,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 
 def survivors(docs: DataFrame, labels: DataFrame, training: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
-    """``docs`` without those judged toxic; fitted on ``training`` (default: ``docs``)."""
+    """``docs`` without those judged toxic, rows whole; fitted on ``training`` (default: ``docs``)."""
     chain = train(docs if training is None else training, labels, sample)
-    return docs.withColumn("_s", scorer(chain)("text")).filter(~F.col("_s.toxic")).select(*docs.columns)
+    scored = packed(docs).withColumn("score", scorer(chain)(F.col("row.text")))
+    return scored.filter(~F.col(f"score.{chain.names[-1]}")).select("row.*")
