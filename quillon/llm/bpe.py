@@ -2,15 +2,18 @@
 
 A rolling hash over the bytes cuts each text into chunks of some hundred bytes, so that
 passages shared by documents give the same chunks wherever they stand. A task encodes a
-chunk it has not met as whole words (runs between ASCII white space, which the tokenizer
-drops and never merges across) and keeps the result; the next document that holds the chunk
-takes it from there. A cut may fall inside a word, so a chunk holds its finished middle and
-its two open ends; joining two chunks re-encodes the word that straddles the cut, up to white
-space on both sides, where the tokens of either side agree again with an encoding of the
-whole. A text without white space is one such word.
-
-What is kept is bounded (two generations of at most ``KEPT`` entries each), lives in the
-worker process and is only ever a saving: any task can be run again anywhere.
+chunk it has not met as whole words (runs between ASCII white space) and keeps the result;
+the next document that holds the chunk takes it from there. A cut may fall inside a word, so
+a chunk holds its finished middle and its two open ends. Joining two chunks re-encodes what
+straddles the cut together with the whole word on either side of it, and asks whether both
+sides come out as they were: ids and decoded text of the three must be those of the parts.
+Where they do not agree, the whole text is encoded anew at once, which is the library's own
+result. So chunk reuse never decides what the ids are.
+
+Reuse is per worker process: chunks and words are kept there, bounded in number and bytes
+(two generations of at most ``KEPT`` entries of at most ``LONGEST`` bytes each), and are only
+ever a saving; any task can be run again anywhere. A vocabulary that is not of the form for which words can
+be encoded apart (``_apart``) is encoded text by text.
 
 Defined results: a null text counts as empty; an empty or blank text has no tokens; a
 special token spelled out in a text is that token, as in the library.
@@ -19,6 +22,7 @@ special token spelled out in a text is that token, as in the library.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -33,8 +37,12 @@ from quillon.llm.kernels import U, mix64, powers, prefix_hash, slices, text_buff
 VOCABULARY = "word_bpe_49k.json"
 #: Entries in a generation of kept words, and of kept chunks.
 KEPT_WORDS, KEPT_CHUNKS = 200_000, 20_000
+#: Bytes of a word or chunk that is kept.
+LONGEST = 4096
 #: Chunks are 1 / CUT_RATE bytes long on average beyond the least length.
 CUT_RATE, WINDOW, LEAST = 256, 16, 64
+# Fixed value: the split of the vocabularies whose words can be encoded apart.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SPACE = re.compile(rb"[ \t\n\r]+")
 #: Between a word and one mark at its end the tokenizer always parts; so the two are looked up apart.
 _PARTS = re.compile(rb"[ \t\n\r]+|(?<=[a-z0-9])(?=[.,;:!?](?:[ \t\n\r]|$))")
@@ -52,12 +60,36 @@ class _Kept:
             self.put(key, found)
         return found
 
-    def put(self, key, value) -> None:
+    def put(self, key: bytes, value) -> None:
+        if len(key) > LONGEST:
+            return
         if len(self.new) >= self.most:
             self.old, self.new = self.new, {}
         self.new[key] = value
 
 
+def _apart(path: str) -> tuple[bool, bool]:
+    """(can the words between white space be encoded apart, is ASCII case ignored) of a tokenizer file.
+
+    They can if no step moves text across white space: normalizers that work within a word
+    or on white space itself, a split that keeps the matches of a pattern that white space
+    cannot match, and plain BPE with neither prefix, post-processor nor decoder.
+    """
+    with open(path, encoding="utf-8") as f:
+        parts = json.load(f)
+    steps = lambda x, name: [] if x is None else x.get(name, [x])
+    normal = steps(parts["normalizer"], "normalizers")
+    split = steps(parts["pre_tokenizer"], "pretokenizers")
+    spaces = [x for x in normal if x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " "]
+    plain = all(x in spaces or x["type"] in ("NFC", "Lowercase") for x in normal)
+    cut = [x["type"] for x in split] == ["Split", "ByteLevel"] and split[0]["invert"] and split[0]["behavior"] == "Removed"
+    if not (plain and cut and split[0]["pattern"] == {"Regex": WORD_PATTERN} and not split[1]["add_prefix_space"] and not split[1]["use_regex"]):
+        return False, False
+    model = parts["model"]
+    simple = model["type"] == "BPE" and not model["dropout"] and parts["post_processor"] is None and parts["decoder"] is None
+    return simple and all(not t["lstrip"] and not t["rstrip"] for t in parts["added_tokens"]), any(x["type"] == "Lowercase" for x in normal)
+
+
 class Codec:
     """Encoding and decoding of one vocabulary within a task.
 
@@ -73,7 +105,12 @@ class Codec:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.words, self.chunks = _Kept(KEPT_WORDS), _Kept(KEPT_CHUNKS)
-        self.met = self.reused = 0
+        self.apart, self.caseless = _apart(vocabulary)
+        self.met = self.reused = self.joins = self.disagreed = 0
+
+    def whole(self, text: str) -> tuple[int, str, str]:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return len(ids), " ".join(map(str, ids)), self.tokenizer.decode(ids, skip_special_tokens=False)
 
     def encode_words(self, words: list[bytes]) -> list[tuple[int, str, str]]:
         found = list(map(self.words.new.get, words))
@@ -100,34 +137,55 @@ class Codec:
             return Codec.joined([p for p in pieces if p[0]])
         return sum(n), " ".join(ids), " ".join(texts)
 
-    def chunk(self, raw: bytes) -> tuple[bytes, tuple | None, bytes]:
-        """(open head, finished middle, open tail); without white space all is head and the middle None."""
+    def chunk(self, raw: bytes) -> tuple:
+        """(open head, finished middle, open tail, first and last word of the middle); without
+        white space all is head and the middle None."""
         self.met += 1
         found = self.chunks.get(raw)
         if found is None:
             words = _ends(raw)
-            found = (raw, None, b"")
+            found = (raw, None, b"", b"", b"")
             if len(words) > 1:
-                inner = raw[len(words[0]) : len(raw) - len(words[-1])]
-                found = (words[0], self.joined(self.encode_words([w for w in _PARTS.split(inner) if w])), words[-1])
+                inner = [w for w in _PARTS.split(raw[len(words[0]) : len(raw) - len(words[-1])]) if w]
+                found = (words[0], self.joined(self.encode_words(inner)), words[-1], *((inner[0], inner[-1]) if inner else (b"", b"")))
             self.chunks.put(raw, found)
         else:
             self.reused += 1
         return found
 
+    def agree(self, joins: list[tuple[bytes, bytes, bytes]]) -> bool:
+        """Do the joins (word before, what straddles the cut, word after) encode and decode to what their parts do?"""
+        spans = [b" ".join(w for w in j if w).decode() for j in joins]
+        self.joins += len(joins)
+        for join, e in zip(joins, self.tokenizer.encode_batch_fast(spans, add_special_tokens=False), strict=True):
+            ids = e.ids
+            n, own, text = self.joined(self.encode_words([w for w in join if w]))
+            if len(ids) != n or " ".join(map(str, ids)) != own or self.tokenizer.decode(ids, skip_special_tokens=False) != text:
+                self.disagreed += 1
+                return False
+        return True
+
     def encode(self, raw: bytes, cuts: list[int]) -> tuple[int, str, str]:
         """One text, cut at the given places."""
-        pieces, open_ = [], b""
+        if not self.apart:
+            return self.whole(raw.decode())
+        pieces, joins, open_, before = [], [], b"", b""
         for a, b in zip([0, *cuts], [*cuts, len(raw)], strict=True):
-            head, middle, tail = self.chunk(raw[a:b])
+            head, middle, tail, first, last = self.chunk(raw[a:b])
             open_ += head
             if middle is not None:
                 if open_:
                     pieces += self.encode_words([open_])
+                    if a:
+                        joins.append((before, open_, first))
                 pieces.append(middle)
-                open_ = tail
+                open_, before = tail, last
         if open_:
             pieces += self.encode_words([open_])
+            if cuts:
+                joins.append((before, open_, b""))
+        if joins and not self.agree(joins):
+            return self.whole(raw.decode())
         return self.joined(pieces)
 
 
@@ -167,8 +225,8 @@ def _encoded(codec: Codec, column: pa.Array) -> Iterator[tuple[int, str, str]]:
         for d in range(a, b):
             start, end = int(offsets[d] - offsets[a]), int(offsets[d + 1] - offsets[a])
             text = raw[start:end]
-            # The tokenizer ignores case, but for the names of its special tokens.
-            text = text if b"<|" in text else text.lower()
+            # The tokenizer ignores case, but for the names of its special tokens; beyond ASCII, letters compose first.
+            text = text.lower() if codec.caseless and b"<|" not in text and text.isascii() else text
             i, j = np.searchsorted(cuts, (start + LEAST, end))
             places, last = [], start
             for c in cuts[i:j].tolist():
