@@ -32,7 +32,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillon.llm.kernels import U, mix64, powers, prefix_hash, slices, text_buffers
+from quillon.llm.kernels import U, mix64, powers, prefix_hash, slices, text_buffers, trimmed
 
 VOCABULARY = "word_bpe_49k.json"
 #: Entries in a generation of kept words, and of kept chunks.
@@ -251,7 +251,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["doc_id", "n_tokens", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, n_tokens long, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -264,7 +264,7 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
             texts = [tokenizer.decode(x.as_py() or [], skip_special_tokens=False) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(trimmed(run), "doc_id long, text string")
 
 
 def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -279,4 +279,4 @@ def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

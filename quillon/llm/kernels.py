@@ -6,8 +6,9 @@ temporaries stay small whatever the batch; one longer document is a slice by its
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,22 @@ _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 
 
+def trimmed(run: Callable) -> Callable:
+    """``run`` over batches, after which the worker hands its free memory back: it stays alive
+    for the next task, and what it holds then counts against the executor."""
+
+    @wraps(run)
+    def work(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # a C library without it
+            pass
+
+    return work
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

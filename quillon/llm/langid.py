@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.kernels import trimmed
 from quillon.session import materialize
 
 ORDERS = (1, 2, 3)
@@ -101,7 +102,7 @@ def count_grams(labelled: DataFrame) -> DataFrame:
         yield from counted(total)
 
     known = labelled.select("text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL")
-    counts = known.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = known.mapInArrow(trimmed(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     return materialize(counts, "langid-counts")
 
 
@@ -149,7 +150,7 @@ def _score(rows: DataFrame, langs: list[str], table: np.ndarray, with_text: bool
             columns = [pa.array(name, pa.string()), pa.array(top, pa.float64()), pa.array(mass, pa.float64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], names=[*kept, "best", "top", "mass"])
 
-    return rows.mapInArrow(run, STATE if with_text else STATE.replace("text string, ", ""))
+    return rows.mapInArrow(trimmed(run), STATE if with_text else STATE.replace("text string, ", ""))
 
 
 def predict(docs: DataFrame, counts: DataFrame) -> DataFrame:

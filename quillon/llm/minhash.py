@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import bloom
 from quillon.llm.components import components
-from quillon.llm.kernels import U, folded_byte_values, mix64, prefix_hash, range_hash, slices, text_buffers, words
+from quillon.llm.kernels import U, folded_byte_values, mix64, prefix_hash, range_hash, slices, text_buffers, trimmed, words
 from quillon.session import discard, materialize
 
 BANDS, ROWS = 32, 4
@@ -312,7 +312,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 
 def _by_squares(rows: DataFrame, work, schema: str, label: str) -> DataFrame:
-    return materialize(_dealt(rows).repartition("square").sortWithinPartitions("square").mapInArrow(_squares(work), schema), label)
+    return materialize(_dealt(rows).repartition("square").sortWithinPartitions("square").mapInArrow(trimmed(_squares(work)), schema), label)
 
 
 def classes_of(signed: DataFrame) -> DataFrame:
@@ -332,7 +332,7 @@ def linked(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFra
 
     # The full sets of these, from rows with the doc_ids of theirs.
     wanted = materialize(members.select("cid").distinct().join(classes.select("cid", *KEYS, F.col("rep").alias("doc_id")), "cid"), "near-wanted")
-    some = bloom.only_known(docs, "doc_id", wanted, wanted.count()).select("text").mapInArrow(_sets(k), "k1 long, k2 long, n_shingles long, shingles binary")
+    some = bloom.only_known(docs, "doc_id", wanted, wanted.count()).select("text").mapInArrow(trimmed(_sets(k)), "k1 long, k2 long, n_shingles long, shingles binary")
     sets = some.join(wanted.select("cid", *KEYS), KEYS).groupBy("cid").agg(F.any_value("shingles").alias("shingles"))
     sets = materialize(sets, "near-sets")
 
@@ -342,7 +342,7 @@ def linked(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFra
     pairs = pairs.join(sketch.toDF("a", "x"), "a").join(sketch.toDF("b", "y"), "b").filter(_xor("x", "y") <= bound)
     pairs = materialize(pairs.select("a", "b"), "near-pairs")
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    links = materialize(both.mapInArrow(_confirm(percent), "u long, v long"), "near-links")
+    links = materialize(both.mapInArrow(trimmed(_confirm(percent)), "u long, v long"), "near-links")
     parts = materialize(components(links), "near-parts")
 
     # Keys whose classes are still in different components.
@@ -362,7 +362,7 @@ def linked(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFra
 
 def _placed(rows: DataFrame, k: int, percent: int) -> DataFrame:
     """Each of ``rows`` (doc_id, text, _row): doc_id, _row, n_shingles, component; null for rows without a shingle."""
-    signed = materialize(rows.mapInArrow(_sign(k), SIGNED), "near-signed")
+    signed = materialize(rows.mapInArrow(trimmed(_sign(k)), SIGNED), "near-signed")
     classes = classes_of(signed)
     parts = materialize(linked(rows, classes, k, percent), "near-parts")
     own = classes.join(parts, F.col("cid") == F.col("node"), "left").select(*KEYS, F.coalesce("component", "cid").alias("component"))

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.llm.kernels import trimmed
 from quillon.session import materialize
 
 # Fixed values of the base spans.
@@ -166,7 +167,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 more.append(found)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, span), pa.array(more, candidate)], names=["doc_id", "base", "candidates"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, base {SPAN}, candidates array<struct<start:long,`end`:long,size:int,bin:int>>")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id long, base {SPAN}, candidates array<struct<start:long,`end`:long,size:int,bin:int>>")
 
 
 def structured_from(scanned: DataFrame, rate: float = FALSE_DISCOVERY_RATE) -> DataFrame:

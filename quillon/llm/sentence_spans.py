@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import bloom
-from quillon.llm.kernels import U, folded_byte_values, mix64, powers, prefix_hash, range_hash, slices, text_buffers, words
+from quillon.llm.kernels import U, folded_byte_values, mix64, powers, prefix_hash, range_hash, slices, text_buffers, trimmed, words
 from quillon.session import materialize
 
 RUN, LEAST_WORDS, WINDOW = 2, 12, 8
@@ -170,7 +170,7 @@ def _emit(run: int, least_words: int):
 def repeated_sentences(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
     """Per (doc_id, t = xxhash64 of the text) with any: spans array<struct<s:int,e:int>> of sentence numbers to remove."""
     texts = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
-    found = materialize(texts.mapInArrow(_emit(run, least_words), "doc_id long, t long, key long, a int, b int, again boolean"), "spans-runs")
+    found = materialize(texts.mapInArrow(trimmed(_emit(run, least_words)), "doc_id long, t long, key long, a int, b int, again boolean"), "spans-runs")
     first = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).filter("n > 1")
     first = materialize(first.select("key", "first_doc"), "spans-repeated")
     some = bloom.only_known(found, "key", first, first.count())
@@ -221,7 +221,7 @@ def dedup(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> Da
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], names=["doc_id", "n_sentences", "n_removed", "removed", "kept_text"])
 
-    return joined.unionByName(rest).mapInArrow(work, "doc_id long, n_sentences long, n_removed long, removed string, kept_text string")
+    return joined.unionByName(rest).mapInArrow(trimmed(work), "doc_id long, n_sentences long, n_removed long, removed string, kept_text string")
 
 
 def report(deduped: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import bloom
-from quillon.llm.kernels import U, prefix_hash, range_hash, slices, text_buffers
+from quillon.llm.kernels import U, prefix_hash, range_hash, slices, text_buffers, trimmed
 from quillon.llm.suffix_sort import deep_shallow_sort
 from quillon.session import materialize
 
@@ -197,11 +197,11 @@ def _covered(classes: DataFrame, length: int) -> DataFrame:
 def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Byte ranges to remove, per distinct (doc_id, t = xxhash64 of the text): spans array<struct<s:long,e:long>>, which may overlap."""
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
-    seen = texts.select("text").mapInArrow(_first_pass(length), "key long, ctx long")
+    seen = texts.select("text").mapInArrow(trimmed(_first_pass(length)), "key long, ctx long")
     seen = seen.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).filter("n > 1")
     seen = materialize(seen.select("key", (F.col("lo") != F.col("hi")).alias("mixed")), "suffix-repeated")
     share = docs.sparkSession.sparkContext.broadcast
-    hits = texts.mapInArrow(_second_pass(length, share(_Filter(seen)), share(_Filter(seen.filter("mixed")))), HITS)
+    hits = texts.mapInArrow(trimmed(_second_pass(length, share(_Filter(seen)), share(_Filter(seen.filter("mixed"))))), HITS)
     hits = materialize(hits, "suffix-hits")
     counted = hits.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a"), F.min("w").alias("w"))
     one = hits.filter("bytes IS NOT NULL").select("key", "ctx", "bytes").dropDuplicates(["key", "ctx"])
@@ -260,7 +260,7 @@ def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_spans(docs, repeated_bytes(docs, length)).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(docs, repeated_bytes(docs, length)).mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -270,4 +270,4 @@ def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_rest(raw, runs) for raw, runs in _runs(batch)], pa.binary())], names=["doc_id", "kept"])
 
-    return with_spans(docs, repeated_bytes(docs, length)).mapInArrow(run, "doc_id long, kept binary")
+    return with_spans(docs, repeated_bytes(docs, length)).mapInArrow(trimmed(run), "doc_id long, kept binary")

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.llm.kernels import trimmed
 from quillon.session import materialize
 
 SCALE = 1024
@@ -109,7 +110,7 @@ def build_index(codes: DataFrame) -> DataFrame:
         return _build(table.column(0).to_numpy(), _matrix(table.column(1)))
 
     spread = codes.repartition(max(1, -(-found[0] // per_block)), F.xxhash64("vec_id", "code"))
-    return materialize(spread.mapInArrow(run, INDEX), "topk-index")
+    return materialize(spread.mapInArrow(trimmed(run), INDEX), "topk-index")
 
 
 class Block:
@@ -203,7 +204,7 @@ def search(queries: DataFrame, index: DataFrame, k: int = 10) -> DataFrame:
     for b in range(blocks):
         part = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow().sort_by("vec_id")
         shared = spark.sparkContext.broadcast((part.column(0).to_numpy(), _matrix(part.column(1))))
-        own = materialize(index.repartition(max(1, index.rdd.getNumPartitions())).mapInArrow(_search(shared, k), "query_id long, vec_id long, high decimal(38,0), low long"), "topk-found")
+        own = materialize(index.repartition(max(1, index.rdd.getNumPartitions())).mapInArrow(trimmed(_search(shared, k)), "query_id long, vec_id long, high decimal(38,0), low long"), "topk-found")
         shared.unpersist()
         ranked = own if ranked is None else ranked.union(own)
     order = W.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), "vec_id")

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from quillon.llm.bloom import packed
+from quillon.llm.kernels import trimmed
 from quillon.session import materialize
 
 SAMPLE = 20_000
@@ -217,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, categories:
             yield _with_lists(batch, [text_features(t, known) for t in batch.column("text").to_pylist()])
 
     schema = "doc_id long, fold int, " + ", ".join(f"_y{i} double" for i in range(len(names))) + ", features array<int>"
-    rows = materialize(texts.select("doc_id", fold, *labelled, "text").mapInArrow(features, schema), "toxicity-rows")
+    rows = materialize(texts.select("doc_id", fold, *labelled, "text").mapInArrow(trimmed(features), schema), "toxicity-rows")
     telling = _telling(rows, len(names))
     shared = docs.sparkSession.sparkContext.broadcast(telling)
 
@@ -227,7 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, categories:
             lists = [np.array(x, np.int32) for x in batch.column("features").to_pylist()]
             yield _with_lists(batch, [np.searchsorted(shared.value, x[np.isin(x, shared.value)]) for x in lists])
 
-    got = rows.mapInArrow(only_telling, schema).toArrow().sort_by("doc_id").combine_chunks()
+    got = rows.mapInArrow(trimmed(only_telling), schema).toArrow().sort_by("doc_id").combine_chunks()
     lists = got.column("features").combine_chunks()
     flat = lists.flatten().to_numpy().astype(np.int16 if len(telling) < 1 << 15 else np.int32)
     sparse = Rows(flat, np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))), len(telling)) if got.num_rows else Rows(flat, np.zeros(1, np.int64), len(telling))
@@ -303,7 +304,7 @@ def scorer(chain: Chain):
             out = {f"p_{n}": earlier[:, c] for c, n in enumerate(names)}
             yield pd.DataFrame(out | {names[-1]: said & (earlier[:, -1] > threshold)})
 
-    return pandas_udf(score, schema)
+    return pandas_udf(trimmed(score), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -260,7 +260,7 @@ def test_secret_scan_against_plain_scan(spark):
     for i in range(400):
         kind = i % 5
         secret = key(r.choice((24, 32, 40, 64))) if kind == 0 else key(40, hexes) if kind == 1 else None
-        token = secret or (slug() if kind == 2 else "/".join(["usr", "share", "lib", "configuration", f"file{i:04d}"]) if kind == 3 else f"{i:030d}z")
+        token = secret or (slug() if kind == 2 else "/".join(["usr", "share", "lib", "configuration", f"file{i:04d}"]) if kind == 3 else f"{i:020d}z{i:09d}")
         texts.append(f"see {token} and password = {key(r.choice((3, 9)))} AKIA{key(r.choice((4, 18)), base64[:26])}.")
         planted.append(secret)
     got = {q.doc_id: q for q in secret_scan.report(secret_scan.find_secrets(rows_of(spark, [(i, t, "a") for i, t in enumerate(texts)]))).collect()}
