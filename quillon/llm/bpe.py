@@ -36,7 +36,7 @@ from quillon.llm.kernels import U, mix64, powers, prefix_hash, slices, text_buff
 
 VOCABULARY = "word_bpe_49k.json"
 #: Entries in a generation of kept words, and of kept chunks.
-KEPT_WORDS, KEPT_CHUNKS = 200_000, 20_000
+KEPT_WORDS, KEPT_CHUNKS = 100_000, 10_000
 #: Bytes of a word or chunk that is kept.
 LONGEST = 4096
 #: Chunks are 1 / CUT_RATE bytes long on average beyond the least length.
@@ -68,26 +68,25 @@ class _Kept:
         self.new[key] = value
 
 
-def _apart(path: str) -> tuple[bool, bool]:
-    """(can the words between white space be encoded apart, is ASCII case ignored) of a tokenizer file.
+def _apart(tokenizer) -> tuple[bool, bool]:
+    """(can the words between white space be encoded apart, is ASCII case ignored) of a tokenizer.
 
     They can if no step moves text across white space: normalizers that work within a word
     or on white space itself, a split that keeps the matches of a pattern that white space
     cannot match, and plain BPE with neither prefix, post-processor nor decoder.
     """
-    with open(path, encoding="utf-8") as f:
-        parts = json.load(f)
-    steps = lambda x, name: [] if x is None else x.get(name, [x])
-    normal = steps(parts["normalizer"], "normalizers")
-    split = steps(parts["pre_tokenizer"], "pretokenizers")
+    if tokenizer.normalizer is None or tokenizer.pre_tokenizer is None or type(tokenizer.model).__name__ != "BPE":
+        return False, False
+    normal, split = (json.loads(x.__getstate__()) for x in (tokenizer.normalizer, tokenizer.pre_tokenizer))
+    normal, split = normal.get("normalizers", [normal]), split.get("pretokenizers", [split])
     spaces = [x for x in normal if x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " "]
     plain = all(x in spaces or x["type"] in ("NFC", "Lowercase") for x in normal)
     cut = [x["type"] for x in split] == ["Split", "ByteLevel"] and split[0]["invert"] and split[0]["behavior"] == "Removed"
     if not (plain and cut and split[0]["pattern"] == {"Regex": WORD_PATTERN} and not split[1]["add_prefix_space"] and not split[1]["use_regex"]):
         return False, False
-    model = parts["model"]
-    simple = model["type"] == "BPE" and not model["dropout"] and parts["post_processor"] is None and parts["decoder"] is None
-    return simple and all(not t["lstrip"] and not t["rstrip"] for t in parts["added_tokens"]), any(x["type"] == "Lowercase" for x in normal)
+    simple = not tokenizer.model.dropout and tokenizer.post_processor is None and tokenizer.decoder is None
+    added = tokenizer.get_added_tokens_decoder().values()
+    return simple and not any(t.lstrip or t.rstrip for t in added), any(x["type"] == "Lowercase" for x in normal)
 
 
 class Codec:
@@ -105,7 +104,7 @@ class Codec:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.words, self.chunks = _Kept(KEPT_WORDS), _Kept(KEPT_CHUNKS)
-        self.apart, self.caseless = _apart(vocabulary)
+        self.apart, self.caseless = _apart(self.tokenizer)
         self.met = self.reused = self.joins = self.disagreed = 0
 
     def whole(self, text: str) -> tuple[int, str, str]:

@@ -26,11 +26,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from quillon.llm.bloom import packed
 from quillon.llm.kernels import trimmed
@@ -275,12 +274,12 @@ def scorer(chain: Chain):
     names, models, threshold = chain.names, chain.models, chain.threshold
     schema = ", ".join(f"p_{n} double" for n in names) + f", {names[-1]} boolean"
 
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kept: dict[str, tuple[int, ...]] = {}
         place = {f: i for i, f in enumerate(features.tolist())}
         for texts in batches:
             said, flat, sizes = np.zeros(len(texts), bool), [], []
-            for i, text in enumerate(texts):
+            for i, text in enumerate(texts.to_pylist()):
                 found: set[int] = set()
                 words = set(_WORD.findall((text or "").lower()))
                 said[i] = bool(words)
@@ -301,10 +300,10 @@ def scorer(chain: Chain):
             earlier = np.zeros((len(texts), 0))
             for c, m in enumerate(models):
                 earlier = np.column_stack((earlier, _sigmoid(m.logit(total[:, c], earlier))))
-            out = {f"p_{n}": earlier[:, c] for c, n in enumerate(names)}
-            yield pd.DataFrame(out | {names[-1]: said & (earlier[:, -1] > threshold)})
+            columns = [pa.array(np.ascontiguousarray(earlier[:, c])) for c in range(len(names))] + [pa.array(said & (earlier[:, -1] > threshold))]
+            yield pa.StructArray.from_arrays(columns, names=[*(f"p_{n}" for n in names), names[-1]])
 
-    return pandas_udf(trimmed(score), schema)
+    return arrow_udf(trimmed(score), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
