@@ -79,17 +79,60 @@ def class_years(c: Column, this_year: int) -> Column:
     return F.struct(F.array_min(found).alias("min"), F.array_max(found).alias("max"))
 
 
+# Cues of sentences that name graduation years; state codes; spellings of countries.
+CLASS_YEAR_CUES = ("class of", "graduat", "rising", "expected degree")
+US_STATES = (
+    "AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA", "HI", "ID", "IL", "IN", "IA", "KS", "KY", "LA", "ME", "MD", "MA",
+    "MI", "MN", "MS", "MO", "MT", "NE", "NV", "NH", "NJ", "NM", "NY", "NC", "ND", "OH", "OK", "OR", "PA", "RI", "SC", "SD", "TN",
+    "TX", "UT", "VT", "VA", "WA", "WV", "WI", "WY", "DC", "PR", "VI", "GU",
+)
+COUNTRIES = {
+    "us": "United States", "usa": "United States", "united states": "United States", "united states of america": "United States",
+    "america": "United States", "uk": "United Kingdom", "gb": "United Kingdom", "great britain": "United Kingdom",
+    "england": "United Kingdom", "scotland": "United Kingdom", "wales": "United Kingdom", "united kingdom": "United Kingdom",
+    "canada": "Canada", "india": "India", "ireland": "Ireland", "germany": "Germany", "deutschland": "Germany", "france": "France",
+    "spain": "Spain", "italy": "Italy", "netherlands": "Netherlands", "poland": "Poland", "sweden": "Sweden", "norway": "Norway",
+    "denmark": "Denmark", "finland": "Finland", "switzerland": "Switzerland", "austria": "Austria", "portugal": "Portugal",
+    "israel": "Israel", "japan": "Japan", "china": "China", "singapore": "Singapore", "australia": "Australia",
+    "new zealand": "New Zealand", "brazil": "Brazil", "mexico": "Mexico", "south korea": "South Korea", "taiwan": "Taiwan",
+    "south africa": "South Africa", "romania": "Romania", "czech republic": "Czech Republic", "hungary": "Hungary",
+}
+MODALITY = r"remotely|remote|hybrid|on-?site|in[- ]office|in[- ]person|wfh|virtual|distributed"
+
+
+def class_years_of_description(c: Column, this_year: int) -> Column:
+    """The same of a description, in the sentences that have a cue."""
+    sentences = F.filter(F.split(c, "[.!?\n]"), lambda s: F.lower(s).rlike("|".join(CLASS_YEAR_CUES)))
+    return class_years(F.array_join(sentences, "\n"), this_year)
+
+
+def term(title: Column, field: Column, this_year: int) -> Column:
+    """struct<season,year>; a stated term field overrides the title, each half by itself."""
+    return F.struct(F.coalesce(season(field), season(title)).alias("season"), F.coalesce(term_year(field, this_year), term_year(title, this_year)).alias("year"))
+
+
 def location_parts(c: Column) -> Column:
-    """struct<city,region,country,remote> of the first of several places; remote is null where not said."""
+    """struct<city,region,country,remote> of the first of several places; remote is null where not said.
+
+    A last part that is a country by any spelling is the country; a second part that is a state
+    code is a region of the United States; any other second part is a region.
+    """
     first = F.trim(F.split_part(F.regexp_replace(c, r"\|", ";"), F.lit(";"), F.lit(1)))
     low = F.lower(first)
-    remote = F.when(low.rlike(r"\bremote\b"), F.lit(True)).when(low.rlike(r"\b(on-?site|in[- ]person|in[- ]office)\b"), F.lit(False))
-    bare = F.trim(F.regexp_replace(first, r"(?i)[(\[]?\b(remote|hybrid|on-?site|in[- ]person|in[- ]office)\b[)\]]?\s*[-,:]?", ""))
+    remote = F.when(low.rlike(r"\b(remote|remotely|wfh|virtual)\b"), F.lit(True)).when(low.rlike(r"\b(on-?site|in[- ]person|in[- ]office)\b"), F.lit(False))
+    bare = F.trim(F.regexp_replace(first, rf"(?i)[(\[]?\b({MODALITY})\b[)\]]?\s*[-–—,:]?", ""))
     parts = F.filter(F.transform(F.split(bare, ","), lambda p: F.trim(p)), lambda p: p != "")
     n = F.size(parts)
-    return F.struct(
-        F.when(n >= 1, F.get(parts, F.lit(0))).alias("city"), F.when(n >= 2, F.get(parts, F.lit(1))).alias("region"), F.when(n >= 3, F.get(parts, F.lit(2))).alias("country"), remote.alias("remote")
-    )
+    known = F.create_map(*[F.lit(x) for kv in COUNTRIES.items() for x in kv])
+    country_of = lambda p: F.try_element_at(known, F.trim(F.regexp_replace(F.lower(p), r"[^\p{L}\p{N}]+", " ")))
+    last, second = F.get(parts, n - 1), F.get(parts, F.lit(1))
+    # A lone or second part in capitals of two letters is a state before it is a country.
+    state = (n == 2) & F.coalesce(second.isin(*US_STATES), F.lit(False))
+    country = F.when(state, F.lit("United States")).otherwise(F.coalesce(country_of(last), F.when(n >= 3, F.get(parts, F.lit(2)))))
+    is_country = ~state & country_of(last).isNotNull()
+    city = F.when((n >= 1) & ~(is_country & (n == 1)), F.get(parts, F.lit(0)))
+    region = F.when((n >= 2) & ~(is_country & (n == 2)), second)
+    return F.struct(city.alias("city"), region.alias("region"), country.alias("country"), remote.alias("remote"))
 
 
 def instant(c: Column) -> Column:

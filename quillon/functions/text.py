@@ -36,10 +36,13 @@ def slugify(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "-"), "^-|-$", "")
 
 
-def company_key(c: Column) -> Column:
-    """Words of a company name without legal suffixes at the end; one word stays at least."""
+def company_key(c: Column, aliases: dict[str, str] | None = None) -> Column:
+    """Words of a company name without legal suffixes at the end (one word stays at least), an alias as what it stands for."""
     words = F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
-    return F.regexp_replace(words, f"( ({'|'.join(LEGAL_SUFFIXES)}))+$", "")
+    key = F.regexp_replace(words, f"( ({'|'.join(LEGAL_SUFFIXES)}))+$", "")
+    if not aliases:
+        return key
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv]), key), key)
 
 
 def title_key(c: Column) -> Column:
@@ -71,6 +74,35 @@ def strip_html(c: Column) -> Column:
     return collapse(unescape(F.regexp_replace(bare, r"(?s)<[^>]*>", " ")))
 
 
+# Named character references and the plain characters that stand for them.
+ENTITIES = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ndash": "-", "mdash": "-", "lsquo": "'",
+    "rsquo": "'", "ldquo": '"', "rdquo": '"', "hellip": ".", "middot": ".", "bull": ".", "reg": " ", "copy": " ",
+    "trade": " ", "eacute": "e", "egrave": "e", "uuml": "u", "ouml": "o", "auml": "a", "ccedil": "c", "ntilde": "n",
+}
+LONGEST_REFERENCE = 11
+
+
+def decode_entities(c: Column) -> Column:
+    """Character references decoded once: named, ``&#n;`` and ``&#xh;``; what is none stays as written."""
+    named = F.create_map(*[F.lit(x) for kv in ENTITIES.items() for x in kv])
+
+    def decoded(part: Column) -> Column:  # what follows an ampersand
+        body = F.regexp_extract(part, rf"^([#A-Za-z0-9]{{1,{LONGEST_REFERENCE}}});", 1)
+        digits = F.coalesce(
+            F.conv(F.nullif(F.regexp_extract(body, "^#[xX]([0-9A-Fa-f]{1,7})$", 1), F.lit("")), 16, 10).cast("long"),
+            F.nullif(F.regexp_extract(body, "^#([0-9]{1,10})$", 1), F.lit("")).cast("long"),
+        )
+        code = F.when((digits < 0xD800) | digits.between(0xE000, 0x10FFFF), digits)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        plain = F.coalesce(F.try_element_at(named, body), char)
+        return F.coalesce(F.concat(plain, F.substr(part, F.length(body) + 2)), F.concat(F.lit("&"), part))
+
+    parts = F.split(c, "&")
+    rest = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), decoded)
+    return F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))
+
+
 def unescape(c: Column) -> Column:
     """The common entities; ``&amp;`` last, so that nothing is decoded twice."""
     for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):

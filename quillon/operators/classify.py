@@ -1,8 +1,9 @@
-"""Ordered-rule classification of short texts, and its measurement against labels.
+"""Ordered-rule classification of mail, and its measurement against labels.
 
 Rules are tried in order and the first that holds decides (category, confidence). A marker is
-*stated* if its sentence has no hedge; a *pair* is two markers within 160 characters. All rules
-are regular expressions over one folded text, so the whole classifier is one CASE expression.
+*stated* if it stands in a sentence without a hedge; a *pair* is two markers within GAP
+characters. A rule is a small tree of tests on three folded texts (all of the mail, its
+subject, its sender), and the whole classifier is one CASE expression of regular expressions.
 """
 
 from __future__ import annotations
@@ -14,46 +15,228 @@ from pyspark.sql import functions as F
 
 from quillon.functions.text import unescape
 
-HEDGE = r"\b(if|may|might|could|whether|unless|should you)\b"
 GAP = 160
 
+# The markers of each rule, phrases that make a sentence hypothetical, and sender domains.
+REJECTION = (
+    "move forward with other", "made the decision to move forward", "regret to inform", "we regret", "not be moving forward",
+    "not moving forward", "won't be moving forward", "will not be progressing", "not be proceeding",
+    "decided not to move forward", "decided to move forward with other", "no longer under consideration", "were not selected",
+    "not selected for", "pursue other candidates", "proceed with other candidates", "proceed with other applicants",
+    "not an ideal fit", "isn't an ideal fit", "not a fit at this time", "position has been filled", "role has been filled",
+    "not to proceed with your candidacy", "not proceed with your candidacy", "not move forward with your candidacy",
+    "decision to not move forward", "other candidates may better fit", "other candidates better fit",
+    "haven't met the requirements", "have not met the requirements", "did not meet the requirements",
+)
+PROSPECTIVE = (
+    "if your skills", "if your application is selected", "if your application moves forward", "if you are selected",
+    "if you're selected", "if selected", "candidates who move forward", "candidates who are selected",
+    "candidates selected to move forward", "for candidates selected", "may receive an invitation", "may be invited",
+    "if you're invited", "if you are invited", "planning to send", "upon completion", "if applicable",
+)
+REJECTION_HYPOTHETICAL = (
+    "or you were not", "if you were not", "if you are not", "if you're not", "if you have not", "if you haven't",
+    "if you did not", "if you didn't",
+)
+REJECTION_PAIRS = (
+    ("unfortunately", "not be moving forward"), ("unfortunately", "not moving forward"), ("unfortunately", "other candidates"),
+    ("unfortunately", "made the decision"), ("unfortunately", "not selected"), ("unfortunately", "unable to offer"),
+    ("unfortunately", "not be progressing"),
+)
+OFFER = ("offer of employment", "pleased to offer", "extend an offer", "your offer", "offer letter")
+INTERVIEW = (
+    "invite you to interview", "invitation to interview", "interview invitation", "invite you to an interview",
+    "like to interview you", "would like to interview", "to interview you", "schedule an interview",
+    "schedule your interview", "scheduling your interview", "set up an interview", "book an interview",
+    "book your interview", "confirm your interview", "your interview is", "interview has been scheduled",
+    "interview is scheduled", "phone screen", "schedule a call", "schedule some time", "schedule time",
+    "meet with the team", "like to speak with you",
+)
+INTERVIEW_ROUNDS = (
+    "next round", "final round", "round interview", "book a time", "select a slot", "select a time", "choose a time",
+    "pick a time",
+)
+ASSESSMENT = (
+    "online assessment", "invited to complete", "assessment invitation", "assessments invitation",
+    "complete the assessment", "complete your assessment", "coding challenge", "code challenge", "take home",
+    "take-home", "technical screen", "assessment expires", "assessments expire", "assessment will expire",
+    "assessments will expire", "assessment have expired", "assessments have expired",
+)
+ASSESSMENT_IS_DESCRIBED = (" our online assessment", " our assessments", " into our online")
+ASSESSMENT_IS_ASSIGNED = (
+    "invite you to complete", "invite you to take", "complete the assessment", "complete your assessment",
+    "completed the assessment", "completed your assessment", "assessment invitation", "assessments invitation",
+    "your assessment link",
+)
+ASSESSMENT_PLATFORMS = ("hackerrank", "codesignal", "codility", "karat", "coderpad", "hirevue")
+ASSESSMENT_TOPIC = ("assessment", "coding challenge", "coding test", "challenge")
+ASSESSMENT_PAIRS = (
+    ("invite you", "assessment"), ("invitation", "assessment"), ("next step", "assessment"), ("please complete", "rembrandt"),
+    ("complete your", "rembrandt"),
+)
+ACCOUNT_MAIL = (
+    "login code", "log-in code", "verification code", "security code", "one-time password", "confirm your identity",
+    "sign-in link", "registration",
+)
+STEP_ASK = ("please ", "kindly ")
+STEP_VERB = ("complete", "respond", "reply", "submit", "fill out", "fill in", "return")
+CONFIRMATION = (
+    "thank you for applying", "thanks for applying", "we have received your application", "we've received your application",
+    "application received", "received your application", "your application to", "thank you for your interest in",
+    "expressing interest in", "expressed interest in", "application was submitted", "submitting your application",
+    "taking the time to submit your application", "time to submit your application", "application sent to",
+    "submitted your application", "for submitting your", "thanks so much for applying", "thank you so much for applying",
+    "thank you for completing", "starting your submission", "your resume will be reviewed", "creating your career profile",
+)
+CONFIRMATION_PAIRS = (("received your", "application"), ("application", "has been received"), ("application", "was submitted"))
+BULK = (
+    "jobs for you", "new jobs", "job alert", "jobs you may be interested", "recommended for you", "top picks for you",
+    "hiring now", "apply now to", "we found jobs", "your job search", "unsubscribe from job", "webinar",
+    "master's program", "masters program", "bootcamp",
+)
+BULK_EVENT = ("rsvp", "thanks for your response to", "thank you for your response to", "you are registered", "thanks for registering")
+JOB_TOPIC = ("assessment", "application", "applied", "interview", "candidate", "recruit", "position", "internship", "hiring", "job offer")
+MACHINE_SENDER = ("no-reply", "noreply", "donotreply", "do-not-reply", "notifications@", "mailer@", "systemmessage@")
+ATS_DOMAINS = (
+    "greenhouse.io", "lever.co", "ashbyhq.com", "myworkday.com", "workday.com", "smartrecruiters.com", "icims.com",
+    "workable.com", "rippling.com", "paycomonline.com", "myworkdayjobs.com", "taleo.net", "brassring.com", "jobvite.com",
+    "gem.com", "hackerrankforwork.com", "clearcompany.com",
+)
+#: A deadline counted from now.
+SOON = r"within ((the next|[0-9]|one |two |three |four |five |seven |ten )[^.!?]{0,20}(day|hour|week)|a week|a day)"
+
+
+def any_of(markers: tuple[str, ...]) -> str:
+    """A regular expression for any of the markers, as they are."""
+    return "(" + "|".join(m.replace(".", "[.]") for m in markers) + ")"
+
 
 @dataclass(frozen=True)
-class Rule:
-    """``pattern`` alone, or with ``near`` within GAP characters, either order."""
+class Mail:
+    """The folded texts that rules look at, and whether a known company is named at all, and by sender or subject."""
 
-    category: str
-    confidence: float
+    text: Column
+    headline: Column
+    sender: Column
+    named: Column
+    named_in_head: Column
+
+
+@dataclass(frozen=True)
+class Has:
+    field: str
     pattern: str
-    near: str | None = None
-    stated: bool = False
 
-    def regex(self) -> str:
-        if self.near is None:
-            return self.pattern
+    def column(self, mail: Mail) -> Column:
+        return getattr(mail, self.field).rlike(self.pattern)
+
+
+@dataclass(frozen=True)
+class Sentence:
+    """One sentence that matches all patterns and has no hedge."""
+
+    patterns: tuple[str, ...]
+    hedges: tuple[str, ...]
+
+    def column(self, mail: Mail) -> Column:
+        def holds(s: Column) -> Column:
+            ok = ~s.rlike(any_of(self.hedges))
+            for p in self.patterns:
+                ok = ok & s.rlike(p)
+            return ok
+
+        return F.exists(F.split(mail.text, "[.!?]"), holds)
+
+
+@dataclass(frozen=True)
+class Near:
+    """Two markers within GAP characters, either order; with hedges, both outside hedged sentences."""
+
+    pairs: tuple[tuple[str, str], ...]
+    hedges: tuple[str, ...] = ()
+
+    def pattern(self) -> str:
         gap = f"(?s:.{{0,{GAP}}})"
-        return f"({self.pattern}){gap}({self.near})|({self.near}){gap}({self.pattern})"
+        return "|".join(f"{a}{gap}{b}|{b}{gap}{a}" for a, b in self.pairs)
+
+    def column(self, mail: Mail) -> Column:
+        text = mail.text
+        if self.hedges:  # hedged sentences as blanks
+            text = F.array_join(F.transform(F.split(text, "[.!?]"), lambda s: F.when(s.rlike(any_of(self.hedges)), F.repeat(F.lit(" "), F.length(s))).otherwise(s)), ".")
+        return text.rlike(self.pattern())
+
+
+@dataclass(frozen=True)
+class Flag:
+    field: str
+
+    def column(self, mail: Mail) -> Column:
+        return getattr(mail, self.field)
+
+
+@dataclass(frozen=True)
+class Of:
+    """``kind`` is and, or, not."""
+
+    kind: str
+    tests: tuple
+
+    def column(self, mail: Mail) -> Column:
+        parts = [t.column(mail) for t in self.tests]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out & p if self.kind == "and" else out | p
+        return ~out if self.kind == "not" else out
+
+
+def all_(*tests) -> Of:
+    return Of("and", tests)
+
+
+def either(*tests) -> Of:
+    return Of("or", tests)
+
+
+def no(test) -> Of:
+    return Of("not", (test,))
+
+
+@dataclass(frozen=True)
+class Rule:
+    category: str
+    confidence: float
+    test: object
+
+
+def stated(markers: tuple[str, ...], hedges: tuple[str, ...] = PROSPECTIVE) -> Sentence:
+    return Sentence((any_of(markers),), hedges)
 
 
-# Categories and the confidences of their rules, in the order in which they are tried.
+_YOURS = either(no(Has("text", any_of(ASSESSMENT_IS_DESCRIBED))), Has("text", any_of(ASSESSMENT_IS_ASSIGNED)))
+_PERSON = all_(no(Has("sender", "^$")), no(Has("sender", any_of(MACHINE_SENDER))))
+#: In the order in which they are tried.
 RULES = (
-    Rule("rejection", 0.90, r"not (be )?moving forward|decided not to (proceed|move)|unable to offer you|no longer under consideration", stated=True),
-    Rule("rejection", 0.85, r"\bunfortunately\b", near=r"other candidates|your application|this position|not selected"),
-    Rule("offer", 0.85, r"pleased to offer|offer letter|extend (you )?an offer", stated=True),
-    Rule("interview", 0.80, r"schedule (an|your) interview|invite you to interview|interview invitation|phone screen", stated=True),
-    Rule("oa", 0.80, r"online assessment|coding (challenge|assessment)|take-home", stated=True),
-    Rule("oa", 0.75, r"hackerrank|codesignal|codility", near=r"assessment|test|challenge"),
-    Rule("oa", 0.70, r"\bassessment\b", near=r"complete|deadline|link below"),
-    Rule("interview", 0.75, r"\b(first|second|next|final) round\b", near=r"interview"),
-    Rule("disregarded", 0.70, r"verify your email|reset your password|verification code"),
-    Rule("oa", 0.65, r"\b(please|must|need to) (complete|submit|fill)", near=r"within \d+ (hours?|days?)"),
-    Rule("confirmation", 0.85, r"thank you for (applying|your application)|received your application|application (was|has been) (received|submitted)"),
-    Rule("confirmation", 0.80, r"\bthank(s| you)\b", near=r"\bappl(y|ied|ication)\b"),
-    Rule("confirmation", 0.60, r"welcome to .{0,40}careers"),
-    Rule("disregarded", 0.70, r"unsubscribe|webinar|newsletter|join us for"),
-    Rule("outreach", 0.50, r"came across your (profile|resume)|reaching out"),
-    Rule("outreach", 0.45, r"\b(opportunity|role) (at|with)\b", near=r"interested"),
-)
+    Rule("rejection", 0.90, stated(REJECTION, REJECTION_HYPOTHETICAL)),
+    Rule("rejection", 0.85, Near(REJECTION_PAIRS)),
+    Rule("offer", 0.85, Has("text", any_of(OFFER))),
+    Rule("interview", 0.80, stated(INTERVIEW)),
+    Rule("oa", 0.80, all_(_YOURS, stated(ASSESSMENT))),
+    Rule("oa", 0.75, all_(_YOURS, either(
+        all_(Has("sender", any_of(ASSESSMENT_PLATFORMS)), stated(ASSESSMENT_TOPIC)),
+        Sentence((any_of(ASSESSMENT_TOPIC), any_of(ASSESSMENT_PLATFORMS)), PROSPECTIVE),
+    ))),
+    Rule("oa", 0.70, all_(_YOURS, Near(ASSESSMENT_PAIRS, PROSPECTIVE))),
+    Rule("interview", 0.75, stated(INTERVIEW_ROUNDS)),
+    Rule("disregarded", 0.70, all_(Has("headline", any_of(ACCOUNT_MAIL)), no(Has("headline", "intern")))),
+    Rule("oa", 0.65, all_(Sentence((any_of(STEP_ASK), any_of(STEP_VERB), SOON), PROSPECTIVE), Has("text", any_of(JOB_TOPIC)))),
+    Rule("confirmation", 0.85, Has("text", any_of(CONFIRMATION))),
+    Rule("confirmation", 0.80, Near(CONFIRMATION_PAIRS)),
+    Rule("confirmation", 0.60, all_(Has("headline", "welcome to"), Has("headline", "careers"))),
+    Rule("disregarded", 0.70, Has("headline", any_of(BULK_EVENT))),
+    Rule("disregarded", 0.70, Has("text", any_of(BULK))),
+    Rule("outreach", 0.50, either(Has("sender", any_of(ATS_DOMAINS)), Has("sender", any_of(ASSESSMENT_PLATFORMS)), all_(Flag("named"), _PERSON))),
+    Rule("outreach", 0.45, all_(Flag("named_in_head"), Has("text", any_of(JOB_TOPIC)))),
+)
 DEFAULT = ("disregarded", 0.60)
 STATUS_OF = {"oa": "oa", "interview": "interview", "offer": "offer", "rejection": "rejected"}
 
@@ -64,17 +247,20 @@ def folded(*parts: Column) -> Column:
     return F.translate(text, "‘’“”–—", "''\"\"--")
 
 
-def stated(text: Column, pattern: str) -> Column:
-    """Does the pattern hold in a sentence without a hedge?"""
-    return F.exists(F.split(text, "[.!?]"), lambda s: s.rlike(pattern) & ~s.rlike(HEDGE))
+def mail(sender: Column, subject: Column, *more: Column, known: str | None = None) -> Mail:
+    """Of a message's columns; ``known`` is a regular expression of known companies' names."""
+    text, headline, sender = folded(subject, *more), folded(subject), F.lower(F.coalesce(sender, F.lit("")))
+    head = headline.rlike(known) | sender.rlike(known) if known else F.lit(False)
+    return Mail(text, headline, sender, head | text.rlike(known) if known else F.lit(False), head)
 
 
-def classify(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+def classify(message: Mail | Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """struct<category, confidence, rule>; rule is the number of the first that holds, -1 for none."""
+    if isinstance(message, Column):
+        message = Mail(message, message, F.lit(""), F.lit(False), F.lit(False))
     place = F.lit(-1)
     for i in reversed(range(len(rules))):
-        r = rules[i]
-        place = F.when(stated(text, r.pattern) if r.stated else text.rlike(r.regex()), F.lit(i)).otherwise(place)
+        place = F.when(rules[i].test.column(message), F.lit(i)).otherwise(place)
     name = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(i), F.lit(r.category))])
     sure = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(i), F.lit(r.confidence))])
     return F.struct(F.coalesce(F.try_element_at(name, place), F.lit(DEFAULT[0])).alias("category"), F.coalesce(F.try_element_at(sure, place), F.lit(DEFAULT[1])).alias("confidence"), place.alias("rule"))

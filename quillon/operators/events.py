@@ -13,6 +13,7 @@ from quillon.functions.score import days
 STATUSES = ("applied", "oa", "interview", "offer", "rejected")
 RANK = {"applied": 1, "oa": 2, "interview": 3, "offer": 4, "rejected": 4}
 ORDER = ("at", "id")
+RANGES = 256
 
 
 def at_literal(now: datetime) -> Column:
@@ -37,25 +38,26 @@ def may_auto_apply(status: Column, confidence: Column, threshold: float | None)
 def applications(events: DataFrame, keys: list[str]) -> DataFrame:
     """One row per application: its creation, what came after, and its current status.
 
-    The earliest event is the creation, whatever its status. One shuffle on the keys; a
-    creation is found by ``min`` of an ordered struct, so no application is sorted.
+    The earliest event is the creation, whatever its status. Each fact is a minimum or maximum
+    over the events, combined before the shuffle; no application's history is collected.
     """
     event = F.struct(*ORDER, "status")
-    one = events.groupBy(*keys).agg(F.min(event).alias("created"), F.max(event).alias("last"), F.collect_list(event).alias("all"))
-    later = F.filter("all", lambda e: F.struct(e["at"], e["id"]) > F.struct(F.col("created.at"), F.col("created.id")))
-    one = one.withColumn("later", later)
-    response = F.array_min(F.filter("later", lambda e: e["status"] != "applied"))
-    reached = lambda *s: F.exists("later", lambda e: e["status"].isin(*s))
+    of = {"response": STATUSES[1:], "oa": ("oa", "interview", "offer"), "interview": ("interview", "offer"), "offer": ("offer",), "rejected": ("rejected",)}
+    held = {k: F.when(F.col("status").isin(*v), event) for k, v in of.items()}
+    first = events.groupBy(*keys).agg(F.min(event).alias("created"), F.max(event).alias("last"), *[F.max(h).alias(f"_{k}") for k, h in held.items()])
+    # After the creation there is one of them exactly if the latest of them is not the creation itself.
+    after = lambda k: F.coalesce(F.col(f"_{k}") > F.col("created"), F.lit(False))
+    creation = first.select(*keys, F.col("created.at").alias("_at"), F.col("created.id").alias("_id"))
+    later = events.filter(F.col("status") != "applied").join(creation, keys).filter(F.struct("at", "id") > F.struct("_at", "_id"))
+    response = later.groupBy(*keys).agg(F.min("at").alias("response_at"))
+    one = first.join(response, keys, "left")
     return one.select(
         *keys,
         F.col("created.at").alias("applied_at"),
         F.col("last.status").alias("status"),
-        response.isNotNull().alias("responded"),
-        days(response["at"], F.col("created.at")).alias("response_days"),
-        reached("oa", "interview", "offer").alias("reached_oa"),
-        reached("interview", "offer").alias("reached_interview"),
-        reached("offer").alias("offered"),
-        reached("rejected").alias("was_rejected"),
+        after("response").alias("responded"),
+        days(F.col("response_at"), F.col("created.at")).alias("response_days"),
+        *[after(k).alias(name) for k, name in (("oa", "reached_oa"), ("interview", "reached_interview"), ("offer", "offered"), ("rejected", "was_rejected"))],
     )
 
 
@@ -127,3 +129,24 @@ def upcoming(deadlines: DataFrame, at: str, now: datetime, leads_hours: tuple[in
     left = (F.unix_millis(F.col(at).cast("timestamp")) - F.unix_millis(at_literal(now).cast("timestamp"))) / 3_600_000
     rows = deadlines.withColumn("_left", left).filter((F.col("_left") > 0) & (F.col("_left") <= max(leads_hours)))
     return rows.withColumn("lead_hours", F.explode(F.array(*map(F.lit, leads_hours)))).filter("_left <= lead_hours").drop("_left")
+
+
+def rank_percentiles(rows: DataFrame, key: str, value: str, at: dict[str, float]) -> DataFrame:
+    """Per key: mean, most, and for each name the value of rank round(p * (n - 1)).
+
+    Values are counted first, so what a window runs over are a key's distinct values in
+    RANGES ranges, then the ranges' sums: two levels, neither of which holds a key's rows.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
+    edges = counts.groupBy(key).agg(F.min(value).alias("_lo"), F.max(value).alias("most"), F.sum("_c").alias("_n"), (F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("_mean"))
+    width = F.greatest((F.col("most") - F.col("_lo")) / RANGES, F.lit(1e-300))
+    placed = counts.join(edges, key).withColumn("_range", F.least(F.lit(RANGES - 1), F.floor((F.col(value) - F.col("_lo")) / width)))
+    sums = placed.groupBy(key, "_range").agg(F.sum("_c").alias("_sum"))
+    before = W.partitionBy(key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(key, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    within = W.partitionBy(key, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = placed.join(sums, [key, "_range"]).withColumn("_upto", F.col("_base") + F.sum("_c").over(within))
+    ranks = {name: F.round(F.lit(p) * (F.col("_n") - 1)) for name, p in at.items()}
+    return ranked.groupBy(key).agg(
+        F.round(F.first("_mean"), 6).alias("mean"), F.max("most").alias("most"), *[F.min(F.when(F.col("_upto") > r, F.col(value))).alias(name) for name, r in ranks.items()]
+    )

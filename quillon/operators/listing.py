@@ -138,6 +138,16 @@ def page(rows: DataFrame, by: list[Column], limit: int, offset: int = 0) -> Data
     return rows.orderBy(*by).offset(offset).limit(limit)
 
 
+def folded_page(live: DataFrame, wanted: Column, keys: list[str], by: list[Column], limit: int, offset: int = 0) -> DataFrame:
+    """A page of openings folded by ``keys``, each shown by its first row in order ``by``, with the counters
+    total_live, matched (before folding) and total_rows (after)."""
+    check_filters(limit=limit, offset=offset)
+    matched = live.filter(wanted)
+    heads = matched.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*by))).filter("_n = 1").drop("_n")
+    counters = live.agg(F.count(F.lit(1)).alias("total_live"), F.count_if(wanted).alias("matched")).crossJoin(matched.select(*keys).distinct().agg(F.count(F.lit(1)).alias("total_rows")))
+    return heads.orderBy(*by).offset(offset).limit(limit).crossJoin(counters)  # a row of counters
+
+
 def keyset_page(rows: DataFrame, at: str, key: str, limit: int, after: tuple | None = None, newest: bool = True) -> DataFrame:
     """``limit`` + 1 rows after the cursor (at, key); the last tells whether there is more."""
     check_filters(limit=limit)

@@ -22,17 +22,28 @@ def by_identity(rows: DataFrame, targets: DataFrame, keys: list[str], row_id: st
     return found.groupBy(row_id).agg(F.min(F.struct("nth_key", target_id)).alias("m")).select(row_id, f"m.{target_id}", "m.nth_key")
 
 
+#: So many names at most are broadcast; more are joined by a shuffle of both sides.
+MOST_BROADCAST = 100_000
+
+
 def mentions(texts: DataFrame, text_id: str, text: str, names: DataFrame, name: str) -> DataFrame:
     """Per text the longest of ``names`` that it holds as whole words.
 
-    Every name starts with a word, so texts and names meet on that word; names by one
-    first word may be many, texts are exploded into their distinct words only.
+    Names and texts meet on a name's first word. Of a text go on only its starts:
+    a word and the few after it that the longest name can need, never the text itself.
     """
-    keyed = names.select(F.col(name).alias("name"), phrase(F.col(name)).alias("_p")).filter("length(_p) > 2")
-    keyed = keyed.withColumn("_first", F.split_part(F.trim("_p"), F.lit(" "), F.lit(1))).dropDuplicates(["_p"])
-    padded = texts.select(text_id, phrase(F.col(text)).alias("_t"))
-    words = padded.withColumn("_first", F.explode(F.array_distinct(F.split(F.trim("_t"), " "))))
-    hits = words.join(keyed, "_first").filter(F.contains("_t", "_p"))
+    words = lambda c: F.split(F.trim(phrase(c)), " ")
+    keyed = names.select(F.col(name).alias("name"), words(F.col(name)).alias("_words")).filter("_words[0] <> ''")
+    keyed = keyed.groupBy("_words").agg(F.max("name").alias("name")).withColumn("_first", F.get("_words", F.lit(0)))
+    found = keyed.agg(F.count(F.lit(1)), F.max(F.size("_words"))).first()
+    longest = found[1] or 1
+    shifted = [F.slice("_all", F.lit(k + 1), F.greatest(F.size("_all") - k, F.lit(0))).alias(f"w{k}") for k in range(longest)]
+    starts = texts.select(text_id, words(F.col(text)).alias("_all")).select(text_id, F.explode(F.arrays_zip(*shifted)).alias("_start"))
+    same = F.lit(True)
+    for k in range(1, longest):
+        same = same & ((F.size("_words") <= k) | F.coalesce(F.get("_words", F.lit(k)) == F.col(f"_start.w{k}"), F.lit(False)))
+    side = F.broadcast(keyed) if found[0] <= MOST_BROADCAST else keyed.hint("merge")
+    hits = starts.join(side, F.col("_start.w0") == F.col("_first")).filter(same)
     return hits.groupBy(text_id).agg(F.max_by("name", F.struct(F.length("name"), "name")).alias("name"))
 
 
@@ -88,3 +99,12 @@ def suggest(names: DataFrame, name: str, query: str, limit: int = 5) -> DataFram
 def contains_text(c: Column, query: str) -> Column:
     """Case-blind substring, with no wildcards."""
     return F.lower(c).contains(query.lower())
+
+
+def similar_answers(answers: DataFrame, question: str, company: str | None, least: float = 0.45, limit: int = 10) -> DataFrame:
+    """Stored answers (question, specific, company) to a question like this one, best first; what is specific to a
+    company only for the same one."""
+    q = " ".join(question.lower().split())
+    fit = answers.filter(~F.col("specific") | F.coalesce(F.col("company") == F.lit(company), F.lit(False)))
+    scored = fit.withColumn("score", similarity(F.lit(q), F.col("question"))).filter(F.col("score") >= least)
+    return scored.orderBy(F.desc("score"), "question").limit(limit)

@@ -6,25 +6,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.functions.text import has_phrase
+from quillon.functions.text import company_key, has_phrase
 
-# Phrases that make a title an internship, software, or another discipline.
-INTERN = ["intern", "interns", "internship", "internships", "co op", "coop", "apprentice", "trainee"]
-SOFTWARE = ["software", "developer", "programmer", "backend", "frontend", "full stack", "machine learning", "data science", "devops"]
-OTHER = ["mechanical", "electrical", "civil", "chemical", "hardware", "sales", "marketing"]
+# Phrases that make a title an internship; a software role; an engineering role; and disciplines
+# that make an engineering role no software role.
+INTERN = [
+    "intern", "interns", "internship", "internships", "interning", "co op", "coop", "apprentice", "apprenticeship",
+    "industrial placement", "placement student", "trainee",
+]
+SOFTWARE = [
+    "software", "swe", "sde", "developer", "programmer", "programming", "computer science", "frontend", "front end",
+    "backend", "back end", "fullstack", "full stack", "web development", "web developer", "devops", "site reliability",
+    "sre", "machine learning", "compiler", "distributed systems", "ios", "android", "cybersecurity",
+    "security engineering", "platform engineering", "infrastructure engineering",
+]
+ENGINEERING = ["engineer", "engineers", "engineering"]
+OTHER = [
+    "mechanical", "chemical", "civil", "electrical", "industrial", "aerospace", "aeronautical", "biomedical", "petroleum",
+    "structural", "environmental", "manufacturing", "materials", "nuclear", "sales", "field", "hardware", "packaging",
+    "mining", "geotechnical", "automotive", "marine", "agricultural",
+]
 
 
 def gate(raw: DataFrame, wrong_term: str = "false") -> DataFrame:
     """Adds qc_kind, qc_reason, qc_field; tested in a fixed order, the first failure counts."""
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     other = has_phrase(F.col("title"), OTHER)
-    software = has_phrase(F.col("title"), SOFTWARE) | (has_phrase(F.col("title"), ["engineering", "engineer"]) & ~other)
+    software = has_phrase(F.col("title"), SOFTWARE) | (has_phrase(F.col("title"), ENGINEERING) & ~other)
     steps = [
         ("rejected", "missing_source", "source", blank("source")),
         ("rejected", "missing_external_id", "external_id", blank("external_id")),
         ("rejected", "missing_url", "url", blank("url")),
         ("rejected", "not_http", "url", ~F.lower("url").rlike("^https?://")),
-        ("rejected", "missing_company", "company", blank("company")),
+        ("rejected", "missing_company", "company", blank("company") | (company_key(F.col("company")) == "")),
         ("rejected", "missing_title", "title", blank("title")),
         ("filtered", "not_an_internship", "title", ~has_phrase(F.col("title"), INTERN)),
         ("filtered", "not_software", "title", ~software),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
 
 import pandas as pd
@@ -44,57 +45,77 @@ def recipe_order() -> list:
     return [(F.col("total") < 2).asc(), F.col("missing").asc(), F.col("total").desc(), F.col("recipe").asc()]
 
 
-def liked(reviews: DataFrame, now: datetime, half_days: float = 120.0) -> DataFrame:
-    """Recipes of mean rating 4 or more, scored by their best decayed review, 0 at least."""
+def liked(reviews: DataFrame, now: datetime, half_days: float = 120.0, least_mean: float = 4.0) -> DataFrame:
+    """Recipes of mean rating ``least_mean`` or more, scored by their best decayed review, 0 at least."""
     gain = half_life(F.col("rating") - F.lit(3.0), days(at_literal(now), F.col("cooked_at")), half_days)
     one = reviews.groupBy("recipe").agg(F.avg("rating").alias("mean"), F.greatest(F.lit(0.0), F.max(gain)).alias("score"))
-    return one.filter("mean >= 4.0")
+    return one.filter(F.col("mean") >= least_mean)
 
 
 def interleave(ranked: DataFrame, order: list, favorites: DataFrame, key: str, seed: str, slots: tuple[int, ...] = (3, 5, 7)) -> DataFrame:
     """Puts favorites from beyond the first places into ``slots`` (from 0), chosen by a seeded hash.
 
-    The whole order is a running number over one sort; a moved row gets its slot, the others
-    shift back. Every row stays exactly once.
+    Only the first places matter: the rows there are at most the last slot's number and are
+    placed one by one. All others keep their order; ``position`` is null beyond the first
+    places, where the order is ``order`` without the moved rows.
     """
-    placed = ranked.withColumn("_rank", F.row_number().over(W.orderBy(*order)) - 1)
-    eligible = placed.join(favorites.select(key), key, "left_semi").filter(F.col("_rank") >= slots[0])
-    pick = eligible.select(key, F.sha2(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")), 256).alias("_h")).orderBy("_h").limit(len(slots))
-    chosen = pick.withColumn("_slot", F.element_at(F.array(*map(F.lit, slots)), F.row_number().over(W.orderBy("_h"))))
-    moved = placed.join(chosen.select(key, "_slot"), key, "left")
-    kept = moved.filter("_slot IS NULL").withColumn("_n", F.row_number().over(W.orderBy("_rank")) - 1)
-    for s in slots:  # a kept row at or after a used slot moves one back
-        used = chosen.agg(F.max(F.when(F.col("_slot") == s, 1)).alias("_u"))
-        kept = kept.crossJoin(used).withColumn("_n", F.col("_n") + F.when((F.col("_u") == 1) & (F.col("_n") >= s), 1).otherwise(0)).drop("_u")
-    rows = kept.withColumn("position", F.col("_n")).unionByName(moved.filter("_slot IS NOT NULL").withColumn("position", F.col("_slot")), allowMissingColumns=True)
-    return rows.drop("_rank", "_slot", "_n")
+    head = ranked.orderBy(*order).limit(slots[-1] + 1 + len(slots))
+    first = [r[0] for r in head.select(key).collect()]  # a bounded head
+    safe = first[: slots[0]]
+    hashed = F.sha2(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")), 256)
+    eligible = ranked.join(favorites.select(key).distinct(), key, "left_semi").filter(~F.col(key).isin(safe)) if safe else ranked.join(favorites.select(key).distinct(), key, "left_semi")
+    chosen = [r[0] for r in eligible.orderBy(hashed, key).limit(len(slots)).select(key).collect()]
+    at = dict(zip(slots, chosen, strict=False))
+    rest = iter([x for x in first if x not in chosen])
+    placed = []
+    for place in range(slots[-1] + 1):
+        row = at[place] if place in at else next(rest, None)
+        if row is not None:
+            placed.append((row, place))
+    places = ranked.sparkSession.createDataFrame(placed, f"_k {dict(ranked.dtypes)[key]}, position long") if placed else None
+    if places is None:
+        return ranked.withColumn("position", F.lit(None).cast("long"))
+    return ranked.join(F.broadcast(places), F.col(key) == F.col("_k"), "left").drop("_k")
 
 
 def merge_stock(rows: DataFrame, keys: list[str], tolerance_days: float = 3.0) -> DataFrame:
     """Arrivals folded into stock: each joins the earliest-expiring lot of its keys within the tolerance,
-    else opens a lot. Sequential by nature, so each key's arrivals are folded in one pandas group;
-    a key's arrivals are the purchases of one item by one user.
+    else opens a lot.
+
+    Sequential by nature: rows are sorted by key and arrival within their partition and folded
+    as a stream of batches. What a task holds is the open lots of one key.
     """
+    tolerance = tolerance_days * 86_400
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", quantity double, expires_at timestamp_ntz, arrivals long"
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own: tuple | None = None
         lots: list[list] = []
-        for r in frame.sort_values(["added_at", "row_id"]).itertuples():
-            near = [x for x in lots if abs((x[1] - r.expires_at).total_seconds()) <= tolerance_days * 86_400]
-            if near:
-                lot = min(near, key=lambda x: x[1])
-                lot[0] += r.quantity
-                lot[1] = min(lot[1], r.expires_at)
-                lot[2] += 1
-            else:
-                lots.append([r.quantity, r.expires_at, 1])
-        out = pd.DataFrame(lots, columns=["quantity", "expires_at", "arrivals"])
-        for k in keys:
-            out[k] = frame[k].iloc[0]
-        return out[[*keys, "quantity", "expires_at", "arrivals"]]
 
-    kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", quantity double, expires_at timestamp_ntz, arrivals long"
-    return rows.select(*keys, F.col("quantity").cast("double"), "expires_at", "added_at", "row_id").groupBy(*keys).applyInPandas(fold, schema)
+        def done() -> list[tuple]:
+            return [(*own, *lot) for lot in lots] if own is not None else []
+
+        for frame in frames:
+            out: list[tuple] = []
+            for r in frame.itertuples(index=False):
+                key = tuple(getattr(r, k) for k in keys)
+                if key != own:
+                    out += done()
+                    own, lots = key, []
+                near = [x for x in lots if abs((x[1] - r.expires_at).total_seconds()) <= tolerance]
+                if near:
+                    lot = min(near, key=lambda x: x[1])
+                    lot[0] += r.quantity
+                    lot[1] = min(lot[1], r.expires_at)
+                    lot[2] += 1
+                else:
+                    lots.append([r.quantity, r.expires_at, 1])
+            yield pd.DataFrame(out, columns=[*keys, "quantity", "expires_at", "arrivals"])
+        yield pd.DataFrame(done(), columns=[*keys, "quantity", "expires_at", "arrivals"])
+
+    arrived = rows.select(*keys, F.col("quantity").cast("double"), "expires_at", "added_at", "row_id")
+    return arrived.repartition(*keys).sortWithinPartitions(*keys, "added_at", "row_id").mapInPandas(run, schema)
 
 
 # Storage families in order of preference, and the days of a unit.

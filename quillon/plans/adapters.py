@@ -44,8 +44,8 @@ COHORT = """count(*) AS applications, count(*) FILTER (WHERE responded) AS respo
   round(quantile_cont(response_days, 0.5), 6) AS median_days, round(quantile_disc(response_days, 0.9), 6) AS p90_days, count(response_days) AS n_days"""
 
 
-def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One posting per order; every kind of unknown occurs."""
+def postings(spark: SparkSession, sf_dir: str, deadlines: bool = True) -> DataFrame:
+    """One posting per order; every kind of unknown occurs. Without ``deadlines`` the line items are not read."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     ship = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("last_ship"))
     k = F.col("o_orderkey")
@@ -53,7 +53,8 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     pay = F.when(k % 4 == 0, F.col("o_totalprice") / 5000).when(k % 4 == 1, F.col("o_totalprice") / 30).when(k % 4 == 2, F.col("o_totalprice") / 2)
     low = pay
     expired = F.when(k % 10 == 9, F.col("o_orderdate") + F.expr("INTERVAL 60 DAYS"))
-    rows = o.join(c, o.o_custkey == c.c_custkey).join(ship, k == F.col("l_orderkey"), "left")
+    rows = o.join(c, o.o_custkey == c.c_custkey)
+    rows = rows.join(ship, k == F.col("l_orderkey"), "left") if deadlines else rows.withColumn("last_ship", F.lit(None).cast("timestamp_ntz"))
     return rows.select(
         k.alias("posting_id"),
         F.concat(F.lit("co-"), (F.col("o_custkey") % 97).cast("string")).alias("company_key"),

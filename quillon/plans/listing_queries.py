@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.functions import score as S
 from quillon.operators import events as E
 from quillon.operators import listing as L
 from quillon.operators import quality
+from quillon.operators import recommend as R
 from quillon.plans import adapters as A
 from quillon.plans.registry import query
 from quillon.session import table
@@ -78,7 +78,7 @@ def dt7_lead_window(spark, sf):
 
 
 def _signals(spark, sf):
-    return L.with_prestige(L.company_signals(A.postings(spark, sf), A.sightings(spark, sf)), A.tiers(spark))
+    return L.with_prestige(L.company_signals(A.postings(spark, sf, deadlines=False), A.sightings(spark, sf)), A.tiers(spark))
 
 
 @query(f"WITH {A.POSTINGS}, {A.SIGHTINGS}, {A.SIGNALS} SELECT company_key, company_name, total_postings, live_postings, pay_observations, round(median_pay, 6) AS median_pay, distinct_sources, round(prestige, 6) AS prestige FROM prestiges")
@@ -166,7 +166,7 @@ def pj11_term_presented(spark, sf):
 
 @query(f"""WITH {A.POSTINGS}, {A.SIGHTINGS} SELECT company_key, source, count(DISTINCT posting_id) AS live FROM sightings JOIN postings USING (posting_id) WHERE expired_at IS NULL GROUP BY 1, 2""")
 def jn2_sources_of_companies(spark, sf):
-    joined = A.sightings(spark, sf).join(A.postings(spark, sf).filter("expired_at IS NULL").select("posting_id", "company_key"), "posting_id")
+    joined = A.sightings(spark, sf).join(A.postings(spark, sf, deadlines=False).filter("expired_at IS NULL").select("posting_id", "company_key"), "posting_id")
     return joined.groupBy("company_key", "source").agg(F.countDistinct("posting_id").alias("live"))
 
 
@@ -187,14 +187,7 @@ def jn6_latest_row(spark, sf):
 
 @query("""SELECT round(avg(value), 6) AS mean, max(value) AS most, [x for x in list_sort(list(value))][1 + CAST(round(0.5 * (count(*) - 1)) AS BIGINT)] AS p50, list_sort(list(value))[1 + CAST(round(0.99 * (count(*) - 1)) AS BIGINT)] AS p99, event_type FROM events GROUP BY event_type""")
 def ag24_load_percentiles(spark, sf):
-    """Rank percentiles by a window over the group, not by collecting the group."""
-    from pyspark.sql import Window as W
-
-    ev = table(spark, sf, "events").filter("value IS NOT NULL")
-    w = W.partitionBy("event_type")
-    at = lambda p: F.max(F.when(F.col("i") == F.round(F.lit(p) * (F.col("n") - 1)), F.col("value")))
-    numbered = ev.withColumns({"i": F.row_number().over(w.orderBy("value", "event_id")) - 1, "n": F.count(F.lit(1)).over(w)})
-    return numbered.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("most"), at(0.5).alias("p50"), at(0.99).alias("p99"))
+    return E.rank_percentiles(table(spark, sf, "events"), "event_type", "value", {"p50": 0.5, "p99": 0.99})
 
 
 @query("SELECT o_orderkey AS id, to_json(struct_pack(id := o_orderkey, status := o_orderstatus)) AS snapshot FROM orders")
@@ -206,7 +199,5 @@ def pj16_snapshot(spark, sf):
 s AS (SELECT recipe, avg(rating) AS mean, greatest(0.0, max((rating - 3.0) * power(0.5, (epoch_ms(TIMESTAMP '2024-02-15') - epoch_ms(ts)) / 86400000.0 / 120.0))) AS score FROM r GROUP BY 1)
 SELECT recipe, round(mean, 6) AS mean, round(score, 6) AS score FROM s WHERE mean >= 2.9""")
 def ag19_liked(spark, sf):
-    rows = table(spark, sf, "events").filter("value IS NOT NULL").select(F.col("user_id").alias("recipe"), (1 + F.floor("value").cast("int") % 5).alias("rating"), "ts")
-    gain = S.half_life(F.col("rating") - F.lit(3.0), S.days(E.at_literal(A.NOW), F.col("ts")), 120.0)
-    one = rows.groupBy("recipe").agg(F.avg("rating").alias("mean"), F.greatest(F.lit(0.0), F.max(gain)).alias("score"))
-    return one.filter("mean >= 2.9").select("recipe", F.round("mean", 6).alias("mean"), F.round("score", 6).alias("score"))
+    rows = table(spark, sf, "events").filter("value IS NOT NULL").select(F.col("user_id").alias("recipe"), (1 + F.floor("value").cast("int") % 5).alias("rating"), F.col("ts").alias("cooked_at"))
+    return R.liked(rows, A.NOW, least_mean=2.9).select("recipe", F.round("mean", 6).alias("mean"), F.round("score", 6).alias("score"))

@@ -161,10 +161,10 @@ def set1_union(spark, sf):
     return table(spark, sf, "nation").select(F.lower("n_name").alias("name")).union(table(spark, sf, "region").select(F.lower("r_name"))).distinct()
 
 
-@query("SELECT DISTINCT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_custkey % 5 <> 0")
+@query("SELECT DISTINCT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 4 <> 0) AND c_custkey % 5 <> 0")
 def set3_difference(spark, sf):
     seen = table(spark, sf, "customer").select(F.col("c_custkey").alias("id")).distinct()
-    known = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"))
+    known = table(spark, sf, "orders").filter("o_orderstatus = 'F' AND o_orderkey % 4 <> 0").select(F.col("o_custkey").alias("id"))
     return seen.join(known, "id", "left_anti").join(seen.filter("id % 5 = 0"), "id", "left_anti")
 
 
@@ -204,15 +204,33 @@ def sk9_merge_stock(spark, sf):
     return R.merge_stock(rows, ["item"])
 
 
-@query()
+@query("""WITH o AS (SELECT o_orderkey AS id, o_orderdate AS received, CAST(o_orderkey % 27 + 1 AS INTEGER) AS d, CAST(o_orderkey % 12 + 1 AS INTEGER) AS m, o_orderkey % 5 AS kind FROM orders)
+SELECT id, strftime(CASE kind WHEN 0 THEN received + to_days(d) WHEN 1 THEN received + to_hours(d)
+ WHEN 2 THEN CASE WHEN make_date(year(received), m, d) >= CAST(received AS DATE) THEN make_date(year(received), m, d) ELSE make_date(year(received) + 1, m, d) END
+ WHEN 3 THEN make_date(year(received) + 1, m, d) END, '%Y-%m-%d %H:%M') AS deadline FROM o WHERE kind < 4""")
 def dt4_deadlines(spark, sf):
+    """Messages made of orders: days, hours, a month's name without a year, a numeric date, and one without a cue."""
     from quillon.functions.parse import deadline
 
-    at = F.lit("2024-01-15").cast("timestamp_ntz")
-    return A.messages(spark, sf).select("conv_id", "turn", deadline(F.col("text"), at).alias("deadline")).filter("deadline IS NOT NULL")
-
-
-@query()
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    d, m, kind = (k % 27 + 1).cast("string"), (k % 12 + 1).cast("int"), k % 5
+    month = F.element_at(F.array(*[F.lit(x) for x in "January February March April May June July August September October November December".split()]), m)
+    text = (
+        F.when(kind == 0, F.concat(F.lit("Please complete it within "), d, F.lit(" days.")))
+        .when(kind == 1, F.concat(F.lit("The link expires within "), d, F.lit(" hours")))
+        .when(kind == 2, F.concat(F.lit("It is due by "), month, F.lit(" "), d, F.lit(".")))
+        .when(kind == 3, F.concat(F.lit("Submit before "), m.cast("string"), F.lit("/"), d, F.lit("/"), (F.year("o_orderdate") + 1).cast("string")))
+        .otherwise(F.concat(F.lit("We met on "), m.cast("string"), F.lit("/"), d))
+    )
+    found = o.select(k.alias("id"), deadline(text, F.col("o_orderdate")).alias("deadline")).filter("deadline IS NOT NULL")
+    return found.select("id", F.date_format("deadline", "yyyy-MM-dd HH:mm").alias("deadline"))
+
+
+@query("""WITH r AS (SELECT p_partkey AS recipe, p_retailprice AS score, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS rk FROM part),
+chosen AS (SELECT recipe, [3, 5, 7][n] AS position FROM (SELECT recipe, row_number() OVER (ORDER BY sha256('2024-02-15|' || recipe), recipe) AS n FROM r WHERE recipe % 9 = 0 AND rk >= 3) WHERE n <= 3),
+rest AS (SELECT recipe, row_number() OVER (ORDER BY rk) AS n FROM r WHERE recipe NOT IN (SELECT recipe FROM chosen)),
+placed AS (SELECT recipe, position FROM chosen UNION ALL SELECT recipe, [0, 1, 2, 4, 6][n] FROM rest WHERE n <= 5)
+SELECT r.recipe, score, CAST(position AS BIGINT) AS position FROM r LEFT JOIN placed USING (recipe)""")
 def so6_interleave(spark, sf):
     rows = table(spark, sf, "part").select(F.col("p_partkey").alias("recipe"), F.col("p_retailprice").alias("score"))
     return R.interleave(rows, [F.desc("score"), F.col("recipe")], rows.filter("recipe % 9 = 0"), "recipe", "2024-02-15")

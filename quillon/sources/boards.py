@@ -57,16 +57,28 @@ def lever(payloads: DataFrame) -> DataFrame:
     return _raw(j, "lever", external_id=F.col("j.id"), url=F.coalesce("j.hostedUrl", "j.applyUrl"), company=company, title=F.col("j.text"), location=places, pay_text=pay, posted_text=F.col("j.createdAt"), is_remote=remote, raw_json=F.to_json("j"))
 
 
+#: Rows of a full page, and pages that are asked for at most.
+PAGE_ROWS, MOST_PAGES = 100, 20
+
+
+def more_pages(rows_of_last: int, pages: int) -> bool:
+    """Is another page to be asked for? A short page is the last one."""
+    return rows_of_last >= PAGE_ROWS and pages < MOST_PAGES
+
+
 def ashby(payloads: DataFrame) -> DataFrame:
-    """Pay is the first Salary component with a minimum; interval NONE is no period."""
-    schema = """struct<jobs:array<struct<id:string,title:string,location:string,publishedAt:string,isRemote:boolean,jobUrl:string,
+    """Pay is the first Salary component with a minimum; interval NONE is no period. Further places are names or objects with one."""
+    schema = """struct<jobs:array<struct<id:string,title:string,location:string,secondaryLocations:array<string>,publishedAt:string,isRemote:boolean,jobUrl:string,
       compensation:struct<summaryComponents:array<struct<compensationType:string,minValue:double,maxValue:double,currencyCode:string,interval:string>>>>>>"""
     j = _items(payloads, schema, "jobs")
     s = F.get(F.filter("j.compensation.summaryComponents", lambda x: (x["compensationType"] == "Salary") & x["minValue"].isNotNull()), F.lit(0))
     period = F.when(s["interval"] != "NONE", F.lower(F.regexp_extract(s["interval"], "(HOUR|MONTH|YEAR)", 1)))
     pay = F.when(s.isNotNull(), F.concat_ws(" ", s["currencyCode"], F.format_string("%.2f - %.2f", s["minValue"], s["maxValue"]), period))
     company = F.col("company") if "company" in payloads.columns else F.lit(None)
-    return _raw(j, "ashby", external_id=F.col("j.id"), url=F.col("j.jobUrl"), company=company, title=F.col("j.title"), location=F.col("j.location"), pay_text=pay, posted_text=F.col("j.publishedAt"), is_remote=F.col("j.isRemote"), raw_json=F.to_json("j"))
+    # An object in an array of strings is read as its JSON text.
+    more = F.transform(F.coalesce("j.secondaryLocations", F.array().cast("array<string>")), lambda x: F.when(x.startswith("{"), F.get_json_object(x, "$.location")).otherwise(x))
+    places = F.array_join(F.filter(F.concat(F.array("j.location"), more), lambda x: F.coalesce(F.trim(x), F.lit("")) != ""), "; ")
+    return _raw(j, "ashby", external_id=F.col("j.id"), url=F.col("j.jobUrl"), company=company, title=F.col("j.title"), location=F.nullif(places, F.lit("")), pay_text=pay, posted_text=F.col("j.publishedAt"), is_remote=F.col("j.isRemote"), raw_json=F.to_json("j"))
 
 
 def workable(payloads: DataFrame) -> DataFrame:

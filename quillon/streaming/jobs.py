@@ -69,16 +69,21 @@ def limited(hits: DataFrame, most: int, window_seconds: float) -> DataFrame:
 
 
 def limited_batch(hits: DataFrame, most: int, window_seconds: float) -> DataFrame:
-    """The same over a finished table."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        stamps, rows = [], []
-        for at in frame["at"].sort_values():
-            allowed, wait, stamps = _judge(stamps, at.timestamp(), most, window_seconds)
-            rows.append((frame["key"].iloc[0], at, allowed, wait))
-        return pd.DataFrame(rows, columns=["key", "at", "allowed", "retry_after"])
-
-    return hits.select("key", "at").groupBy("key").applyInPandas(run, LIMITED)
+    """The same over a finished table: sorted within its partition, a key's hits pass as a stream of
+    batches; a task holds the accepted hits of one window of one key."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, stamps = None, []
+        for frame in frames:
+            rows = []
+            for key, at in zip(frame["key"], frame["at"], strict=True):
+                if key != own:
+                    own, stamps = key, []
+                allowed, wait, stamps = _judge(stamps, at.timestamp(), most, window_seconds)
+                rows.append((key, at, allowed, wait))
+            yield pd.DataFrame(rows, columns=["key", "at", "allowed", "retry_after"])
+
+    return hits.select("key", "at").repartition("key").sortWithinPartitions("key", "at").mapInPandas(run, LIMITED)
 
 
 def miss_counter():

@@ -11,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from quillon.functions import fuzzy, parse, score, text, urls
-from quillon.operators import classify, events, listing, matching, quality, recommend
+from quillon.functions import fuzzy, parse, score, shown, text, urls
+from quillon.operators import classify, events, listing, matching, merge, quality, recommend, tracking
 from quillon.sources import boards, files
 from quillon.streaming import jobs
 
@@ -41,7 +41,40 @@ def test_query_agrees_with_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(LIBRARY.QUERIES) - set(LIBRARY.SQL)))
 def test_query_runs(spark, name):
-    assert LIBRARY.QUERIES[name](spark, SF).columns
+    assert LIBRARY.QUERIES[name](spark, SF).count() > 0
+
+
+def test_limiter_against_plain_loop(spark):
+    hits = collections.defaultdict(list)
+    for r in spark.read.parquet(f"{SF}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("at")).collect():
+        hits[str(r.user_id)].append(r["at"])
+    want = collections.Counter()
+    for key, stamps in hits.items():
+        taken = []
+        for at in sorted(stamps):
+            taken = [x for x in taken if (at - x).total_seconds() < 6 * 3600]
+            if len(taken) < 3:
+                taken.append(at)
+                want[(key, at, True, 0.0)] += 1
+            else:
+                want[(key, at, False, round(6 * 3600 - (at - taken[0]).total_seconds(), 3))] += 1
+    rows = LIBRARY.QUERIES["st8_limiter"](spark, SF).collect()
+    assert collections.Counter((r.key, r["at"], r.allowed, round(r.retry_after, 3)) for r in rows) == want and not all(r.allowed for r in rows)
+
+
+def test_merge_stock_against_plain_fold(spark):
+    rows = [(r.l_partkey, r.l_shipdate, r.l_orderkey * 10 + r.l_linenumber, r.l_quantity) for r in spark.read.parquet(f"{SF}/lineitem.parquet").collect()]
+    lots = collections.defaultdict(list)
+    for item, at, _, quantity in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        near = [x for x in lots[item] if abs((x[1] - at).total_seconds()) <= 3 * 86_400]
+        if near:
+            lot = min(near, key=lambda x: x[1])
+            lot[0], lot[1], lot[2] = lot[0] + quantity, min(lot[1], at), lot[2] + 1
+        else:
+            lots[item].append([float(quantity), at, 1])
+    want = collections.Counter((item, round(q, 4), at, n) for item, own in lots.items() for q, at, n in own)
+    got = LIBRARY.QUERIES["sk9_merge_stock"](spark, SF).collect()
+    assert collections.Counter((r.item, round(r.quantity, 4), r.expires_at, r.arrivals) for r in got) == want and len(got) < len(rows)
 
 
 @pytest.mark.parametrize(
@@ -113,12 +146,14 @@ def test_filters_are_checked():
 
 def test_classifier_rules(spark):
     cases = {
-        "Unfortunately, we chose other candidates.": "rejection", "We are pleased to offer you the role": "offer", "Please schedule your interview": "interview",
-        "Complete the online assessment": "oa", "Thank you for applying to us": "confirmation", "I came across your profile": "outreach", "hello": "disregarded",
-        "If we schedule your interview you will hear": "disregarded", "Your verification code is 1": "disregarded",
+        "Unfortunately, we chose other candidates.": "rejection", "We are pleased to offer you the role": "offer", "Please schedule your interview": "interview", "We would like to schedule an interview": "interview",
+        "Complete the online assessment": "oa", "Thank you for applying to us": "confirmation", "hello": "disregarded", "If you were not selected, apply again": "disregarded",
+        "If you are selected, we will schedule an interview": "disregarded", "Your verification code is 1": "disregarded", "Kindly reply within 5 business days about your application": "oa", "We reply within 5 business days about your application": "disregarded",
     }
     for given, want in cases.items():
         assert one(spark, classify.classify(classify.folded(F.lit(given)))["category"]) == want, given
+    decided = {r.rule for r in LIBRARY.QUERIES["cl1_classify"](spark, SF).collect()}
+    assert decided == set(range(-1, len(classify.RULES)))  # every rule decides something
 
 
 def test_quality_gate_counts_add_up(spark):
@@ -136,6 +171,8 @@ def test_board_readers(spark):
     assert (lever.company, lever.location, lever.is_remote, lever.pay_text) == ("C", "X; Y", True, "USD 1.00 - 2.00 hour")
     ashby = boards.ashby(frame({"jobs": [{"id": "a", "title": "T", "compensation": {"summaryComponents": [{"compensationType": "Equity", "minValue": 1.0}, {"compensationType": "Salary", "minValue": 3.0, "maxValue": 4.0, "currencyCode": "USD", "interval": "NONE"}]}}]})).first()
     assert ashby.pay_text == "USD 3.00 - 4.00"
+    assert boards.ashby(frame({"jobs": [{"id": "a", "title": "T", "location": "X", "secondaryLocations": ["Y", {"location": "Z"}, " "]}]})).first().location == "X; Y; Z"
+    assert boards.more_pages(100, 3) and not boards.more_pages(99, 3) and not boards.more_pages(100, 20)
     w = boards.workable(frame({"name": "Acme", "jobs": [{"title": "T", "shortcode": "Q", "city": "A", "state": None, "country": "B"}]})).first()
     assert (w.company, w.location, w.url) == ("Acme", "A, B", "https://apply.workable.com/j/Q")
     rows, closed = boards.listings(frame([{"id": "1", "active": True, "title": "T", "terms": ["N/A", "Summer 2026"], "locations": ["A", "B"]}, {"id": "2", "active": False}]))
@@ -173,8 +210,51 @@ def test_outbox_stream_is_idempotent(spark, tmp_path):
 def test_interleave_keeps_every_row_once(spark):
     rows = spark.range(20).select(F.col("id").alias("recipe"))
     out = recommend.interleave(rows, [F.col("recipe")], rows.filter("recipe > 10"), "recipe", "s").collect()
-    assert sorted(r.position for r in out) == list(range(20)) and sorted(r.recipe for r in out) == list(range(20))
-    assert all({r.position: r.recipe for r in out}[s] > 10 for s in (3, 5, 7))
+    assert sorted(r.recipe for r in out) == list(range(20))
+    placed = {r.position: r.recipe for r in out if r.position is not None}
+    assert sorted(placed) == list(range(8)) and all(placed[i] > 10 for i in (3, 5, 7)) and [placed[i] for i in (0, 1, 2, 4, 6)] == [0, 1, 2, 3, 4]
+    few = recommend.interleave(rows.limit(2), [F.col("recipe")], rows, "recipe", "s").collect()
+    assert {r.recipe: r.position for r in few} == {0: 0, 1: 1}
+
+
+def test_parsers_of_places_years_and_names(spark):
+    place = lambda t: tuple(one(spark, parse.location_parts(F.lit(t))))
+    assert place("Hybrid - Seattle, WA; Boston, MA") == ("Seattle", "WA", "United States", None)
+    assert place("London, England") == ("London", None, "United Kingdom", None) and place("Remote") == (None, None, None, True)
+    assert place("Toronto, ON, Canada (on-site)") == ("Toronto", "ON", "Canada", False) and place("Canada") == (None, None, "Canada", None)
+    assert tuple(one(spark, parse.class_years(F.lit("Class of 2027 or 2029, req 1999"), 2026))) == (2027, 2029)
+    assert tuple(one(spark, parse.class_years_of_description(F.lit("Founded in 2026. Rising seniors of 2028 apply. Call 2027."), 2026))) == (2028, 2028)
+    assert tuple(one(spark, parse.term(F.lit("Intern 2027"), F.lit("Winter 2026"), 2026))) == ("winter", 2026)
+    assert one(spark, urls.dedup_key(F.lit("https://jobs.lever.co/Acme/x1"), F.lit("acme"), F.lit("t"), F.lit(None), F.lit(None))) == "ats:lever:acme:x1"
+    assert one(spark, urls.dedup_key(F.lit("https://x.org/1"), F.lit("acme"), F.lit("t"), F.lit("fall"), F.lit(None))) == "co:acme|t|fall-any"
+    for given, want in {"Acme": True, "A": False, "42": False, "Unknown": False}.items():
+        assert one(spark, text.is_company_name(F.lit(given), ["unknown"])) == want
+    assert shown.graduation_year("Junior", 2026, 9) == 2028 and shown.graduation_year("senior", 2026, 3) == 2026 and shown.graduation_year("2031", 2026, 3) == 2031 and shown.graduation_year("1990", 2026, 3) is None
+
+
+def test_stored_status_is_decoded_or_refused(spark):
+    assert one(spark, tracking.decoded_status(F.lit("x"))) is None
+    with pytest.raises(Exception, match="unknown status x"):
+        one(spark, tracking.decoded_status(F.lit("x"), strict=True))
+    assert one(spark, events.may_auto_apply(F.lit("oa"), F.lit(0.9), 0.8)) and not one(spark, events.may_auto_apply(F.lit("offer"), F.lit(0.9), 0.8)) and not one(spark, events.may_auto_apply(F.lit("oa"), F.lit(0.9), None))
+    assert one(spark, classify.status_of(F.lit("rejection"))) == "rejected" and one(spark, classify.status_of(F.lit("outreach"))) is None
+
+
+def test_file_readers_and_csv(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("ID,Name,Keywords\n2,Milk,\"dairy, white\"\n5,Eggs,\n7, milk ,\"fresh,dairy\"\n")
+    products = spark.read.csv(str(tmp_path / "p.csv"), header=True, schema="ID int, Name string, Keywords string")
+    rows = {r.name_lower: tuple(r)[1:] for r in files.catalog(products, "Name", "ID", "Keywords").collect()}
+    assert rows["milk"] == ("Milk", [2, 7], ["dairy", "fresh", "white"]) and rows["eggs"][1] == [5]
+    meal = spark.createDataFrame([("m", "Salt", " pinch", "Beef", None, " ")], "idMeal string, strIngredient1 string, strMeasure1 string, strIngredient2 string, strMeasure2 string, strIngredient3 string").withColumn("strMeasure3", F.lit(None).cast("string"))
+    assert [tuple(r) for r in files.ingredients(meal, ["salt", "oil"], 3).collect()] == [("m", "Salt", "pinch", True), ("m", "Beef", None, False)]
+    (tmp_path / "labels.csv").write_text("id,label\n# a note\n1,oa\n2,\n")
+    assert [tuple(r) for r in files.read_labels(spark, str(tmp_path / "labels.csv"), "id int, label string").collect()] == [(1, "oa"), (2, None)]
+    (tmp_path / "posts").mkdir()
+    (tmp_path / "posts" / "a.md").write_text("---\ntitle: A\n---\nBody")
+    assert [r.slug for r in files.read_markdown(spark, str(tmp_path / "posts")).collect()] == ["a"]
+    frame = spark.createDataFrame([(1, "a"), (2, None)], "n int, t string")
+    files.write_csv(frame, str(tmp_path / "out"))
+    assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 2
 
 
 def test_sole_best_refuses_ties(spark):
