@@ -30,7 +30,7 @@ def front_matter(files: DataFrame) -> DataFrame:
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """Markdown files below ``path``, through Spark's readers."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True)
     return front_matter(raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
 
 
