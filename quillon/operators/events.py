@@ -61,12 +61,16 @@ def applications(events: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def cohort(apps: DataFrame, now: datetime, dead_after_days: int = 45, by: list[Column] | None = None) -> DataFrame:
-    """Funnel totals, response times included; over all or per group."""
+def cohort(apps: DataFrame, now: datetime, dead_after_days: int = 45, by: list[str] | None = None) -> DataFrame:
+    """Funnel totals, response times included; over all, and with ``by`` for each of its columns apart, in one pass:
+    the other columns are null in a group's row, and ``grouping`` tells them from groups of null."""
     silent = ~F.col("responded") & ~F.col("status").isin("offer", "rejected")
     dead = F.unix_millis(at_literal(now).cast("timestamp")) - F.unix_millis(F.col("applied_at").cast("timestamp")) > dead_after_days * 86_400_000
     count = lambda c, name: F.count_if(c).alias(name)
-    return apps.groupBy(*(by or [])).agg(
+    grouped = apps.groupBy() if not by else apps.groupingSets([[], *[[F.col(c)] for c in by]], *[F.col(c) for c in by])
+    own = [F.grouping_id(*by).alias("grouping")] if by else []
+    return grouped.agg(
+        *own,
         F.count(F.lit(1)).alias("applications"),
         count(F.col("responded"), "responded"),
         count(silent & ~dead, "no_response_live"),

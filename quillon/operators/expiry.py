@@ -33,6 +33,20 @@ def misses(sightings: DataFrame, runs: DataFrame) -> DataFrame:
     return joined.select("source", "external_id", F.col("run").alias("last_run"), (F.col("last_nth") - F.col("nth")).cast("long").alias("misses"))
 
 
+def scoped_misses(sightings: DataFrame, runs: DataFrame, completed: DataFrame) -> DataFrame:
+    """Like ``misses``, with scopes: an eligible run counts for all; one that did not succeed counts for the sightings
+    whose last scope it completed, and never for those without a scope.
+
+    ``sightings``: source, external_id, run, scope; ``runs``: with ``eligible``; ``completed``: source, run, scope.
+    """
+    last = sightings.groupBy("source", "external_id").agg(F.max(F.struct("run", "scope")).alias("s")).select("source", "external_id", F.col("s.run").alias("last_run"), "s.scope")
+    whole = misses(sightings.select("source", "external_id", "run"), runs).select("source", "external_id", "misses")
+    partly = runs.filter("eligible = 'not_successful'").select("source", "run").join(completed.distinct(), ["source", "run"])
+    of_scope = last.join(partly, ["source", "scope"]).filter(F.col("run") > F.col("last_run")).groupBy("source", "external_id").agg(F.count_distinct("run").alias("_more"))
+    joined = last.join(whole, ["source", "external_id"]).join(of_scope, ["source", "external_id"], "left")
+    return joined.select("source", "external_id", "scope", (F.col("misses") + F.coalesce("_more", F.lit(0))).alias("misses"))
+
+
 def sweep(postings: DataFrame, counted: DataFrame, now, threshold: int = 3) -> DataFrame:
     """posting_id, expiry_reason: a passed deadline, or every sighting missed ``threshold`` times."""
     gone = counted.groupBy("posting_id").agg((F.min("misses") >= threshold).alias("vanished"))

@@ -108,3 +108,58 @@ def similar_answers(answers: DataFrame, question: str, company: str | None, leas
     fit = answers.filter(~F.col("specific") | F.coalesce(F.col("company") == F.lit(company), F.lit(False)))
     scored = fit.withColumn("score", similarity(F.lit(q), F.col("question"))).filter(F.col("score") >= least)
     return scored.orderBy(F.desc("score"), "question").limit(limit)
+
+
+def match_applications(mail: DataFrame, apps: DataFrame, least: float = 0.9) -> DataFrame:
+    """The application that each mail is about: id, app_id, fit; mail without a match has no row.
+
+    Companies meet by equal keys or edit similarity. Among a company's applications an equal role comes first
+    (3), then one of which either is the other's beginning, three words at least, if it is the only such (2),
+    then an application without a role (1). Mail without a role matches a sole candidate only (0). Two
+    applications of the best fit are none. ``mail``: id, company_key, role_key; ``apps``: id, company_key, role_key.
+    """
+    near = fuzzy_companies(mail.withColumnRenamed("company_key", "_m"), "_m", apps.withColumnRenamed("company_key", "_k"), "_k", least)
+    a = apps.select(F.col("id").alias("app_id"), F.col("company_key").alias("_k"), F.col("role_key").alias("_role"))
+    pairs = mail.join(near, F.col("company_key") == F.col("_m")).join(a, "_k")
+    role, own = F.col("role_key"), F.col("_role")
+    short = F.least(F.size(F.split(role, " ")), F.size(F.split(own, " ")))
+    begins = (short >= 3) & (F.startswith(own, F.concat(role, F.lit(" "))) | F.startswith(role, F.concat(own, F.lit(" "))))
+    fit = F.when(role == "", 0).when(role == own, 3).when((own != "") & begins, 2).when(own == "", 1)
+    best = pairs.withColumn("fit", fit).filter("fit IS NOT NULL").groupBy("id", "fit").agg(F.count_distinct("app_id").alias("n"), F.min("app_id").alias("app_id"))
+    top = best.groupBy("id").agg(F.max(F.struct("fit", "n", "app_id")).alias("b")).select("id", "b.*")
+    return top.filter("n = 1").select("id", "app_id", "fit")
+
+
+def search(rows: DataFrame, columns: list[str], query: str) -> DataFrame:
+    """Rows that hold the text in any of the columns, case-blind and without wildcards."""
+    hit = F.lit(False)
+    for c in columns:
+        hit = hit | F.coalesce(contains_text(F.col(c), query), F.lit(False))
+    return rows.filter(hit)
+
+
+def suggest_with_aliases(names: DataFrame, query: str, limit: int = 5) -> DataFrame:
+    """The best names (name, aliases, at) for a query, each by itself or its best alias; for an empty query the latest, score 1."""
+    limit = max(1, min(25, limit))
+    q = " ".join(query.lower().split())
+    if not q:
+        return names.select("name", F.lit(1.0).alias("score"), "at").orderBy(F.desc("at"), "name").limit(limit).drop("at")
+    fill = lambda c: F.octet_length(F.lit(q)) / F.octet_length(c)
+    begins = lambda c: c.startswith(q) | F.contains(F.concat(F.lit(" "), c), F.lit(" " + q))
+
+    def bands(c: Column, exact: float, prefix: float, inside: float) -> Column:
+        return F.when(c == q, F.lit(exact)).when(begins(c), prefix + 0.09 * fill(c)).when(c.contains(q), inside + 0.09 * fill(c))
+
+    own = bands(F.col("name"), 1.0, 0.8, 0.6)
+    alias = F.array_max(F.transform("aliases", lambda a: bands(a, 0.9, 0.7, 0.5)))
+    words = names.select("name", F.explode(F.array_distinct(F.concat(F.split("name", " "), F.flatten(F.transform("aliases", lambda a: F.split(a, " ")))))).alias("_w"))
+    close = words.withColumn("_s", similarity(F.lit(q), F.col("_w"))).groupBy("name").agg(F.max("_s").alias("_s"))
+    scored = names.join(close, "name").withColumn("score", F.coalesce(F.greatest(own, alias), F.when(F.col("_s") > 0.7, 0.3 + 0.2 * F.col("_s"))))
+    return scored.filter("score IS NOT NULL").select("name", "score").orderBy(F.desc("score"), "name").limit(limit)
+
+
+def alias_candidates(keys: DataFrame, key: str) -> DataFrame:
+    """(alias, canonical): keys that begin with another key and a word boundary; for review by hand."""
+    one = keys.select(F.col(key).alias("alias")).distinct().filter("alias <> ''")
+    starts = one.withColumn("_w", F.split("alias", " ")).withColumn("canonical", F.explode(F.transform(F.sequence(F.lit(1), F.size("_w")), lambda i: F.array_join(F.slice("_w", 1, i), " ")))).filter("canonical <> alias")
+    return starts.select("alias", "canonical").join(one.toDF("canonical"), "canonical", "left_semi").select("alias", "canonical")

@@ -21,6 +21,42 @@ def upsert(old: DataFrame, new: DataFrame, key: str, keep_old: list[str], always
     )
 
 
+def upsert_postings(old: DataFrame, new: DataFrame, now: Column, slug_sources: list[str]) -> DataFrame:
+    """Postings seen again over the stored ones, by dedup_key.
+
+    Title and url are always the new ones; other values where stated. A company name from a source that
+    only has slugs, or one that is no name, leaves the stored one. A stated date of posting beats an
+    estimate; without any it is ``now``, estimated. Being seen brings an expired posting back.
+    """
+    a, b = old.alias("a"), new.alias("b")
+    joined = a.join(b, F.col("a.dedup_key") == F.col("b.dedup_key"), "full_outer")
+    seen, had = F.col("b.dedup_key").isNotNull(), F.col("a.dedup_key").isNotNull()
+    weak = F.coalesce(F.col("b.source").isin(slug_sources), F.lit(False)) | ~F.coalesce(F.col("b.company_name").rlike(r"\p{L}"), F.lit(False))
+    kept_date = F.coalesce("b.posted_at", "a.posted_at")
+    return joined.select(
+        F.coalesce("b.dedup_key", "a.dedup_key").alias("dedup_key"),
+        *[F.when(seen, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in ("title", "url")],
+        F.when(had & (~seen | weak), F.coalesce("a.company_name", "b.company_name")).otherwise(F.coalesce("b.company_name", "a.company_name")).alias("company_name"),
+        F.coalesce(kept_date, now).alias("posted_at"),
+        F.when(F.col("b.posted_at").isNotNull(), F.lit(False)).when(F.col("a.posted_at").isNotNull(), F.col("a.posted_estimated")).otherwise(F.lit(True)).alias("posted_estimated"),
+        F.when(~seen, F.col("a.expired_at")).alias("expired_at"),
+        (seen & ~had).alias("created"),
+    )
+
+
+def merge_entities(children: DataFrame, history: DataFrame, entities: DataFrame, mapping: DataFrame, parent: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(children, history, entities) after losers merge into keepers: children move, a loser's history and the loser go.
+
+    A loser that is further along (``rank`` of entities) than its keeper is refused and stays as it is.
+    ``mapping``: loser, keeper.
+    """
+    ranks = entities.select(F.col("id").alias("_id"), F.col("rank").alias("_rank"))
+    both = mapping.join(ranks.toDF("loser", "_lost"), "loser").join(ranks.toDF("keeper", "_kept"), "keeper")
+    done = both.filter(F.col("_lost") <= F.col("_kept")).select("loser", "keeper")
+    gone = done.select(F.col("loser").alias(parent))
+    return repoint(children, parent, done), history.join(gone, parent, "left_anti"), entities.join(done.select(F.col("loser").alias("id")), "id", "left_anti")
+
+
 def quota(rows: DataFrame, owner: str, order: list[Column], most: int, existing: DataFrame | None = None) -> DataFrame:
     """The rows that fit under ``most`` per owner, first come first; ``existing`` (owner, n) counts already."""
     nth = F.row_number().over(W.partitionBy(owner).orderBy(*order))

@@ -22,13 +22,20 @@ def ag5_cohort_totals(spark, sf):
     return E.cohort(_apps(spark, sf), A.NOW, 30)
 
 
-@query(f"""WITH {A.APPLICATIONS}, labelled AS (SELECT *, strftime(applied_at, '%Y-%m') AS month, CAST(user_id % 4 AS VARCHAR) AS variant FROM apps)
-SELECT coalesce(month, '*') AS month, coalesce(variant, '*') AS variant, {A.COHORT} FROM labelled GROUP BY GROUPING SETS ((), (month), (variant))""")
+@query(f"""WITH {A.APPLICATIONS}, labelled AS (SELECT *, strftime(applied_at, '%Y-%m') AS month, CASE WHEN user_id % 4 = 0 THEN '' ELSE CAST(user_id % 4 AS VARCHAR) END AS variant,
+ CASE WHEN user_id % 3 = 0 THEN 'unknown' ELSE 's' || (user_id % 3) END AS source, CASE WHEN user_id % 5 < 3 THEN 't' || (user_id % 5 + 1) ELSE 'untiered' END AS tier FROM apps)
+SELECT CASE WHEN grouping(month) = 0 THEN 'month' WHEN grouping(variant) = 0 THEN 'variant' WHEN grouping(source) = 0 THEN 'source' WHEN grouping(tier) = 0 THEN 'tier' ELSE 'all' END AS kind, coalesce(month, variant, source, tier, '') AS of, {A.COHORT}
+FROM labelled GROUP BY GROUPING SETS ((), (month), (variant), (source), (tier))""")
 def ag6_cohort_groups(spark, sf):
-    apps = _apps(spark, sf).withColumns({"month": F.date_format("applied_at", "yyyy-MM"), "variant": (F.col("user_id") % 4).cast("string")})
-    sets = [([], {"month": "*", "variant": "*"}), (["month"], {"variant": "*"}), (["variant"], {"month": "*"})]
-    frames = [E.cohort(apps, A.NOW, 30, [F.col(c) for c in by]).withColumns({k: F.lit(v) for k, v in rest.items()}) for by, rest in sets]
-    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+    """By month, variant (none as ''), source (blank as unknown) and tier, in one pass."""
+    u, by = F.col("user_id"), ["month", "variant", "source", "tier"]
+    blank = F.when(u % 3 == 0, " ").otherwise(F.concat(F.lit("s"), (u % 3).cast("string")))
+    apps = _apps(spark, sf).withColumns({
+        "month": F.date_format("applied_at", "yyyy-MM"), "variant": F.coalesce(F.when(u % 4 != 0, (u % 4).cast("string")), F.lit("")),
+        "source": F.coalesce(F.nullif(F.trim(blank), F.lit("")), F.lit("unknown")), "tier": F.when(u % 5 < 3, F.concat(F.lit("t"), (u % 5 + 1).cast("string"))).otherwise("untiered"),
+    })
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in {15: "all", 7: "month", 11: "variant", 13: "source", 14: "tier"}.items() for x in kv]), F.col("grouping").cast("int"))
+    return E.cohort(apps, A.NOW, 30, by).withColumns({"kind": kind, "of": F.coalesce(*by, F.lit(""))}).drop("grouping", *by)
 
 
 @query(f"WITH {A.APPLICATIONS} SELECT {A.COHORT} FROM apps WHERE applied_at >= TIMESTAMP '2024-01-08' AND applied_at < TIMESTAMP '2024-01-22'")

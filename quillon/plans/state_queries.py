@@ -27,6 +27,58 @@ def sk1_upsert(spark, sf):
     return G.upsert(old, new, "id", ["price"], ["status"])
 
 
+@query("""WITH a AS (SELECT o_orderkey AS k, 'T' || o_orderkey AS title, CASE WHEN o_orderkey % 5 <> 0 THEN 'Old ' || o_custkey END AS company, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate END AS posted, o_orderkey % 6 = 0 AS est, CASE WHEN o_orderkey % 7 = 0 THEN o_orderdate END AS expired FROM orders WHERE o_orderkey % 3 <> 0),
+b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 <> 0 THEN 'N' || o_orderkey END AS title, CASE WHEN o_orderkey % 8 = 1 THEN '42' WHEN o_orderkey % 8 <> 2 THEN 'New ' || o_custkey END AS company, CASE WHEN o_orderkey % 9 < 4 THEN o_orderdate + INTERVAL 1 DAY END AS posted, o_orderkey % 10 = 3 AS slug FROM orders WHERE o_orderkey % 4 <> 1)
+SELECT coalesce(b.k, a.k) AS dedup_key, CASE WHEN b.k IS NOT NULL THEN b.title ELSE a.title END AS title, CASE WHEN a.k IS NOT NULL AND (b.k IS NULL OR slug OR b.company IS NULL OR b.company = '42') THEN coalesce(a.company, b.company) ELSE coalesce(b.company, a.company) END AS company_name,
+strftime(coalesce(b.posted, a.posted, TIMESTAMP '2002-01-01'), '%Y-%m-%d') AS posted, CASE WHEN b.posted IS NOT NULL THEN false WHEN a.posted IS NOT NULL THEN a.est ELSE true END AS posted_estimated, CASE WHEN b.k IS NULL THEN strftime(a.expired, '%Y-%m-%d') END AS expired, b.k IS NOT NULL AND a.k IS NULL AS created FROM a FULL JOIN b ON a.k = b.k""")
+def sk1_postings(spark, sf):
+    """Names of slug sources, estimated dates and postings that come back (ST-12)."""
+    o, k, at = table(spark, sf, "orders"), F.col("o_orderkey"), F.col("o_orderdate")
+    named = lambda x: F.concat(F.lit(x), F.col("o_custkey").cast("string"))
+    old = o.filter(k % 3 != 0).select(k.alias("dedup_key"), F.concat(F.lit("T"), k.cast("string")).alias("title"), F.lit("u").alias("url"), F.when(k % 5 != 0, named("Old ")).alias("company_name"), F.when(k % 4 != 0, at).alias("posted_at"), (k % 6 == 0).alias("posted_estimated"), F.when(k % 7 == 0, at).alias("expired_at"))
+    new = o.filter(k % 4 != 1).select(
+        k.alias("dedup_key"), F.when(k % 11 != 0, F.concat(F.lit("N"), k.cast("string"))).alias("title"), F.lit("v").alias("url"), F.when(k % 8 == 1, "42").when(k % 8 != 2, named("New ")).alias("company_name"),
+        F.when(k % 9 < 4, at + F.expr("INTERVAL 1 DAY")).alias("posted_at"), F.when(k % 10 == 3, "slugs").otherwise("lists").alias("source"),
+    )
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    merged = G.upsert_postings(old, new, E.at_literal(datetime(2002, 1, 1)), ["slugs"])
+    return merged.select("dedup_key", "title", "company_name", day("posted_at").alias("posted"), "posted_estimated", day("expired_at").alias("expired"), "created")
+
+
+@query("""WITH e AS (SELECT c_custkey AS id, c_custkey % 4 AS rank FROM customer), m AS (SELECT a.id AS loser, a.id - 1 AS keeper FROM e a JOIN e b ON b.id = a.id - 1 WHERE a.id % 10 = 3 AND a.rank <= b.rank OR a.id % 10 = 7 AND a.rank <= b.rank)
+SELECT 'child' AS kind, coalesce(keeper, o_custkey) AS id, count(*) AS n FROM orders LEFT JOIN m ON loser = o_custkey GROUP BY 1, 2 UNION ALL SELECT 'history', user_id, count(*) FROM events WHERE user_id NOT IN (SELECT loser FROM m) GROUP BY 1, 2 UNION ALL SELECT 'entity', id, 1 FROM e WHERE id NOT IN (SELECT loser FROM m)""")
+def sk12_merge_entities(spark, sf):
+    e = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 4).alias("rank"))
+    mapping = e.filter("id % 10 IN (3, 7)").select(F.col("id").alias("loser"), (F.col("id") - 1).alias("keeper"))
+    children, history, left = G.merge_entities(table(spark, sf, "orders").select(F.col("o_custkey").alias("owner")), table(spark, sf, "events").select(F.col("user_id").alias("owner")), e, mapping, "owner")
+    count = lambda rows, kind, c: rows.groupBy(F.lit(kind).alias("kind"), F.col(c).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return count(children, "child", "owner").unionByName(count(history, "history", "owner")).unionByName(count(left, "entity", "id"))
+
+
+@query(f"""WITH {A.RUNS}, s AS (SELECT event_type AS source, user_id AS external_id, max(struct_pack(run := CAST(ts AS DATE), scope := CASE WHEN event_id % 4 <> 0 THEN event_id % 5 ELSE -1 END)) AS s FROM events GROUP BY 1, 2),
+done AS (SELECT DISTINCT event_type AS source, CAST(ts AS DATE) AS run, event_id % 5 AS scope FROM events WHERE event_id % 3 = 0)
+SELECT s.source, s.external_id, nullif(s.s.scope, -1) AS scope, misses + (SELECT count(DISTINCT d.run) FROM done d JOIN judged j ON j.source = d.source AND j.run = d.run WHERE j.eligible = 'not_successful' AND d.source = s.source AND d.scope = s.s.scope AND d.run > s.s.run) AS misses FROM s JOIN missed m ON m.source = s.source AND m.external_id = s.external_id""")
+def st2_scoped_misses(spark, sf):
+    """With ST-1's completed scopes of runs that did not succeed."""
+    runs, _ = A.runs(spark, sf)
+    e = table(spark, sf, "events").select(F.col("event_type").alias("source"), F.to_date("ts").alias("run"), F.col("user_id").alias("external_id"), "event_id")
+    seen = e.withColumn("scope", F.when(F.col("event_id") % 4 != 0, F.col("event_id") % 5))
+    completed = e.filter("event_id % 3 = 0").select("source", "run", (F.col("event_id") % 5).alias("scope"))
+    return X.scoped_misses(seen, X.eligibility(runs), completed)
+
+
+@query("""WITH r AS (SELECT user_id AS recipe, 1 + CAST(floor(value) AS INTEGER) % 5 AS rating, ts FROM events WHERE value IS NOT NULL),
+l AS (SELECT recipe, greatest(0.0, max((rating - 3.0) * power(0.5, (epoch_ms(TIMESTAMP '2024-02-15') - epoch_ms(ts)) / 86400000.0 / 120.0))) AS score FROM r GROUP BY 1 HAVING avg(rating) >= 2.9),
+k AS (SELECT recipe, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, recipe) - 1 AS rk FROM l),
+chosen AS (SELECT recipe, [3, 5, 7][n] AS position FROM (SELECT recipe, row_number() OVER (ORDER BY sha256('day|' || recipe), recipe) AS n FROM k WHERE recipe % 2 = 0 AND rk >= 3) WHERE n <= 3),
+rest AS (SELECT recipe, row_number() OVER (ORDER BY rk) AS n FROM k WHERE recipe NOT IN (SELECT recipe FROM chosen)), placed AS (SELECT recipe, position FROM chosen UNION ALL SELECT recipe, [0, 1, 2, 4, 6][n] FROM rest WHERE n <= 5)
+SELECT k.recipe, score, CAST(position AS BIGINT) AS position FROM k LEFT JOIN placed USING (recipe)""")
+def cp3_liked_rerank(spark, sf):
+    rows = table(spark, sf, "events").filter("value IS NOT NULL").select(F.col("user_id").alias("recipe"), (1 + F.floor("value").cast("int") % 5).alias("rating"), F.col("ts").alias("cooked_at"))
+    liked = R.liked(rows, A.NOW, least_mean=2.9).select("recipe", F.round("score", 6).alias("score"))
+    return R.interleave(liked, [F.desc("score"), F.col("recipe")], liked.filter("recipe % 2 = 0"), "recipe", "day")
+
+
 @query("""WITH fresh AS (SELECT user_id, event_type, event_id FROM events WHERE ts >= TIMESTAMP '2024-01-03'), old AS (SELECT DISTINCT user_id, event_type FROM events WHERE ts < TIMESTAMP '2024-01-03'),
 k AS (SELECT CASE WHEN event_id % 50 <> 0 THEN user_id END AS user_id, event_type, event_id FROM fresh), n AS (SELECT k.* FROM k WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.user_id = k.user_id AND o.event_type = k.event_type))
 SELECT * FROM n WHERE user_id IS NULL UNION ALL SELECT user_id, event_type, min(event_id) FROM n WHERE user_id IS NOT NULL GROUP BY 1, 2""")

@@ -253,9 +253,50 @@ def jn14_fuzzy_company(spark, sf):
     return M.fuzzy_companies(n, "a", b, "b", 0.9 - 1e-12).withColumn("score", F.round("score", 6))
 
 
-@query("SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'que la') ORDER BY doc_id LIMIT 50")
+@query("SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'que la') OR contains(lower(source), 'que la') ORDER BY doc_id LIMIT 50")
 def fl9_search(spark, sf):
-    return table(spark, sf, "documents").filter(M.contains_text(F.col("text"), "Que LA")).select("doc_id", "lang").orderBy("doc_id").limit(50)
+    return M.search(table(spark, sf, "documents"), ["text", "source"], "Que LA").select("doc_id", "lang").orderBy("doc_id").limit(50)
+
+
+_ROLES = """m AS (SELECT event_id AS id, 'firm ' || substr(md5(CAST(user_id % 37 AS VARCHAR)), 1, 12) || CASE WHEN event_id % 2 = 0 THEN 's' ELSE '' END AS company_key, CASE WHEN event_id % 4 = 0 THEN '' ELSE 'software engineering intern' || CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN ' platform' ELSE ' summer' END END AS role_key FROM events),
+a AS (SELECT c_custkey AS id, 'firm ' || substr(md5(CAST(c_custkey % 37 AS VARCHAR)), 1, 12) AS company_key, CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'software engineering intern' WHEN 2 THEN 'software engineering intern platform' WHEN 3 THEN 'data intern' ELSE 'software engineering intern platform team' END AS role_key FROM customer WHERE c_custkey < 100)"""
+
+
+@query(f"""WITH {_ROLES}, keys AS (SELECT DISTINCT m.company_key AS m, a.company_key AS k FROM (SELECT DISTINCT company_key FROM m) m, (SELECT DISTINCT company_key FROM a) a WHERE m.company_key = a.company_key OR 1 - damerau_levenshtein(m.company_key, a.company_key) / CAST(greatest(length(m.company_key), length(a.company_key)) AS DOUBLE) >= 0.9 - 1e-12),
+p AS (SELECT m.id, a.id AS app_id, CASE WHEN m.role_key = '' THEN 0 WHEN m.role_key = a.role_key THEN 3 WHEN a.role_key <> '' AND least(len(string_split(m.role_key, ' ')), len(string_split(a.role_key, ' '))) >= 3 AND (starts_with(a.role_key, m.role_key || ' ') OR starts_with(m.role_key, a.role_key || ' ')) THEN 2 WHEN a.role_key = '' THEN 1 END AS fit FROM m JOIN keys ON m.company_key = keys.m JOIN a ON a.company_key = keys.k),
+g AS (SELECT id, fit, count(DISTINCT app_id) AS n, min(app_id) AS app_id FROM p WHERE fit IS NOT NULL GROUP BY 1, 2)
+SELECT id, app_id, fit FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY fit DESC) AS r FROM g) WHERE r = 1 AND n = 1""")
+def jn14_role_match(spark, sf):
+    k, u, c = F.col("event_id"), F.col("user_id"), F.col("c_custkey")
+    firm = lambda x: F.concat(F.lit("firm "), F.substring(F.md5(x.cast("string")), 1, 12))
+    role = F.concat(F.lit("software engineering intern"), F.when(k % 3 == 0, "").when(k % 3 == 1, " platform").otherwise(" summer"))
+    mail = table(spark, sf, "events").select(k.alias("id"), F.concat(firm(u % 37), F.when(k % 2 == 0, "s").otherwise("")).alias("company_key"), F.when(k % 4 == 0, "").otherwise(role).alias("role_key"))
+    own = F.element_at(F.array(*map(F.lit, ("", "software engineering intern", "software engineering intern platform", "data intern", "software engineering intern platform team"))), (c % 5 + 1).cast("int"))
+    apps = table(spark, sf, "customer").filter(c < 100).select(c.alias("id"), firm(c % 37).alias("company_key"), own.alias("role_key"))
+    return M.match_applications(mail, apps, 0.9 - 1e-12)
+
+
+@query("""WITH n AS (SELECT lower(p_name) AS name, list_sort(list(DISTINCT lower(p_brand))) AS aliases FROM part GROUP BY 1), x AS (SELECT name, aliases, unnest(list_distinct(list_concat(string_split(name, ' '), flatten(list_transform(aliases, lambda a: string_split(a, ' ')))))) AS w FROM n),
+c AS (SELECT name, max(1 - damerau_levenshtein('bl', w) / CAST(greatest(2, length(w)) AS DOUBLE)) AS s FROM x GROUP BY 1),
+b AS (SELECT name, CASE WHEN name = 'bl' THEN 1.0 WHEN contains(' ' || name, ' bl') THEN 0.8 + 0.09 * (2 / CAST(strlen(name) AS DOUBLE)) WHEN contains(name, 'bl') THEN 0.6 + 0.09 * (2 / CAST(strlen(name) AS DOUBLE)) END AS own,
+ list_max(list_transform(aliases, lambda a: CASE WHEN a = 'bl' THEN 0.9 WHEN contains(' ' || a, ' bl') THEN 0.7 + 0.09 * (2 / CAST(strlen(a) AS DOUBLE)) WHEN contains(a, 'bl') THEN 0.5 + 0.09 * (2 / CAST(strlen(a) AS DOUBLE)) END)) AS alias FROM n)
+SELECT name, round(coalesce(greatest(own, alias), CASE WHEN s > 0.7 THEN 0.3 + 0.2 * s END), 6) AS score FROM b JOIN c USING (name) WHERE coalesce(own, alias, CASE WHEN s > 0.7 THEN s END) IS NOT NULL ORDER BY 2 DESC, name LIMIT 20""")
+def cp4_suggest_with_aliases(spark, sf):
+    names = table(spark, sf, "part").groupBy(F.lower("p_name").alias("name")).agg(F.array_sort(F.collect_set(F.lower("p_brand"))).alias("aliases"), F.max("p_partkey").alias("at"))
+    return M.suggest_with_aliases(names, "BL", 20).withColumn("score", F.round("score", 6))
+
+
+@query("""SELECT lower(p_name) AS name, 1.0 AS score FROM part GROUP BY 1 ORDER BY max(p_partkey) DESC, 1 LIMIT 5""")
+def cp4_suggest_recent(spark, sf):
+    names = table(spark, sf, "part").groupBy(F.lower("p_name").alias("name")).agg(F.array_sort(F.collect_set(F.lower("p_brand"))).alias("aliases"), F.max("p_partkey").alias("at"))
+    return M.suggest_with_aliases(names, " ", 5)
+
+
+@query("""WITH k AS (SELECT DISTINCT key FROM (SELECT lower(p_name) AS key FROM part UNION ALL SELECT split_part(lower(p_name), ' ', 1) FROM part UNION ALL SELECT lower(p_name) || ' labs' FROM part WHERE p_partkey % 3 = 0)) SELECT a.key AS alias, b.key AS canonical FROM k a JOIN k b ON starts_with(a.key, b.key || ' ')""")
+def er7_alias_candidates(spark, sf):
+    n = table(spark, sf, "part").select(F.lower("p_name").alias("key"), "p_partkey")
+    keys = n.select("key").union(n.select(F.split_part("key", F.lit(" "), F.lit(1)))).union(n.filter("p_partkey % 3 = 0").select(F.concat("key", F.lit(" labs"))))
+    return M.alias_candidates(keys, "key")
 
 
 @query("SELECT event_id, ts FROM events WHERE ts < TIMESTAMP '2024-01-20' OR (ts = TIMESTAMP '2024-01-20' AND event_id > 5) ORDER BY ts DESC, event_id LIMIT 26")
