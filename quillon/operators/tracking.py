@@ -182,3 +182,45 @@ def ungraded(rows: DataFrame, ledger: DataFrame, fingerprint: str) -> DataFrame:
 
 def nth_newest(rows: DataFrame, by: list[str], order: list[Column]) -> Column:
     return F.row_number().over(W.partitionBy(*by).orderBy(*order))
+
+
+def repaired(apps: DataFrame, repairs: DataFrame, apply: bool = False) -> DataFrame:
+    """What manual repairs (app_id, to_status) do: unknown_application, same_status (refused), would_repair, or repaired with ``apply``."""
+    joined = repairs.join(apps.select(F.col("id").alias("app_id"), "status"), "app_id", "left")
+    outcome = F.when(F.col("status").isNull(), "unknown_application").when(F.col("status") == F.col("to_status"), "same_status").otherwise("repaired" if apply else "would_repair")
+    return joined.withColumn("outcome", outcome).withColumn("after", F.when(F.col("outcome") == "repaired", F.col("to_status")).otherwise(F.col("status")))
+
+
+def backfill_outcomes(mail: DataFrame, tracked: DataFrame, proposed: DataFrame) -> DataFrame:
+    """Adds ``outcome`` to mail that implies a status (company_key, role_key): unusable, tracked, asked or proposed."""
+    t = tracked.select("company_key", F.lit(True).alias("_t")).distinct()
+    p = proposed.select("company_key", "role_key", F.lit(True).alias("_p")).distinct()
+    joined = mail.filter("implied IS NOT NULL").join(t, "company_key", "left").join(p, ["company_key", "role_key"], "left")
+    outcome = F.when(F.coalesce("company_key", F.lit("")) == "", "unusable").when(F.col("_t"), "tracked").when(F.col("_p"), "asked").otherwise("proposed")
+    return joined.withColumn("outcome", outcome).drop("_t", "_p")
+
+
+def decided(proposals: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(applications, events, proposals): an accepted proposal (id, company_key, role_key, implied, at) becomes an application
+    dated by its mail, with the event of its creation and, beyond applied, of its status; a refused one is only marked."""
+    d = proposals.join(decisions.select("id", "accept"), "id", "left")
+    taken = d.filter("accept")
+    apps = taken.select("id", "company_key", "role_key", F.col("at").alias("applied_at"), F.col("implied").alias("status"))
+    steps = F.array_distinct(F.array(F.lit("applied"), F.col("implied")))
+    events = taken.select(F.col("id").alias("app_id"), "at", F.explode(steps).alias("to_status"))
+    state = F.when(F.col("accept"), "accepted").when(~F.col("accept"), "rejected").otherwise("pending")
+    return apps, events, d.withColumn("state", state).drop("accept")
+
+
+def retitled(pending: DataFrame, tracked: DataFrame) -> DataFrame:
+    """What current rules make of pending proposals (id, company_key, role_key, new_company, new_role, implied):
+    already_tracked (to go), duplicate (to go, its status may raise the kept one's), renamed, retitled or unchanged;
+    ``status`` is the highest that the kept one's duplicates say. Of equal ones the least id stays."""
+    t = tracked.select(F.col("company_key").alias("new_company"), F.col("role_key").alias("new_role"), F.lit(True).alias("_t")).distinct()
+    same = pending.groupBy("new_company", "new_role").agg(F.min("id").alias("_first"), F.max_by("implied", F.struct(rank(F.col("implied")), -F.col("id"))).alias("_most"))
+    joined = pending.join(t, ["new_company", "new_role"], "left").join(same, ["new_company", "new_role"])
+    outcome = (
+        F.when(F.col("_t"), "already_tracked").when(F.col("id") != F.col("_first"), "duplicate").when(F.col("company_key") != F.col("new_company"), "renamed")
+        .when(F.col("role_key") != F.col("new_role"), "retitled").otherwise("unchanged")
+    )
+    return joined.withColumn("outcome", outcome).select("id", "outcome", F.when(outcome.isin("renamed", "retitled", "unchanged"), F.col("_most")).otherwise(F.col("implied")).alias("status"))

@@ -252,3 +252,48 @@ def st10_ungraded(spark, sf):
     rows = table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
     ledger = rows.filter("id % 4 = 0 OR id % 6 = 0").withColumn("fingerprint", F.lit("now")).unionByName(rows.withColumn("fingerprint", F.lit("before")))
     return T.ungraded(rows, ledger, "now")
+
+
+@query(f"""WITH {_APPS}, r AS (SELECT o_orderkey + o_orderkey % 3 * 1000000 AS app_id, ['oa', 'offer'][o_orderkey % 2 + 1] AS to_status FROM orders WHERE o_orderkey % 4 = 1)
+SELECT app_id, CASE WHEN status IS NULL THEN 'unknown_application' WHEN status = to_status THEN 'same_status' ELSE 'repaired' END AS outcome, CASE WHEN status <> to_status THEN to_status ELSE status END AS after FROM r LEFT JOIN apps ON id = app_id""")
+def cp9_repaired(spark, sf):
+    k = F.col("o_orderkey")
+    repairs = table(spark, sf, "orders").filter(k % 4 == 1).select((k + k % 3 * 1000000).alias("app_id"), F.element_at(F.array(F.lit("oa"), F.lit("offer")), (k % 2 + 1).cast("int")).alias("to_status"))
+    return T.repaired(_apps(spark, sf), repairs, apply=True).select("app_id", "outcome", "after")
+
+
+_KEYED = "k AS (SELECT *, CASE WHEN id % 11 = 0 THEN '' ELSE 'co-' || (app_id % 23) END AS company_key, CASE WHEN id % 3 = 0 THEN '' ELSE 'role ' || (id % 4) END AS role_key FROM mail)"
+
+
+def _keyed(spark, sf):
+    k = F.col("id")
+    return _mail(spark, sf).withColumns({"company_key": F.when(k % 11 == 0, "").otherwise(F.concat(F.lit("co-"), (F.col("app_id") % 23).cast("string"))), "role_key": F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("role "), (k % 4).cast("string")))})
+
+
+@query(f"""WITH {_MAIL}, {_KEYED} SELECT CASE WHEN company_key = '' THEN 'unusable' WHEN company_key IN ('co-3', 'co-4', 'co-5') THEN 'tracked' WHEN company_key = 'co-6' AND role_key IN ('role 1', 'role 2') THEN 'asked' ELSE 'proposed' END AS outcome, count(*) AS n FROM k WHERE implied IS NOT NULL GROUP BY 1""")
+def cp11_backfill_counters(spark, sf):
+    tracked = spark.createDataFrame([(f"co-{i}",) for i in (3, 4, 5)], "company_key string")
+    asked = spark.createDataFrame([("co-6", "role 1"), ("co-6", "role 2")], "company_key string, role_key string")
+    return T.backfill_outcomes(_keyed(spark, sf), tracked, asked).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_MAIL}, {_KEYED}, p AS (SELECT *, CASE WHEN id % 5 < 2 THEN id % 2 = 0 END AS accept FROM k WHERE implied IN ('oa', 'interview', 'offer') AND id % 7 = 0)
+SELECT 'application' AS kind, id, implied AS what FROM p WHERE accept UNION ALL SELECT 'event', id, unnest(['applied', implied]) FROM p WHERE accept UNION ALL SELECT 'proposal', id, CASE WHEN accept THEN 'accepted' WHEN NOT accept THEN 'rejected' ELSE 'pending' END FROM p""")
+def cp12_decided(spark, sf):
+    p = _keyed(spark, sf).filter("implied IN ('oa', 'interview', 'offer') AND id % 7 = 0")
+    apps, events, left = T.decided(p, p.filter("id % 5 < 2").select("id", (F.col("id") % 2 == 0).alias("accept")))
+    rows = apps.select(F.lit("application").alias("kind"), "id", F.col("status").alias("what"))
+    rows = rows.unionByName(events.select(F.lit("event").alias("kind"), F.col("app_id").alias("id"), F.col("to_status").alias("what")))
+    return rows.unionByName(left.select(F.lit("proposal").alias("kind"), "id", F.col("state").alias("what")))
+
+
+@query(f"""WITH {_MAIL}, {_KEYED}, p AS (SELECT id, company_key, role_key, implied, CASE WHEN id % 9 = 0 THEN 'co-1' ELSE company_key END AS nc, CASE WHEN id % 10 = 0 THEN 'role ' || id ELSE role_key || '!' END AS nr FROM k WHERE implied IN ('oa', 'interview', 'offer') AND company_key <> '' AND id % 3 <> 0),
+q AS (SELECT id, company_key, role_key, implied, nc, CASE WHEN id % 4 = 1 THEN role_key ELSE nr END AS nr FROM p),
+s AS (SELECT nc, nr, min(id) AS first, arg_max(implied, struct_pack(a := CASE implied WHEN 'oa' THEN 2 WHEN 'interview' THEN 3 ELSE 4 END, b := -id)) AS most FROM q GROUP BY 1, 2),
+o AS (SELECT q.*, most, CASE WHEN nc = 'co-2' AND nr = 'role 1' THEN 'already_tracked' WHEN id <> first THEN 'duplicate' WHEN company_key <> nc THEN 'renamed' WHEN role_key <> nr THEN 'retitled' ELSE 'unchanged' END AS outcome FROM q JOIN s USING (nc, nr))
+SELECT id, outcome, CASE WHEN outcome IN ('renamed', 'retitled', 'unchanged') THEN most ELSE implied END AS status FROM o""")
+def cp13_retitled(spark, sf):
+    k = F.col("id")
+    p = _keyed(spark, sf).filter("implied IN ('oa', 'interview', 'offer') AND company_key <> '' AND id % 3 <> 0")
+    p = p.withColumns({"new_company": F.when(k % 9 == 0, "co-1").otherwise(F.col("company_key")), "new_role": F.when(k % 4 == 1, F.col("role_key")).when(k % 10 == 0, F.concat(F.lit("role "), k.cast("string"))).otherwise(F.concat("role_key", F.lit("!")))})
+    return T.retitled(p, spark.createDataFrame([("co-2", "role 1")], "company_key string, role_key string"))
