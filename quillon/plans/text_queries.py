@@ -311,3 +311,53 @@ def so3_keyset_page(spark, sf):
 @query("SELECT doc_id, sha256(CAST(doc_id AS VARCHAR)) AS place FROM documents ORDER BY 2 LIMIT 40")
 def so7_hash_shuffle(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("place")).orderBy("place").limit(40)
+
+
+_LABELS = (
+    "First Name *", "firstName", "Email (required)", "Name", "Company name", "Emergency contact phone", "Driver's License", "passportNumber", "What is your major?", "Describe a major challenge",
+    "How did you hear about us? LinkedIn, Indeed", "LinkedIn Profile URL", "Phone number", "Mobile", "Mobile development experience", "Expected graduation date", "Graduation year and month", "Gender", "City and state",
+    "School or university", "GPA", "", "Last employer", "Will you require sponsorship now?", "Preferred first name", "cc-number", "Github username", "Degree", "Your manager's email", None, "Date of birth", "What is your email or phone number?", "Is visa sponsorship or work status needed?",
+)
+
+
+def _label_sql() -> str:
+    from quillon.functions import forms as O
+
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    refuses = lambda p: f"(regexp_matches(label, {text(O.any_pattern(p))}) OR regexp_matches(apart, {text(O.any_pattern(p))}))"
+    equal = " ".join(f"WHEN label IN ({', '.join(map(text, v))}) THEN '{k}'" for k, v in [*O.SYNONYMS.items(), *O.EXACT_ONLY.items()])
+    held = " UNION ALL ".join(f"SELECT '{k}' AS key, '{p}' AS phrase" for k, v in O.SYNONYMS.items() for p in v)
+    return f"""WITH raw AS (SELECT * FROM (VALUES {', '.join(f"({i}, {_LIT(x)})" for i, x in enumerate(_LABELS))}) AS v(id, raw)),
+n AS (SELECT id, raw, {_label_key_sql('raw')} AS label, {_label_key_sql("regexp_replace(raw, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')")} AS apart FROM raw),
+p AS ({held}), h AS (SELECT id, key, max(length(phrase)) AS n FROM n JOIN p ON regexp_matches(label, '(^| )' || phrase || CASE WHEN phrase = 'major' THEN '$' ELSE '( |$)' END) GROUP BY 1, 2),
+b AS (SELECT id, arg_max(key, n) AS key, max(c) AS c FROM (SELECT *, max(n) OVER (PARTITION BY id) AS m, count(*) OVER (PARTITION BY id) AS c FROM h) WHERE n = m GROUP BY 1 HAVING count(*) = 1)
+SELECT n.id, CASE WHEN label = '' THEN 'skip' WHEN {refuses(O.BLOCKED)} OR {refuses(O.DEMOGRAPHIC)} THEN 'blocked' WHEN {refuses(O.THIRD_PARTY)} THEN 'skip' WHEN regexp_matches(label, {text(O.ESSAY)}) OR regexp_matches(label, {text(O.SOURCING)}) THEN 'skip' {equal} WHEN c > 1 AND (contains(raw, '?') OR regexp_matches(label, {text(O.QUESTION)})) AND key NOT IN ('work_authorization', 'needs_sponsorship') THEN 'skip' ELSE coalesce(key, 'skip') END AS field FROM n LEFT JOIN b USING (id)"""
+
+
+def _label_key_sql(c: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(replace(lower({c}), '*', ' '), '\(required\)|\(optional\)', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(_label_sql())
+def tx20_form_labels(spark, sf):
+    from quillon.functions.forms import field_of
+
+    rows = spark.createDataFrame(list(enumerate(_LABELS)), "id int, raw string")
+    return rows.select("id", field_of(F.col("raw")).alias("field"))
+
+
+#: sender, subject, and the employer that follows from them.
+_SENDERS = (
+    ("Acme Careers <no-reply@acme.com>", "Hello", "acme"), ("Sam Doe <sam@acme.com>", "Hello", "acme"), ("\"Globex University Recruiting\" <jobs@mail.globex.co>", None, "globex"),
+    ("International Business Machines <hr@ibm.com>", "x", "international business machines"), ("Initech Hiring Team <noreply@greenhouse.io>", "x", "initech"),
+    ("no-reply@greenhouse.io", "Your application to Umbrella Corp - Intern", "umbrella corp"), ("x@gmail.com", "Application sent to Hooli, thanks", "hooli"), ("someone@gmail.com", "Hello", None),
+    ("noreply@myworkday.com", "Hello", None), ("stark@myworkday.com", "Hello", "stark"), ("wayne.enterprises@lever.co", "", "wayne enterprises"), (None, None, None), ("HR <hr@xy.z>", "Hi", None),
+)
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(f'({i}, {_LIT(e)})' for i, (_, _, e) in enumerate(_SENDERS))}) AS v(id, employer)")
+def tx18_employer(spark, sf):
+    from quillon.functions.senders import employer
+
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(_SENDERS)], "id int, sender string, subject string")
+    return rows.select("id", employer(F.col("sender"), F.col("subject"), C.ATS_DOMAINS, C.any_of(C.MACHINE_SENDER)).alias("employer"))
