@@ -11,6 +11,8 @@ from __future__ import annotations
 import numpy as np
 
 _END = -1
+#: So few rows are sorted at once.
+FEW = 8
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -28,7 +30,7 @@ def _multikey_quicksort(words: np.ndarray) -> list[np.ndarray]:
             continue
         if len(rows) == 1 or d == deep:
             groups.append(rows)
-        elif len(rows) <= 128:
+        elif len(rows) <= FEW:
             rows = rows[np.lexsort(words[rows, d:].T[::-1])]
             own = words[rows, d:]
             groups += np.split(rows, np.flatnonzero((own[1:] != own[:-1]).any(axis=1)) + 1)
