@@ -295,7 +295,7 @@ def _verify(percent: int, bound: int):
 
 
 #: Rows of a block and bytes of shingle sets in it at most, about. Below MOST_SHARES blocks of a key they are smaller.
-BLOCK_DOCS, BLOCK_BYTES, SMALL, MOST_SHARES = 4096, 4 << 20, 128, 16
+BLOCK_DOCS, BLOCK_BYTES, SMALL, MOST_SHARES = 4096, 4 << 20, 1024, 16
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -366,12 +366,15 @@ def _placed(rows: DataFrame, k: int, percent: int) -> DataFrame:
     classes = classes_of(signed)
     parts = materialize(linked(rows, classes, k, percent), "near-parts")
     own = classes.join(parts, F.col("cid") == F.col("node"), "left").select(*KEYS, F.coalesce("component", "cid").alias("component"))
-    return signed.select("doc_id", "_row", *KEYS).join(materialize(own, "near-own"), KEYS, "left").drop("k1", "k2")
+    own = materialize(own, "near-own")
+    placed = materialize(signed.select("doc_id", "_row", *KEYS).join(own, KEYS, "left").drop("k1", "k2"), "near-rows")
+    discard(signed, classes, parts, own)
+    return placed
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
-    placed = materialize(_placed(docs.select("doc_id", "text", F.lit(0).cast("long").alias("_row")), k, percent), "near-rows")
+    placed = _placed(docs.select("doc_id", "text", F.lit(0).cast("long").alias("_row")), k, percent)
     least = materialize(placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id")), "near-least")
     out = placed.join(least, "component", "left")
     out = out.withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
@@ -386,7 +389,7 @@ def survivors(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Of the others only those that may go shuffle.
     """
     rows = materialize(bloom.packed(docs).withColumn("_row", F.monotonically_increasing_id()), "near-docs")
-    placed = materialize(_placed(rows.select("row.doc_id", "row.text", "_row"), k, percent).filter("component IS NOT NULL"), "near-rows")
+    placed = _placed(rows.select("row.doc_id", "row.text", "_row"), k, percent).filter("component IS NOT NULL")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row"))
     keepers = materialize(placed.groupBy("component").agg(first.alias("first")).select("first._row"), "near-keepers")
     gone = materialize(placed.select("_row").join(keepers, "_row", "left_anti"), "near-gone")

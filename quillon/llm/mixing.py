@@ -167,4 +167,5 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int =
     rows = materialize(bloom.packed(docs).withColumn("_row", F.monotonically_increasing_id()), "mix-docs")
     schedule = plan(rows.select("row.doc_id", "row.text", "row.source", "_row"), weights, max_passes)[2]
     times = materialize(schedule.groupBy("_row").agg(F.count_distinct("pass").cast("int").alias("times")), "mix-times")
-    return rows.join(times, "_row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+    # A shuffle of both sides at every size: the rows' counts are as many as the rows.
+    return rows.join(times.hint("merge"), "_row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
