@@ -10,7 +10,7 @@ sides come out as they were: ids and decoded text of the three must be those of
 Where they do not agree, the whole text is encoded anew at once, which is the library's own
 result. So chunk reuse never decides what the ids are.
 
-Reuse is per worker process: chunks and words are kept there, bounded in number and bytes
+Reuse is per task: chunks and words are kept in its worker, bounded in number and bytes
 (two generations of at most ``KEPT`` entries of at most ``LONGEST`` bytes each), and are only
 ever a saving; any task can be run again anywhere. A vocabulary that is not of the form for which words can
 be encoded apart (``_apart``) is encoded text by text.
@@ -36,7 +36,7 @@ from quillon.llm.kernels import U, mix64, powers, prefix_hash, slices, text_buff
 
 VOCABULARY = "word_bpe_49k.json"
 #: Entries in a generation of kept words, and of kept chunks.
-KEPT_WORDS, KEPT_CHUNKS = 100_000, 10_000
+KEPT_WORDS, KEPT_CHUNKS = 60_000, 6_000
 #: Bytes of a word or chunk that is kept.
 LONGEST = 4096
 #: Chunks are 1 / CUT_RATE bytes long on average beyond the least length.
@@ -107,6 +107,10 @@ class Codec:
         self.apart, self.caseless = _apart(self.tokenizer)
         self.met = self.reused = self.joins = self.disagreed = 0
 
+    def forget(self) -> None:
+        """Give up what was kept: the worker outlives the task."""
+        self.words, self.chunks = _Kept(KEPT_WORDS), _Kept(KEPT_CHUNKS)
+
     def whole(self, text: str) -> tuple[int, str, str]:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return len(ids), " ".join(map(str, ids)), self.tokenizer.decode(ids, skip_special_tokens=False)
@@ -249,6 +253,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             at = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["doc_id", "n_tokens", "ids"])
+        codec.forget()
 
     return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, n_tokens long, ids array<int>")
 
@@ -277,5 +282,6 @@ def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             rows = [(n, sha(ids), sha(text)) for n, ids, text in _encoded(codec, batch.column(1))]
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        codec.forget()
 
     return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

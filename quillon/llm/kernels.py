@@ -89,7 +89,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     name = "inverse" if inverse else "plain"
     have = _POWERS.get(name)
     if have is None or len(have) < n:
-        base = np.full(max(n, 2 * SLICE_BYTES) + 1, _INVERSE if inverse else _MULTIPLIER, dtype=U)
+        base = np.full(max(n, SLICE_BYTES + 4096) + 1, _INVERSE if inverse else _MULTIPLIER, dtype=U)
         base[0] = 1
         have = np.multiply.accumulate(base)
         if len(have) <= 8 * SLICE_BYTES:

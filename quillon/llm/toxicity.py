@@ -223,9 +223,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, categories:
 
     def only_telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Features as places among the telling ones, the others left out."""
+        telling = shared.value
         for batch in batches:
-            lists = [np.array(x, np.int32) for x in batch.column("features").to_pylist()]
-            yield _with_lists(batch, [np.searchsorted(shared.value, x[np.isin(x, shared.value)]) for x in lists])
+            lists = batch.column("features")
+            flat, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+            place = np.minimum(np.searchsorted(telling, flat), max(0, len(telling) - 1)).astype(np.int32)
+            keep = telling[place] == flat if len(telling) else np.zeros(len(flat), bool)
+            upto = np.concatenate(([0], np.cumsum(keep)))[np.concatenate(([0], np.cumsum(size)))].astype(np.int32)
+            kept = batch.schema.names[:-1]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(upto), pa.array(place[keep]))], names=[*kept, "features"])
 
     got = rows.mapInArrow(trimmed(only_telling), schema).toArrow().sort_by("doc_id").combine_chunks()
     lists = got.column("features").combine_chunks()
