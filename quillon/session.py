@@ -52,6 +52,11 @@ def discard(*written: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def reread(*written: DataFrame) -> DataFrame:
+    """Tables of one schema that ``materialize`` wrote, as one table."""
+    return written[0].sparkSession.read.schema(written[0].schema).parquet(*(df._quillon_path for df in written))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; only the columns that a plan uses are read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
