@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 
 from quillon.llm import bloom
 from quillon.llm.components import components
-from quillon.llm.kernels import U, folded_byte_values, mix64, prefix_hash, range_hash, slices, text_buffers, trimmed, words
+from quillon.llm.kernels import U, mix64, slices, text_buffers, trimmed, word_hash, words
+from quillon.llm.squares import by_squares
 from quillon.session import discard, materialize
 
 BANDS, ROWS = 32, 4
@@ -67,7 +68,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     starts, ends = words(data, offsets[:-1])
     if not len(starts):
         return np.zeros(0, U), np.zeros(n_docs + 1, np.int64)
-    hashed = range_hash(prefix_hash(data, folded_byte_values()), starts, ends)
+    hashed = word_hash(data, starts, ends)
     first = np.searchsorted(starts, offsets[:-1])
     last = np.append(first[1:], len(starts))
     whole = np.zeros(max(0, len(hashed) - k + 1), dtype=U)
@@ -198,37 +199,6 @@ def _xor(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(4)), F.lit(0))
 
 
-def _squares(work):
-    """``work`` on each square of a partition's rows, which are sorted by ``square``; a square is bounded."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if held and held[-1].column("square")[-1] != batch.column("square")[0]:
-                yield from done(held)
-                held = []
-            column = batch.column("square").to_numpy()
-            cut = int(np.searchsorted(column, column[-1]))  # the last square may go on in the next batch
-            if cut:
-                yield from done([*held, batch.slice(0, cut)])
-                held = []
-            held.append(batch.slice(cut))
-        if held:
-            yield from done(held)
-
-    def done(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held).combine_chunks()
-        square = table.column("square").to_numpy()
-        ends = np.append(np.flatnonzero(np.diff(square)) + 1, len(square))
-        out = work(Square(table), zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True))
-        if out.num_rows:
-            yield out
-
-    return run
-
-
 class Square:
     """The columns of a table of squares that both comparisons need."""
 
@@ -260,7 +230,8 @@ class Square:
 
 
 def _flag(percent: int, bound: int):
-    def work(square: Square, groups) -> pa.RecordBatch:
+    def work(table: pa.Table, groups) -> pa.RecordBatch:
+        square = Square(table)
         rows = [np.unique(square.promising(a, b, percent, bound)[1:]) for a, b in groups]
         rows = np.concatenate(rows)
         return pa.RecordBatch.from_arrays([pa.array(square.key[rows]), pa.array(square.cid[rows])], names=["key", "cid"])
@@ -272,8 +243,8 @@ def _verify(percent: int, bound: int):
     """Links of promising pairs, most similar first; a link joins two components, so that
     pairs within them need no look any more."""
 
-    def work(square: Square, groups) -> pa.RecordBatch:
-        links = []
+    def work(table: pa.Table, groups) -> pa.RecordBatch:
+        square, links = Square(table), []
         for a, b in groups:
             tests = square.promising(a, b, percent, bound)
             head: dict[int, int] = {}
@@ -294,27 +265,6 @@ def _verify(percent: int, bound: int):
     return work
 
 
-#: Rows of a block and bytes of shingle sets in it at most, about. Below MOST_SHARES blocks of a key they are smaller.
-BLOCK_DOCS, BLOCK_BYTES, SMALL, MOST_SHARES = 4096, 4 << 20, 1024, 16
-
-
-def _dealt(rows: DataFrame) -> DataFrame:
-    """Rows of open keys dealt to the squares of their key's blocks: one row per square, with its side in it."""
-    n = F.count(F.lit(1))
-    by_rows = F.greatest(F.ceil(n / BLOCK_DOCS), F.least(F.ceil(n / SMALL), F.lit(MOST_SHARES)))
-    by_bytes = [F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_BYTES)] if "shingles" in rows.columns else []
-    sizes = rows.groupBy("key").agg((F.greatest(by_rows, *by_bytes) if by_bytes else by_rows).cast("int").alias("blocks"))
-    cut = rows.join(materialize(sizes, "near-blocks"), "key")
-    cut = cut.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    square = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
-    return dealt.withColumns({"square": square, "side": F.signum(F.col("block") - F.col("other")).cast("int")}).drop("block", "other", "blocks")
-
-
-def _by_squares(rows: DataFrame, work, schema: str, label: str) -> DataFrame:
-    return materialize(_dealt(rows).repartition("square").sortWithinPartitions("square").mapInArrow(trimmed(_squares(work)), schema), label)
-
-
 def classes_of(signed: DataFrame) -> DataFrame:
     """A row per distinct set: its keys, the number ``cid``, least doc_id ``rep``, bands and sketch."""
     of = [F.any_value(c).alias(c) for c in ("bands", "s0", "s1", "s2", "s3")]
@@ -351,9 +301,9 @@ def linked(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFra
     open_ = placed.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last")).filter("first <> last").select("key")
     open_ = placed.join(materialize(open_, "near-open"), "key")
     signs = classes.select("cid", "n_shingles", "bands", "s0", "s1", "s2", "s3")
-    flagged = _by_squares(open_.join(signs, "cid"), _flag(percent, bound), "key long, cid long", "near-flagged").distinct()
+    flagged = by_squares(open_.join(signs, "cid"), _flag(percent, bound), "key long, cid long", "near-flagged").distinct()
     exact = flagged.join(placed, ["key", "cid"]).join(signs, "cid").join(sets, "cid")
-    more = _by_squares(materialize(exact, "near-exact"), _verify(percent, bound), "u long, v long", "near-more")
+    more = by_squares(materialize(exact, "near-exact"), _verify(percent, bound), "u long, v long", "near-more")
     stars = parts.select(F.col("node").alias("u"), F.col("component").alias("v"))
     parts = components(stars.union(more))
     discard(shared, members, wanted, sets, pairs, links, placed)

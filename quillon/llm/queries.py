@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, exact_dedup, langid, minhash, mixing, secret_scan, sentence_spans, suffix_dedup, topk, toxicity
+from quillon.llm import bpe, conversation_trie, embedding_dedup, exact_dedup, hard_negatives, langid, minhash, mixing, secret_scan, sentence_spans, suffix_dedup, topk, toxicity
 from quillon.session import table
 
 
@@ -48,6 +48,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_top_k": op2_top_k,
@@ -59,5 +71,14 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_sentence_spans": op9_sentence_spans,
     "op10_bpe": op10_bpe,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_embedding_dedup": op12_embedding_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
+}
+SQL = {
+    "op2_top_k": topk.SQL,
+    "op3_exact_dedup": exact_dedup.SQL,
+    "op11_conversation_trie": conversation_trie.SQL,
+    "op12_embedding_dedup": embedding_dedup.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
 }
-SQL = {"op2_top_k": topk.SQL, "op3_exact_dedup": exact_dedup.SQL}

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import bloom
-from quillon.llm.kernels import U, folded_byte_values, mix64, powers, prefix_hash, range_hash, slices, text_buffers, trimmed, words
+from quillon.llm.kernels import U, mix64, powers, slices, text_buffers, trimmed, word_hash, words
 from quillon.session import materialize
 
 RUN, LEAST_WORDS, WINDOW = 2, 12, 8
@@ -116,7 +116,7 @@ def _split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     over = _ends(data, starts, ends)
     over[:-1] |= (lines[starts[1:]] > lines[ends[:-1]]) | (doc[1:] != doc[:-1])
     over[-1] = True
-    hashed = range_hash(prefix_hash(data, folded_byte_values()), starts, ends)
+    hashed = word_hash(data, starts, ends)
     first = np.concatenate(([0], np.flatnonzero((over | _least(hashed, over, WINDOW))[:-1]) + 1))
     return starts, ends, first, doc[first], hashed
 
