@@ -2,18 +2,23 @@
 
 Rules are tried in order and the first that holds decides (category, confidence). A marker is
 *stated* if it stands in a sentence without a hedge; a *pair* is two markers within GAP
-characters. A rule is a small tree of tests on three folded texts (all of the mail, its
-subject, its sender), and the whole classifier is one CASE expression of regular expressions.
+characters. An automaton of all rules' markers reads each of three folded texts (all of the mail, its
+subject, its sender) once; a rule is a small tree of tests on the places that it found.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from dataclasses import dataclass
+from functools import lru_cache
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.text import unescape
+from quillon.functions.text import decode_entities
 
 GAP = 160
 
@@ -111,41 +116,59 @@ def any_of(markers: tuple[str, ...]) -> str:
     return "(" + "|".join(m.replace(".", "[.]") for m in markers) + ")"
 
 
-@dataclass(frozen=True)
-class Mail:
-    """The folded texts that rules look at, and whether a known company is named at all, and by sender or subject."""
+class Seen:
+    """The markers that one message holds, with their places."""
+
+    def __init__(self, texts: dict[str, str], flags: dict[str, bool], automaton):
+        self.texts, self.flags = texts, flags
+        self.at: dict[str, dict[str, list[int]]] = {}
+        for field, text in texts.items():
+            held = self.at[field] = {}
+            for end, marker in automaton.iter(text):
+                held.setdefault(marker, []).append(end + 1 - len(marker))
+        self._stops: list[int] | None = None
+
+    def sentence(self, place: int) -> int:
+        """The number of the sentence that holds a place of the text."""
+        if self._stops is None:
+            self._stops = [m.start() for m in re.finditer("[.!?]", self.texts["text"])]
+        return bisect_left(self._stops, place)
 
-    text: Column
-    headline: Column
-    sender: Column
-    named: Column
-    named_in_head: Column
+    def sentences(self, markers: tuple[str, ...]) -> set[int]:
+        held = self.at["text"]
+        return {self.sentence(p) for m in markers if m in held for p in held[m]}
+
+    def words_of(self, sentence: int) -> str:
+        begin = self._stops[sentence - 1] + 1 if sentence else 0
+        return self.texts["text"][begin : self._stops[sentence] if sentence < len(self._stops) else None]
 
 
 @dataclass(frozen=True)
 class Has:
+    """A field holds one of the markers."""
+
     field: str
-    pattern: str
+    markers: tuple[str, ...]
 
-    def column(self, mail: Mail) -> Column:
-        return getattr(mail, self.field).rlike(self.pattern)
+    def holds(self, seen: Seen) -> bool:
+        held = seen.at[self.field]
+        return bool(held) and any(m in held for m in self.markers)
 
 
 @dataclass(frozen=True)
 class Sentence:
-    """One sentence that matches all patterns and has no hedge."""
+    """One sentence holds a marker of each group, and what the pattern asks for, and no hedge."""
 
-    patterns: tuple[str, ...]
+    groups: tuple[tuple[str, ...], ...]
     hedges: tuple[str, ...]
+    pattern: str | None = None
 
-    def column(self, mail: Mail) -> Column:
-        def holds(s: Column) -> Column:
-            ok = ~s.rlike(any_of(self.hedges))
-            for p in self.patterns:
-                ok = ok & s.rlike(p)
-            return ok
-
-        return F.exists(F.split(mail.text, "[.!?]"), holds)
+    def holds(self, seen: Seen) -> bool:
+        fit = seen.sentences(self.groups[0])
+        for group in self.groups[1:]:
+            fit &= seen.sentences(group) if fit else set()
+        fit = fit and fit - seen.sentences(self.hedges)
+        return any(re.search(self.pattern, seen.words_of(s)) for s in fit) if self.pattern else bool(fit)
 
 
 @dataclass(frozen=True)
@@ -155,23 +178,22 @@ class Near:
     pairs: tuple[tuple[str, str], ...]
     hedges: tuple[str, ...] = ()
 
-    def pattern(self) -> str:
-        gap = f"(?s:.{{0,{GAP}}})"
-        return "|".join(f"{a}{gap}{b}|{b}{gap}{a}" for a, b in self.pairs)
-
-    def column(self, mail: Mail) -> Column:
-        text = mail.text
-        if self.hedges:  # hedged sentences as blanks
-            text = F.array_join(F.transform(F.split(text, "[.!?]"), lambda s: F.when(s.rlike(any_of(self.hedges)), F.repeat(F.lit(" "), F.length(s))).otherwise(s)), ".")
-        return text.rlike(self.pattern())
+    def holds(self, seen: Seen) -> bool:
+        held = seen.at["text"]
+        there = [(a, b) for a, b in self.pairs if a in held and b in held]
+        if not there:
+            return False
+        hedged = seen.sentences(self.hedges)
+        free = lambda m: [p for p in held[m] if seen.sentence(p) not in hedged] if hedged else held[m]
+        return any(0 <= y - (x + len(one)) <= GAP for a, b in there for one, other in ((a, b), (b, a)) for x in free(one) for y in free(other))
 
 
 @dataclass(frozen=True)
 class Flag:
-    field: str
+    name: str
 
-    def column(self, mail: Mail) -> Column:
-        return getattr(mail, self.field)
+    def holds(self, seen: Seen) -> bool:
+        return seen.flags[self.name]
 
 
 @dataclass(frozen=True)
@@ -181,12 +203,10 @@ class Of:
     kind: str
     tests: tuple
 
-    def column(self, mail: Mail) -> Column:
-        parts = [t.column(mail) for t in self.tests]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out & p if self.kind == "and" else out | p
-        return ~out if self.kind == "not" else out
+    def holds(self, seen: Seen) -> bool:
+        if self.kind == "not":
+            return not self.tests[0].holds(seen)
+        return (all if self.kind == "and" else any)(t.holds(seen) for t in self.tests)
 
 
 def all_(*tests) -> Of:
@@ -209,33 +229,33 @@ class Rule:
 
 
 def stated(markers: tuple[str, ...], hedges: tuple[str, ...] = PROSPECTIVE) -> Sentence:
-    return Sentence((any_of(markers),), hedges)
+    return Sentence((markers,), hedges)
 
 
-_YOURS = either(no(Has("text", any_of(ASSESSMENT_IS_DESCRIBED))), Has("text", any_of(ASSESSMENT_IS_ASSIGNED)))
-_PERSON = all_(no(Has("sender", "^$")), no(Has("sender", any_of(MACHINE_SENDER))))
+_YOURS = either(no(Has("text", ASSESSMENT_IS_DESCRIBED)), Has("text", ASSESSMENT_IS_ASSIGNED))
+_PERSON = all_(Flag("sent"), no(Has("sender", MACHINE_SENDER)))
 #: In the order in which they are tried.
 RULES = (
     Rule("rejection", 0.90, stated(REJECTION, REJECTION_HYPOTHETICAL)),
     Rule("rejection", 0.85, Near(REJECTION_PAIRS)),
-    Rule("offer", 0.85, Has("text", any_of(OFFER))),
+    Rule("offer", 0.85, Has("text", OFFER)),
     Rule("interview", 0.80, stated(INTERVIEW)),
     Rule("oa", 0.80, all_(_YOURS, stated(ASSESSMENT))),
     Rule("oa", 0.75, all_(_YOURS, either(
-        all_(Has("sender", any_of(ASSESSMENT_PLATFORMS)), stated(ASSESSMENT_TOPIC)),
-        Sentence((any_of(ASSESSMENT_TOPIC), any_of(ASSESSMENT_PLATFORMS)), PROSPECTIVE),
+        all_(Has("sender", ASSESSMENT_PLATFORMS), stated(ASSESSMENT_TOPIC)),
+        Sentence((ASSESSMENT_TOPIC, ASSESSMENT_PLATFORMS), PROSPECTIVE),
     ))),
     Rule("oa", 0.70, all_(_YOURS, Near(ASSESSMENT_PAIRS, PROSPECTIVE))),
     Rule("interview", 0.75, stated(INTERVIEW_ROUNDS)),
-    Rule("disregarded", 0.70, all_(Has("headline", any_of(ACCOUNT_MAIL)), no(Has("headline", "intern")))),
-    Rule("oa", 0.65, all_(Sentence((any_of(STEP_ASK), any_of(STEP_VERB), SOON), PROSPECTIVE), Has("text", any_of(JOB_TOPIC)))),
-    Rule("confirmation", 0.85, Has("text", any_of(CONFIRMATION))),
+    Rule("disregarded", 0.70, all_(Has("headline", ACCOUNT_MAIL), no(Has("headline", ("intern",))))),
+    Rule("oa", 0.65, all_(Sentence((STEP_ASK, STEP_VERB), PROSPECTIVE, SOON), Has("text", JOB_TOPIC))),
+    Rule("confirmation", 0.85, Has("text", CONFIRMATION)),
     Rule("confirmation", 0.80, Near(CONFIRMATION_PAIRS)),
-    Rule("confirmation", 0.60, all_(Has("headline", "welcome to"), Has("headline", "careers"))),
-    Rule("disregarded", 0.70, Has("headline", any_of(BULK_EVENT))),
-    Rule("disregarded", 0.70, Has("text", any_of(BULK))),
-    Rule("outreach", 0.50, either(Has("sender", any_of(ATS_DOMAINS)), Has("sender", any_of(ASSESSMENT_PLATFORMS)), all_(Flag("named"), _PERSON))),
-    Rule("outreach", 0.45, all_(Flag("named_in_head"), Has("text", any_of(JOB_TOPIC)))),
+    Rule("confirmation", 0.60, all_(Has("headline", ("welcome to",)), Has("headline", ("careers",)))),
+    Rule("disregarded", 0.70, Has("headline", BULK_EVENT)),
+    Rule("disregarded", 0.70, Has("text", BULK)),
+    Rule("outreach", 0.50, either(Has("sender", ATS_DOMAINS), Has("sender", ASSESSMENT_PLATFORMS), all_(Flag("named"), _PERSON))),
+    Rule("outreach", 0.45, all_(Flag("named_in_head"), Has("text", JOB_TOPIC))),
 )
 DEFAULT = ("disregarded", 0.60)
 STATUS_OF = {"oa": "oa", "interview": "interview", "offer": "offer", "rejection": "rejected"}
@@ -243,27 +263,58 @@ STATUS_OF = {"oa": "oa", "interview": "interview", "offer": "offer", "rejection"
 
 def folded(*parts: Column) -> Column:
     """Lower case, entities decoded, curly marks straight."""
-    text = F.lower(unescape(F.concat_ws("\n", *parts)))
+    text = F.lower(decode_entities(F.concat_ws("\n", *parts)))
     return F.translate(text, "‘’“”–—", "''\"\"--")
 
 
-def mail(sender: Column, subject: Column, *more: Column, known: str | None = None) -> Mail:
-    """Of a message's columns; ``known`` is a regular expression of known companies' names."""
-    text, headline, sender = folded(subject, *more), folded(subject), F.lower(F.coalesce(sender, F.lit("")))
-    head = headline.rlike(known) | sender.rlike(known) if known else F.lit(False)
-    return Mail(text, headline, sender, head | text.rlike(known) if known else F.lit(False), head)
+def mail(sender: Column, subject: Column, *more: Column) -> Column:
+    """struct<text, headline, sender>: the folded texts that rules look at. Select it before use, so that it is made once."""
+    return F.struct(folded(subject, *more).alias("text"), folded(subject).alias("headline"), F.lower(F.coalesce(sender, F.lit(""))).alias("sender"))
+
+
+def _markers(test) -> set[str]:
+    """All markers below a test."""
+    if isinstance(test, Of):
+        return set().union(*map(_markers, test.tests))
+    if isinstance(test, Has):
+        return set(test.markers)
+    if isinstance(test, Sentence):
+        return set(test.hedges).union(*test.groups)
+    return {m for p in test.pairs for m in p} | set(test.hedges) if isinstance(test, Near) else set()
+
+
+@lru_cache(maxsize=8)
+def _automaton(rules: tuple[Rule, ...]):
+    found = ahocorasick.Automaton()
+    for marker in sorted(set().union(*(_markers(r.test) for r in rules))):
+        found.add_word(marker, marker)
+    found.make_automaton()
+    return found
+
+
+def first_rule(text: str, headline: str, sender: str, named_in: str | None, rules: tuple[Rule, ...] = RULES) -> int:
+    """The number of the first rule that holds for a message, -1 for none: one pass of an automaton, then tests on places."""
+    flags = {"named": named_in is not None, "named_in_head": named_in in ("sender", "subject"), "sent": sender != ""}
+    seen = Seen({"text": text, "headline": headline, "sender": sender}, flags, _automaton(rules))
+    return next((i for i, r in enumerate(rules) if r.test.holds(seen)), -1)
+
+
+def classify(message: Column, named_in: Column | None = None, rules: tuple[Rule, ...] = RULES) -> Column:
+    """struct<category, confidence, rule>; rule is the number of the first that holds, -1 for none.
+
+    ``message``: what ``mail`` makes, or a folded text; ``named_in``: of ``quillon.operators.names``.
+    """
 
+    @F.pandas_udf("int")
+    def place(text: pd.Series, headline: pd.Series, sender: pd.Series, named: pd.Series) -> pd.Series:
+        rows = zip(text.fillna(""), headline.fillna(""), sender.fillna(""), named.astype(object).where(named.notna(), None), strict=True)
+        return pd.Series([first_rule(*r, rules) for r in rows], dtype="int32")
 
-def classify(message: Mail | Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """struct<category, confidence, rule>; rule is the number of the first that holds, -1 for none."""
-    if isinstance(message, Column):
-        message = Mail(message, message, F.lit(""), F.lit(False), F.lit(False))
-    place = F.lit(-1)
-    for i in reversed(range(len(rules))):
-        place = F.when(rules[i].test.column(message), F.lit(i)).otherwise(place)
-    name = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(i), F.lit(r.category))])
-    sure = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(i), F.lit(r.confidence))])
-    return F.struct(F.coalesce(F.try_element_at(name, place), F.lit(DEFAULT[0])).alias("category"), F.coalesce(F.try_element_at(sure, place), F.lit(DEFAULT[1])).alias("confidence"), place.alias("rule"))
+    named_in = F.lit(None).cast("string") if named_in is None else named_in
+    number = place(message["text"], message["headline"], message["sender"], named_in)
+    outcomes = [(-1, *DEFAULT), *((i, r.category, r.confidence) for i, r in enumerate(rules))]
+    known = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(p).alias("confidence"), F.lit(i).alias("rule")) for i, c, p in outcomes])
+    return F.get(known, number + 1)
 
 
 def status_of(category: Column) -> Column:

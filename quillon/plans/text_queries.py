@@ -112,85 +112,6 @@ def tx14_similarity(spark, sf):
     return pairs.select("a", "b", F.round(fuzzy.similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
-_FOLDED = "translate(replace(replace(replace(replace(replace(replace(replace(lower(text), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&'), '‘’“”–—', '''''\"\"--')"
-
-
-def _test_sql(test) -> str:
-    """A rule's test as DuckDB SQL over text, headline, sender, named and named_in_head."""
-    quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    if isinstance(test, C.Has):
-        return f"regexp_matches({test.field}, {quoted(test.pattern)})"
-    if isinstance(test, C.Sentence):
-        wanted = " AND ".join(f"regexp_matches(s, {quoted(p)})" for p in test.patterns)
-        return f"len(list_filter(regexp_split_to_array(text, '[.!?]'), lambda s: {wanted} AND NOT regexp_matches(s, {quoted(C.any_of(test.hedges))}))) > 0"
-    if isinstance(test, C.Near):
-        text = "text"
-        if test.hedges:
-            text = f"array_to_string(list_transform(regexp_split_to_array(text, '[.!?]'), lambda s: CASE WHEN regexp_matches(s, {quoted(C.any_of(test.hedges))}) THEN repeat(' ', length(s)) ELSE s END), '.')"
-        return f"regexp_matches({text}, {quoted(test.pattern())})"
-    if isinstance(test, C.Flag):
-        return test.field
-    parts = [f"({_test_sql(t)})" for t in test.tests]
-    return f"NOT {parts[0]}" if test.kind == "not" else f" {test.kind} ".join(parts)
-
-
-#: Messages that a rule each should decide, and near misses: sender, subject, body.
-_MAIL = (
-    ("jane@acme.com", "Your application", "We regret to inform you that the role went to another."),
-    ("jane@acme.com", "Update", "If you were not selected for this one, do apply again."),
-    ("jane@acme.com", "Update", "Unfortunately, after much thought, we chose other candidates."),
-    ("jobs@acme.com", "Good news", "We are pleased to offer you a place."),
-    ("jobs@acme.com", "Next", "We&#39;d like to interview you on Monday."),
-    ("jobs@acme.com", "Next", "If your skills match, we will schedule some time. Until then, all the best."),
-    ("no-reply@tests.example", "Online assessment", "Please take the online assessment by Friday."),
-    ("no-reply@tests.example", "Campus day", "Learn about our assessments and bring a laptop to the online assessment corner."),
-    ("no-reply@codesignal.example", "Ready", "Your coding test is waiting."),
-    ("no-reply@tests.example", "Ready", "The HackerRank challenge is waiting."),
-    ("no-reply@tests.example", "Verify your account", "Your HackerRank account needs a new password."),
-    ("no-reply@tests.example", "Next", "As a next step there is an assessment for you."),
-    ("no-reply@tests.example", "Next", "If selected, the next step is an assessment."),
-    ("jobs@globex.com", "Time", "Pick a time for the final round."),
-    ("no-reply@id.example", "Your verification code", "It is 4711."),
-    ("no-reply@id.example", "Verification code for Software Intern", "It is 4711."),
-    ("hr@globex.com", "Profile", "Please complete the form within the next 4 days. Your application waits."),
-    ("hr@globex.com", "Profile", "We respond within 5 business days."),
-    ("hr@globex.com", "Thanks", "Thank you for applying to Globex."),
-    ("hr@globex.com", "Thanks", "Your application for the post of a junior painter has been received."),
-    ("hr@globex.com", "Welcome to Globex Careers", "Your account is open."),
-    ("events@club.example", "RSVP: open day", "See you there."),
-    ("news@board.example", "For you", "We found jobs near you: top picks for you."),
-    ("x@msg.greenhouse.io", "Hello", "A note."),
-    ("sam@people.example", "Hello", "I work at Acme and saw your site."),
-    ("noreply@acme.com", "Hello", "A candidate portal is open."),
-    ("noreply@shop.example", "Sale", "Everything must go."),
-    (None, None, None),
-)
-_KNOWN = "(acme|globex)"
-
-
-def _fold_sql(*cols: str) -> str:
-    return _FOLDED.replace("lower(text)", f"lower(concat_ws(chr(10), {', '.join(cols)}))")
-
-
-_LIT = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
-
-
-@query(f"""WITH raw AS (SELECT * FROM (VALUES {', '.join(f"({i}, 0, {_LIT(a)}, {_LIT(b)}, {_LIT(c)})" for i, (a, b, c) in enumerate(_MAIL))}) AS v(id, turn, sender, subject, body)
- UNION ALL SELECT conv_id + 1000, turn, CASE role WHEN 'user' THEN 'a@people.example' END, NULL, text FROM conversations),
-f AS (SELECT id, turn, {_fold_sql('subject', 'body')} AS text, {_fold_sql('subject')} AS headline, lower(coalesce(sender, '')) AS sender FROM raw),
-m AS (SELECT *, regexp_matches(headline, '{_KNOWN}') OR regexp_matches(sender, '{_KNOWN}') AS named_in_head, regexp_matches(headline, '{_KNOWN}') OR regexp_matches(sender, '{_KNOWN}') OR regexp_matches(text, '{_KNOWN}') AS named FROM f),
-r AS (SELECT id, turn, CASE {' '.join(f"WHEN {_test_sql(r.test)} THEN {i}" for i, r in enumerate(C.RULES))} ELSE -1 END AS rule FROM m)
-SELECT id, turn, CAST(rule AS INTEGER) AS rule, CASE rule {' '.join(f"WHEN {i} THEN '{r.category}'" for i, r in enumerate(C.RULES))} ELSE 'disregarded' END AS category,
-CAST(CASE rule {' '.join(f"WHEN {i} THEN {r.confidence}" for i, r in enumerate(C.RULES))} ELSE 0.6 END AS DOUBLE) AS confidence FROM r""")
-def cl1_classify(spark, sf):
-    """Mail of which each rule decides some, and all messages of the test tables."""
-    rows = spark.createDataFrame([(i, 0, *m) for i, m in enumerate(_MAIL)], "id long, turn int, sender string, subject string, body string")
-    talk = A.messages(spark, sf).select((F.col("conv_id") + 1000).alias("id"), F.col("turn"), F.when(F.col("role") == "user", "a@people.example").alias("sender"), F.lit(None).cast("string").alias("subject"), F.col("text").alias("body"))
-    rows = rows.unionByName(talk)
-    c = C.classify(C.mail(F.col("sender"), F.col("subject"), F.col("body"), known=_KNOWN))
-    return rows.select("id", "turn", c.alias("c")).select("id", "turn", "c.rule", "c.category", "c.confidence")
-
-
 _GRADED = "g AS (SELECT CASE WHEN toxic = 1 THEN 'disregarded' WHEN quality = 1 THEN 'offer' ELSE 'outreach' END AS truth, CASE WHEN length(text) > 1500 THEN 'offer' WHEN length(text) > 700 THEN 'outreach' ELSE 'disregarded' END AS predicted FROM labels JOIN documents USING (doc_id))"
 
 
@@ -311,53 +232,3 @@ def so3_keyset_page(spark, sf):
 @query("SELECT doc_id, sha256(CAST(doc_id AS VARCHAR)) AS place FROM documents ORDER BY 2 LIMIT 40")
 def so7_hash_shuffle(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("place")).orderBy("place").limit(40)
-
-
-_LABELS = (
-    "First Name *", "firstName", "Email (required)", "Name", "Company name", "Emergency contact phone", "Driver's License", "passportNumber", "What is your major?", "Describe a major challenge",
-    "How did you hear about us? LinkedIn, Indeed", "LinkedIn Profile URL", "Phone number", "Mobile", "Mobile development experience", "Expected graduation date", "Graduation year and month", "Gender", "City and state",
-    "School or university", "GPA", "", "Last employer", "Will you require sponsorship now?", "Preferred first name", "cc-number", "Github username", "Degree", "Your manager's email", None, "Date of birth", "What is your email or phone number?", "Is visa sponsorship or work status needed?",
-)
-
-
-def _label_sql() -> str:
-    from quillon.functions import forms as O
-
-    text = lambda x: "'" + x.replace("'", "''") + "'"
-    refuses = lambda p: f"(regexp_matches(label, {text(O.any_pattern(p))}) OR regexp_matches(apart, {text(O.any_pattern(p))}))"
-    equal = " ".join(f"WHEN label IN ({', '.join(map(text, v))}) THEN '{k}'" for k, v in [*O.SYNONYMS.items(), *O.EXACT_ONLY.items()])
-    held = " UNION ALL ".join(f"SELECT '{k}' AS key, '{p}' AS phrase" for k, v in O.SYNONYMS.items() for p in v)
-    return f"""WITH raw AS (SELECT * FROM (VALUES {', '.join(f"({i}, {_LIT(x)})" for i, x in enumerate(_LABELS))}) AS v(id, raw)),
-n AS (SELECT id, raw, {_label_key_sql('raw')} AS label, {_label_key_sql("regexp_replace(raw, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')")} AS apart FROM raw),
-p AS ({held}), h AS (SELECT id, key, max(length(phrase)) AS n FROM n JOIN p ON regexp_matches(label, '(^| )' || phrase || CASE WHEN phrase = 'major' THEN '$' ELSE '( |$)' END) GROUP BY 1, 2),
-b AS (SELECT id, arg_max(key, n) AS key, max(c) AS c FROM (SELECT *, max(n) OVER (PARTITION BY id) AS m, count(*) OVER (PARTITION BY id) AS c FROM h) WHERE n = m GROUP BY 1 HAVING count(*) = 1)
-SELECT n.id, CASE WHEN label = '' THEN 'skip' WHEN {refuses(O.BLOCKED)} OR {refuses(O.DEMOGRAPHIC)} THEN 'blocked' WHEN {refuses(O.THIRD_PARTY)} THEN 'skip' WHEN regexp_matches(label, {text(O.ESSAY)}) OR regexp_matches(label, {text(O.SOURCING)}) THEN 'skip' {equal} WHEN c > 1 AND (contains(raw, '?') OR regexp_matches(label, {text(O.QUESTION)})) AND key NOT IN ('work_authorization', 'needs_sponsorship') THEN 'skip' ELSE coalesce(key, 'skip') END AS field FROM n LEFT JOIN b USING (id)"""
-
-
-def _label_key_sql(c: str) -> str:
-    return rf"trim(regexp_replace(regexp_replace(replace(lower({c}), '*', ' '), '\(required\)|\(optional\)', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
-
-
-@query(_label_sql())
-def tx20_form_labels(spark, sf):
-    from quillon.functions.forms import field_of
-
-    rows = spark.createDataFrame(list(enumerate(_LABELS)), "id int, raw string")
-    return rows.select("id", field_of(F.col("raw")).alias("field"))
-
-
-#: sender, subject, and the employer that follows from them.
-_SENDERS = (
-    ("Acme Careers <no-reply@acme.com>", "Hello", "acme"), ("Sam Doe <sam@acme.com>", "Hello", "acme"), ("\"Globex University Recruiting\" <jobs@mail.globex.co>", None, "globex"),
-    ("International Business Machines <hr@ibm.com>", "x", "international business machines"), ("Initech Hiring Team <noreply@greenhouse.io>", "x", "initech"),
-    ("no-reply@greenhouse.io", "Your application to Umbrella Corp - Intern", "umbrella corp"), ("x@gmail.com", "Application sent to Hooli, thanks", "hooli"), ("someone@gmail.com", "Hello", None),
-    ("noreply@myworkday.com", "Hello", None), ("stark@myworkday.com", "Hello", "stark"), ("wayne.enterprises@lever.co", "", "wayne enterprises"), (None, None, None), ("HR <hr@xy.z>", "Hi", None),
-)
-
-
-@query(f"SELECT * FROM (VALUES {', '.join(f'({i}, {_LIT(e)})' for i, (_, _, e) in enumerate(_SENDERS))}) AS v(id, employer)")
-def tx18_employer(spark, sf):
-    from quillon.functions.senders import employer
-
-    rows = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(_SENDERS)], "id int, sender string, subject string")
-    return rows.select("id", employer(F.col("sender"), F.col("subject"), C.ATS_DOMAINS, C.any_of(C.MACHINE_SENDER)).alias("employer"))
