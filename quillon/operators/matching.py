@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from itertools import combinations
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,19 +52,73 @@ def mentions(texts: DataFrame, text_id: str, text: str, names: DataFrame, name:
     return hits.groupBy(text_id).agg(F.max_by("name", F.struct(F.length("name"), "name")).alias("name"))
 
 
+#: Keys of a string for one partner length at most, about, letters in a key at most, and letters whose order of frequency counts.
+KEYS, IN_KEY, LETTERS = 64, 4, 4096
+_SLACK = 1e-9
+
+
+def _shared_at_least(length: int, least: float) -> int:
+    """Letters that a string of this length has in common with any that is similar enough: an edit spoils one, a swap none."""
+    return max(1, math.ceil(least * length - _SLACK))
+
+
+def _in_key(length: int, least: float) -> int:
+    """How many letters make a key for strings of this length, so that their number stays near KEYS."""
+    shared = _shared_at_least(length, least)
+    return max([n for n in range(1, min(IN_KEY, shared) + 1) if math.comb(length - shared + n, n) <= KEYS], default=1)
+
+
+def _letter_keys(rank: dict[str, int], least: float, probe: bool):
+    """Keys of strings: sets of their rarest letters, one of which two similar strings share.
+
+    Of two strings that share s letters (repeated ones numbered), the first length - s + n in any one order have n in
+    common. So the n-letter subsets of these are keys. An indexed string has keys of its own length; a probe has keys
+    for each length that a similar string can have.
+    """
+
+    def keys(text: str) -> set[str]:
+        seen: dict[str, int] = {}
+        letters = []
+        for c in text:
+            seen[c] = seen.get(c, 0) + 1
+            letters.append((rank.get(c, -1), c, seen[c]))
+        letters = [f"{c}{n}" for _, c, n in sorted(letters)]
+        n = len(letters)
+        lengths = range(_shared_at_least(n, least), int((n + _SLACK) / least) + 1) if probe else [n]
+        out = set()
+        for other in lengths:
+            shared, size = _shared_at_least(max(n, other), least), _in_key(other, least)
+            out.update(f"{other} {''.join(x)}" for x in combinations(letters[: n - shared + size], size))
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                found = [(t, k) for t in batch.iloc[at : at + 256, 0] for k in keys(t)]
+                yield pd.DataFrame(found, columns=["t", "key"])
+
+    return run
+
+
 def fuzzy_companies(rows: DataFrame, row_key: str, known: DataFrame, known_key: str, least: float = 0.9) -> DataFrame:
-    """(row_key, known_key, score): equal keys score 1, others by edit similarity.
+    """(row_key, known_key, score) of all pairs with an edit similarity of ``least`` (above 0) or more; equal keys score 1.
 
-    Strings under ten letters must be equal; of longer ones an edit spoils five runs of four
-    letters at most, so a shared run is certain: rows meet on these.
+    Strings meet under keys of rare letters, which follow from ``least`` and miss no pair; what meets is tested
+    by length and by a plain edit distance first, then by the similarity itself.
     """
-    a = rows.select(F.col(row_key).alias("_a")).filter("_a IS NOT NULL AND _a <> ''").distinct()
-    b = known.select(F.col(known_key).alias("_b")).filter("_b IS NOT NULL AND _b <> ''").distinct()
-    grams = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1)), lambda i: F.substring(c, i, F.lit(n)))
-    left = a.withColumn("_g", F.explode(F.array_distinct(grams(F.col("_a"), 4))))
-    right = b.withColumn("_g", F.explode(F.array_distinct(grams(F.col("_b"), 4))))
-    pairs = left.join(right, "_g").filter(F.abs(F.length("_a") - F.length("_b")) <= (1 - least) * F.greatest(F.length("_a"), F.length("_b"))).select("_a", "_b").distinct()
-    scored = pairs.withColumn("score", F.when(F.col("_a") == F.col("_b"), F.lit(1.0)).otherwise(similarity(F.col("_a"), F.col("_b"))))
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0 and at most 1")
+    a = rows.select(F.col(row_key).alias("t")).filter("t IS NOT NULL AND t <> ''").distinct()
+    b = known.select(F.col(known_key).alias("t")).filter("t IS NOT NULL AND t <> ''").distinct()
+    letters = b.select(F.explode(F.split("t", "")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "c").limit(LETTERS)
+    rank = {r.c: i for i, r in enumerate(reversed(letters.collect()))}  # rare letters first, unknown ones before all
+    left = a.mapInPandas(_letter_keys(rank, least, True), "t string, key string").withColumnRenamed("t", "_a")
+    right = b.mapInPandas(_letter_keys(rank, least, False), "t string, key string").withColumnRenamed("t", "_b")
+    pairs = left.join(right, "key").select("_a", "_b").distinct()
+    longer = F.greatest(F.length("_a"), F.length("_b"))
+    edits = F.floor((1 - least) * longer + _SLACK).cast("int")  # a swap is two edits where swaps are not known
+    close = pairs.filter((longer - F.least(F.length("_a"), F.length("_b")) <= edits) & (F.levenshtein("_a", "_b") <= 2 * edits))
+    scored = close.withColumn("score", F.when(F.col("_a") == F.col("_b"), F.lit(1.0)).otherwise(similarity(F.col("_a"), F.col("_b"))))
     return scored.filter(F.col("score") >= least).toDF(row_key, known_key, "score")
 
 
