@@ -8,21 +8,19 @@ for every row the sum of what was seen plus, for each dimension not seen yet, th
 next segment; rows whose bound is under the k-th best exact score so far cannot be members.
 It stops only when few rows are left, and rescores all of these exactly in integers.
 
-Queries go to the tasks in blocks of about ``QUERY_BYTES``, each a broadcast of bounded
-size; every block is searched against the whole index, and the best k rows of each task meet
-in a window by query.
+Queries are cut into blocks too; one join brings every block of queries to every block of the index
+(``quillon.llm.blocks``), and the best k rows of each meet in a window by query.
 
 Defined results: vectors that are null or hold a null, NaN or infinite component take no part;
-vectors of unequal length count as padded with zeros; equal scores go to the smaller vec_id; a
-repeated vec_id is never its own neighbour and is one query; an empty table gives an empty
-result. A component beyond 64 bits counts as the nearest 64-bit number; scores beyond 64 bits rank by
+vectors of unequal length count as padded with zeros; equal scores go to the smaller vec_id; rows that
+repeat a vec_id are queries and candidates each by itself, so that only the query's own row is left out; an empty table
+gives an empty result. A component beyond 64 bits counts as the nearest 64-bit number; scores beyond 64 bits rank by
 their true value and are returned as the nearest 64-bit number.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -30,47 +28,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.llm import blocks
 from quillon.llm.kernels import trimmed
 from quillon.session import materialize
 
 SCALE = 1024
-#: Components in a block, quantised impacts of a dimension, bytes of queries in a broadcast.
-BLOCK, LEVELS, QUERY_BYTES = 1 << 19, 32, 16 << 20
+#: Components in a block of the index and in a block of queries, quantised impacts of a dimension.
+BLOCK, QUERY_BLOCK, LEVELS = 1 << 19, 1 << 18, 32
 #: Shares of the postings after which the bounds are looked at.
 ROUNDS = (0.2, 0.3, 0.4, 0.5, 0.65, 0.8, 1.0)
 
-INDEX = "ids binary, codes binary, dims int, rows int, postings binary, segments binary"
+INDEX = f"{blocks.BLOCK}, _row binary, vec_id binary, postings binary, segments binary"
+FOUND = "query_row long, query_id long, vec_id long, _row long, high decimal(38,0), low long"
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id, code array<long>; rows that take no part are left out."""
-    x = F.col(vector_col)
-    finite = F.forall(x, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")), F.lit(False)))
-    code = F.transform(x, lambda v: F.floor(F.lit(float(SCALE)) * v.cast("double")).cast("long"))
-    return vectors.filter(x.isNotNull() & finite & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), code.alias("code"))
-
-
-def _matrix(column: pa.Array, dims: int | None = None) -> np.ndarray:
-    """Rows of a list<long> column, padded with zeros (or cut) to ``dims``."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    size = column.value_lengths().to_numpy()
-    dims = int(size.max(initial=0)) if dims is None else dims
-    row = np.repeat(np.arange(len(size)), size)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-    out = np.zeros((len(size), dims), np.int64)
-    inside = place < dims
-    out[row[inside], place[inside]] = column.flatten().to_numpy()[inside]
-    return out
-
-
-def _build(ids: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
-    """One block of the index. Segments: rows of (dimension, least, greatest value, first posting, end)."""
+    """_row, vec_id, code array<long>; rows that take no part are left out."""
+    takes_part, code = blocks.quantised(F.col(vector_col), SCALE)
+    rows = vectors.filter(takes_part & F.col(id_col).isNotNull())
+    return rows.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("long").alias("vec_id"), code.alias("code"))
+
+
+def _impacts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(postings by dimension, segments) of a block. Segments: rows of (dimension, least, greatest value, first posting, end)."""
     rows, dims = codes.shape
     postings, segments = np.empty((dims, rows), np.int32), []
     for d in range(dims):
         order = np.argsort(codes[:, d], kind="stable")
-        value = codes[order, d]
+        value = codes[order, d].astype(np.int64)
         step = max(1, -(-(int(value[-1]) - int(value[0]) + 1) // LEVELS)) if rows else 1
         # Differences as unsigned words: they fit, whatever the values are.
         level = (value.view(np.uint64) - value[:1].view(np.uint64)) // np.uint64(step)
@@ -78,53 +63,38 @@ def _build(ids: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
         end = np.append(begin[1:], rows)
         postings[d] = order
         segments.append(np.stack((np.full(len(begin), d), value[begin], value[end - 1], begin + d * rows, end + d * rows), axis=1))
-    flat = np.concatenate(segments).astype(np.int64) if segments else np.zeros((0, 5), np.int64)
-    one = lambda x, t: pa.array([x], t)
-    return pa.RecordBatch.from_arrays(
-        [one(ids.tobytes(), pa.binary()), one(codes.tobytes(), pa.binary()), one(dims, pa.int32()), one(rows, pa.int32()), one(postings.tobytes(), pa.binary()), one(flat.tobytes(), pa.binary())],
-        names=["ids", "codes", "dims", "rows", "postings", "segments"],
-    )
+    return postings, np.concatenate(segments).astype(np.int64) if segments else np.zeros((0, 5), np.int64)
 
 
-def build_index(codes: DataFrame) -> DataFrame:
-    """A row per block of vectors, written to the shared folder."""
-    found = codes.agg(F.count(F.lit(1)), F.max(F.size("code"))).first()
-    per_block = max(1, BLOCK // max(1, found[1] or 1))
+def build_index(codes: DataFrame) -> tuple[DataFrame, int]:
+    """(a row per block of vectors, their number), written to the shared folder."""
+    widest = codes.agg(F.max(F.size("code"))).first()[0]
+    plain, n = blocks.cut(codes, {"vec_id": "long"}, max(1, BLOCK // max(1, widest or 1)), "topk-blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
         for batch in batches:
-            while batch.num_rows:
-                part = batch.slice(0, per_block - n)
-                held.append(part)
-                n += part.num_rows
-                batch = batch.slice(part.num_rows)
-                if n == per_block:
-                    yield _block(held)
-                    held, n = [], 0
-        if held:
-            yield _block(held)
-
-    def _block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(held)
-        return _build(table.column(0).to_numpy(), _matrix(table.column(1)))
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                of = {c: row.column(c)[0].as_py() for c in ("rows", "dims", "width", "codes")}
+                postings, segments = _impacts(np.frombuffer(of["codes"], np.dtype(f"i{of['width']}")).reshape(of["rows"], of["dims"]))
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([postings.tobytes()], pa.binary()), pa.array([segments.tobytes()], pa.binary())], names=[*row.schema.names, "postings", "segments"])
 
-    spread = codes.repartition(max(1, -(-found[0] // per_block)), F.xxhash64("vec_id", "code"))
-    return materialize(spread.mapInArrow(trimmed(run), INDEX), "topk-index")
+    return materialize(plain.mapInArrow(trimmed(run), INDEX), "topk-index"), n
 
 
 class Block:
     """One block of the index in a task."""
 
     def __init__(self, row: dict):
-        self.ids = np.frombuffer(row["ids"], np.int64)
-        self.codes = np.frombuffer(row["codes"], np.int64).reshape(row["rows"], row["dims"])
-        self.postings = np.frombuffer(row["postings"], np.int32).astype(np.int64)
-        self.dim, self.low, self.high, self.begin, self.end = np.frombuffer(row["segments"], np.int64).reshape(-1, 5).T
-        own = np.arange(row["dims"]).repeat(row["rows"])
+        held = blocks.Block(row, "d", ["vec_id"])
+        self.ids, self.numbers, self.codes = held.vec_id, held._row, held.codes.astype(np.int64)
+        rows, dims = self.codes.shape
+        self.postings = np.frombuffer(row["d_postings"], np.int32).astype(np.int64)
+        self.dim, self.low, self.high, self.begin, self.end = np.frombuffer(row["d_segments"], np.int64).reshape(-1, 5).T
+        own = np.arange(dims).repeat(rows)
         self.values = self.codes[self.postings, own].astype(np.float64)
-        self.first = np.searchsorted(self.dim, np.arange(row["dims"] + 1))
-        self.least_few, self.enough = max(64, row["rows"] // 20), ROUNDS[0]
+        self.first = np.searchsorted(self.dim, np.arange(dims + 1))
+        self.least_few, self.enough = max(64, rows // 20), ROUNDS[0]
         self.largest = float(np.abs(self.codes.astype(np.float64)).max(initial=0))
 
     def exact(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -133,7 +103,7 @@ class Block:
             return self.codes[rows] @ q
         return self.codes[rows].astype(object) @ q.astype(object)
 
-    def members(self, query: np.ndarray, query_id: int, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
+    def members(self, query: np.ndarray, query_row: int, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(rows, exact scores) among which are all of the block's rows in the query's top k.
 
         ``floor``: a score that k other rows are known to reach.
@@ -146,7 +116,7 @@ class Block:
         order = np.argsort(-bound, kind="stable")
         size = np.cumsum((self.end - self.begin)[order])
         slack = 1e-9 * (np.abs(bound).sum() + 1)
-        other = self.ids != query_id
+        other = self.numbers != query_row
         used = np.flatnonzero(q).tolist()
         for share in [x for x in ROUNDS if x >= self.enough]:
             stop = int(np.searchsorted(size, share * size[-1])) + 1 if len(size) else 0
@@ -172,45 +142,42 @@ class Block:
         return few, self.exact(few, q)
 
 
-def _search(queries, k: int):
+def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, query_codes = queries.value
-        best: list[list[tuple[int, int]]] = [[] for _ in query_ids]  # (-score, vec_id) of the task's blocks so far
+        at, queries, best = None, None, []  # best of each query: (-score, vec_id, row) of the task's blocks so far
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if row["q_block"] != at:
+                    if queries is not None:
+                        yield _found(queries, best)
+                    at, queries = row["q_block"], blocks.Block(row, "q", ["vec_id"])
+                    codes, best = queries.codes.astype(np.int64), [[] for _ in queries._row]
                 block = Block(row)
-                if not len(block.ids):
-                    continue
-                for i, query_id in enumerate(query_ids.tolist()):
-                    own = best[i]
-                    rows, scores = block.members(query_codes[i], query_id, k, -own[k - 1][0] if len(own) >= k else None)
-                    best[i] = sorted(own + list(zip((-scores).tolist(), block.ids[rows].tolist(), strict=True)))[:k]
-        flat = [(int(q), v, -s) for q, own in zip(query_ids, best, strict=True) for s, v in own]
-        columns = [pa.array([x[i] for x in flat], pa.int64()) for i in range(2)]
-        # A true score can need more than 64 bits; its rank is of its high part, then its low one.
-        columns += [pa.array([Decimal(x[2] >> 62) for x in flat], pa.decimal128(38, 0)), pa.array([x[2] & (1 << 62) - 1 for x in flat], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "high", "low"])
+                for n, number in enumerate(queries._row.tolist()):
+                    own = best[n]
+                    rows, scores = block.members(codes[n], number, k, -own[k - 1][0] if len(own) >= k else None)
+                    best[n] = sorted(own + list(zip((-scores).tolist(), block.ids[rows].tolist(), block.numbers[rows].tolist(), strict=True)))[:k]
+        if queries is not None:
+            yield _found(queries, best)
 
     return run
 
 
-def search(queries: DataFrame, index: DataFrame, k: int = 10) -> DataFrame:
-    """``queries`` (vec_id, code) against a whole index: query_id, rank, vec_id, score."""
-    spark = queries.sparkSession
-    queries = materialize(queries.dropDuplicates(["vec_id"]), "topk-queries")
-    found = queries.agg(F.count(F.lit(1)), F.max(F.size("code"))).first()
-    blocks = max(1, -(-found[0] * 8 * max(1, found[1] or 1) // QUERY_BYTES))
-    ranked = None
-    for b in range(blocks):
-        part = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow().sort_by("vec_id")
-        shared = spark.sparkContext.broadcast((part.column(0).to_numpy(), _matrix(part.column(1))))
-        own = materialize(index.repartition(max(1, index.rdd.getNumPartitions())).mapInArrow(trimmed(_search(shared, k)), "query_id long, vec_id long, high decimal(38,0), low long"), "topk-found")
-        shared.unpersist()
-        ranked = own if ranked is None else ranked.union(own)
-    order = W.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), "vec_id")
-    score = F.when(F.col("high") > 1, F.lit((1 << 63) - 1)).when(F.col("high") < -2, F.lit(-(1 << 63))).otherwise(F.col("high").cast("long") * (1 << 62) + F.col("low"))
-    ranked = ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", score.alias("score"))
+def _found(queries: blocks.Block, best: list[list[tuple]]) -> pa.RecordBatch:
+    flat = [(q, i, v, r, -s) for q, i, own in zip(queries._row.tolist(), queries.vec_id.tolist(), best, strict=True) for s, v, r in own]
+    columns = [pa.array([x[n] for x in flat], pa.int64()) for n in range(4)]
+    return pa.RecordBatch.from_arrays([*columns, *blocks.scores([x[4] for x in flat])], names=["query_row", "query_id", "vec_id", "_row", "high", "low"])
+
+
+def search(queries: DataFrame, index: tuple[DataFrame, int], k: int = 10) -> DataFrame:
+    """``queries`` (_row, vec_id, code) against a whole index: query_id, rank, vec_id, score, for each query row."""
+    widest = queries.agg(F.max(F.size("code"))).first()[0]
+    asked = blocks.cut(queries, {"vec_id": "long"}, max(1, QUERY_BLOCK // max(1, widest or 1)), "topk-queries")
+    found = materialize(blocks.pairs(asked, index).mapInArrow(trimmed(_search(k)), FOUND), "topk-found")
+    order = W.partitionBy("query_row").orderBy(F.desc("high"), F.desc("low"), "vec_id", "_row")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", blocks.score().alias("score"))
 
 
 def nearest(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
@@ -221,16 +188,16 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
 
 SQL = """
 WITH codes AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS code FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS code FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), components AS (
-  SELECT vec_id, generate_subscripts(code, 1) AS d, unnest(code) AS x FROM codes
+  SELECT r, vec_id, generate_subscripts(code, 1) AS d, unnest(code) AS x FROM codes
 ), scores AS (
-  SELECT q.vec_id AS query_id, v.vec_id AS vec_id, CAST(sum(q.x * v.x) AS BIGINT) AS score
-  FROM components q JOIN components v ON q.d = v.d AND q.vec_id <> v.vec_id
-  WHERE q.vec_id % 100 = 0 GROUP BY q.vec_id, v.vec_id
+  SELECT q.r AS query_row, v.r AS r, any_value(q.vec_id) AS query_id, any_value(v.vec_id) AS vec_id, CAST(sum(q.x * v.x) AS BIGINT) AS score
+  FROM components q JOIN components v ON q.d = v.d AND q.r <> v.r
+  WHERE q.vec_id % 100 = 0 GROUP BY q.r, v.r
 )
 SELECT query_id, CAST(row_number() OVER g AS INTEGER) AS rank, vec_id, score FROM scores
-WINDOW g AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+WINDOW g AS (PARTITION BY query_row ORDER BY score DESC, vec_id, r)
 QUALIFY row_number() OVER g <= 10
 """
