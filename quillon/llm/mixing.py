@@ -15,7 +15,8 @@ with a third of all rows never meets in one task.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in
 the order of weights; size 0 documents take nothing; an empty table gives an empty
-result; null and repeated doc_ids count as separate rows.
+result; null and repeated doc_ids count as separate rows, dealt by their texts. Rows equal in doc_id, text and
+source take turns in the order in which they are read; as a group they get the same whatever that order.
 """
 
 from __future__ import annotations
@@ -37,9 +38,12 @@ _GRID = 1024
 
 
 def sized(rows: DataFrame) -> DataFrame:
-    """doc_id, source, size, a place in the shuffled order and the row's number, of doc_id, text, source, _row."""
+    """doc_id, source, size, a place in the shuffled order, the text's hash and the row's number, of doc_id, text, source, _row.
+
+    The order depends on a row's id and text alone, so that the same rows read in another order are dealt alike.
+    """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
-    return rows.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", F.lit("shuffle")).alias("_order"), "_row")
+    return rows.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", "text", F.lit("shuffle")).alias("_order"), F.xxhash64("text").alias("_text"), "_row")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:
@@ -134,7 +138,7 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int =
     of = counted.withColumn("_slots", F.coalesce("_slots", F.lit(1))).withColumns({"_least": F.expr("_take div _slots"), "_more": F.expr("_take % _slots")})
     placed = sizes.filter("size > 0").join(of, F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
     placed = placed.withColumn("_range", F.pmod(F.shiftrightunsigned("_order", 40), F.lit(_RANGES)))
-    placed = _running(placed, ["_sid"], "_range", ["_order", "doc_id", "_row"], F.col("size"), "_start")
+    placed = _running(placed, ["_sid"], "_range", ["_order", "doc_id", "_text", "_row"], F.col("size"), "_start")
     passes = placed.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(max_passes - 1))))
     passes = passes.withColumn("_from", F.col("pass") * F.col("_of") + F.col("_start")).filter("_from < _take")
     passes = passes.withColumn("_to", F.least(F.col("_from") + F.col("size"), F.col("_take")))
