@@ -17,7 +17,8 @@ first because the chain needs an earlier category, and ``toxic`` alone decides.
 
 Defined results: a text without a word (null and empty ones too) has no feature, gets the model's
 base rate and is never called toxic; rows with null doc_id or null labels are not learned from; if a label
-repeats, the larger counts; without labels of both kinds nothing is toxic.
+repeats, the larger counts; of rows that repeat a doc_id the one of least text hash is learned from, and all are
+scored; without labels of both kinds nothing is toxic.
 """
 
 import re
@@ -207,9 +208,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, categories:
     known = known.groupBy("doc_id").agg(*[F.max(f"_y{i}").alias(f"_y{i}") for i in range(len(names))])
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    # One row of each id, so that the sample bounds rows: the text of least hash.
+    labelled = [f"_y{i}" for i in range(len(names))]
+    texts = texts.groupBy("doc_id", *labelled).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
 
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
-    labelled = [F.col(f"_y{i}") for i in range(len(names))]
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, ...]] = {}
