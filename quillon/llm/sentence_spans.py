@@ -8,17 +8,19 @@ mid-sentence too, but for that many words at its edges. In scripts that are writ
 blanks each character is a word.
 
 From each sentence starts the run of the fewest sentences, ``RUN`` at least, that
-has ``LEAST_WORDS`` words, and with each ends the run of the fewest that has them; so runs are set by
-their own text. Any passage of 50 words has a full run: its common ends begin within its first 15 words
-and reach to its last 15, and the 20 words between them hold a run, which has 19 at most. Runs compare by their words, A-Z as a-z. Of equal runs the first, by doc_id and then by place, stays; every sentence
-that any other covers goes.
+has ``LEAST_WORDS`` words or ``MOST`` sentences, and with each ends the run of the fewest that has them; so
+every run of ``MOST`` sentences is looked at, however short they are, and runs are set by their own text. Any passage
+of 50 words has a full run: its common ends begin within its first 15 words and reach to its last 15, and the 20
+words between them hold a run, which has 19 at most. Runs compare by their words, A-Z as a-z. Of equal
+runs the first, by doc_id and then by place, stays; every sentence that any other covers goes.
 
 Runs are counted with map-side sums, so that a frequent run is one row per task; only runs
 that a Bloom filter of the repeated ones passes go through the join.
 
 Defined results: a null text counts as empty; a text without a full run loses nothing;
-repeated rows of one doc_id are the same document and no repeats of each other; an empty
-table gives an empty result.
+rows that repeat doc_id and text are the same document and no repeats of each other; rows that share a
+doc_id, or have none, are documents by their texts (those without an id come last); an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from quillon.llm import bloom
 from quillon.llm.kernels import U, mix64, powers, slices, text_buffers, trimmed, word_hash, words
 from quillon.session import materialize
 
-RUN, LEAST_WORDS, WINDOW = 2, 12, 8
+RUN, LEAST_WORDS, MOST, WINDOW = 2, 12, 3, 8
 _STOPS = np.array(sorted(map(ord, ".!?\u2026\u203c\u2047\u2048\u2049\u3002\uff0e\uff01\uff1f\uff61\u0589\u061f\u06d4\u0964\u0965\u0f0d\u0f0e\u104a\u104b\u1362\u1367\u1368\u17d4\u17d5")))
 _CLOSING = np.array(sorted(map(ord, "\"')]\u00bb\u2019\u201d\u203a\u3009\u300b\u300d\u300f\u3011\u3015\uff09\uff3d\uff63")))
 #: Thai to Tibetan, Myanmar, Khmer, Tai Le to Khmer symbols, Tai Tham, kana and bopomofo, Han. Beyond the BMP: planes 2 and 3.
@@ -134,9 +136,9 @@ def runs(data: np.ndarray, offsets: np.ndarray, run: int = RUN, least_words: int
         return (*(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, bool))
     upto = np.append(first, len(starts))
     place = np.arange(n)
-    end = np.maximum(np.searchsorted(upto, first + least_words), place + run)
+    end = np.maximum(np.minimum(np.searchsorted(upto, first + least_words), place + max(run, MOST)), place + run)
     full = np.flatnonzero(end <= np.searchsorted(doc, doc, side="right"))
-    back = np.minimum(np.searchsorted(upto, upto[1:] - least_words, side="right") - 1, place + 1 - run)
+    back = np.minimum(np.maximum(np.searchsorted(upto, upto[1:] - least_words, side="right") - 1, place + 1 - max(run, MOST)), place + 1 - run)
     whole = np.flatnonzero(back >= np.searchsorted(doc, doc))
     whole = whole[end[back[whole]] != whole + 1]  # that run is there
     full, end = np.concatenate((full, back[whole])), np.concatenate((end[full], whole + 1))
@@ -171,10 +173,12 @@ def repeated_sentences(docs: DataFrame, run: int = RUN, least_words: int = LEAST
     """Per (doc_id, t = xxhash64 of the text) with any: spans array<struct<s:int,e:int>> of sentence numbers to remove."""
     texts = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
     found = materialize(texts.mapInArrow(trimmed(_emit(run, least_words)), "doc_id long, t long, key long, a int, b int, again boolean"), "spans-runs")
-    first = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).filter("n > 1")
-    first = materialize(first.select("key", "first_doc"), "spans-repeated")
+    # The first by doc_id, null last, then by text: rows that share an id, or have none, are documents by their texts.
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t")
+    first = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("f")).filter("n > 1")
+    first = materialize(first.select("key", F.col("f.doc_id").alias("first_doc"), F.col("f.t").alias("first_t")), "spans-repeated")
     some = bloom.only_known(found, "key", first, first.count())
-    later = some.join(first, "key").filter("again OR NOT (doc_id <=> first_doc)")
+    later = some.join(first, "key").filter("again OR NOT (doc_id <=> first_doc AND t = first_t)")
     return later.groupBy("doc_id", "t").agg(F.collect_set(F.struct(F.col("a").alias("s"), F.col("b").alias("e"))).alias("spans"))
 
 

@@ -79,15 +79,16 @@ def test_top_k(spark, monkeypatch):
     vectors[::3] = vectors[0]  # a third of the rows are one vector
     rows = [(i, v.astype(float).tolist(), 1) for i, v in enumerate(vectors)]
     rows += [(500, None, 1), (600, [1.0, None] * 4, 1), (601, [float("nan")] * 8, 1), (700, [float("inf")] * 8, 1), (800, [], 1), (900, [0.5] * 3, 1)]
+    rows += [(100, rows[7][1], 1), (100, rows[7][1], 1), (None, [1.0] * 8, 1)]  # a repeated id: each row is a query and a candidate
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
-    got = collections.defaultdict(list)
-    for q, rank, v, s in topk.nearest(frame, 10).collect():
-        got[q].append((rank, v, s))
-    codes = {i: np.floor(1024 * np.array((list(v) + [0.0] * 8)[:8])).astype(int) for i, v, _ in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    assert set(got) == {i for i in codes if i % 100 == 0}
-    for q, found in got.items():
-        want = sorted((-int(codes[q] @ c), i) for i, c in codes.items() if i != q)[:10]
-        assert sorted(found) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
+    got = collections.Counter(tuple(x) for x in topk.nearest(frame, 10).collect())
+    codes = [(i, np.floor(1024 * np.array((list(v) + [0.0] * 8)[:8])).astype(int)) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = collections.Counter()
+    for n, (q, code) in enumerate(codes):
+        if q % 100 == 0:
+            best = sorted((-int(code @ c), i) for m, (i, c) in enumerate(codes) if m != n)[:10]
+            want.update((q, rank + 1, i, -s) for rank, (s, i) in enumerate(best))
+    assert got == want
 
 
 def test_exact_dedup(spark, texts):
@@ -148,6 +149,37 @@ def test_mixing_gives_a_tiny_source_its_target(spark, monkeypatch):
     assert all(x.words > 0 and 0 <= x["pass"] < 3 for x in slots.collect())
 
 
+def plain_mix(rows, targets, order):
+    """Words taken of each row: a source's rows in their order, pass after pass, up to its target."""
+    taken = collections.Counter()
+    for source, target in targets.items():
+        left = round(target)
+        own = sorted((i for i, r in enumerate(rows) if r[2] == source and r[3]), key=lambda i: order[i])
+        for _ in range(3):
+            for i in own:
+                words = min(left, rows[i][3])
+                taken[i] += words
+                left -= words
+    return taken
+
+
+def test_mixing_takes_what_a_plain_stream_takes_and_reruns_agree(spark):
+    r = random.Random(4)
+    rows = [(r.choice([None, None, i, 7]), " ".join(f"w{r.randrange(9)}" for _ in range(r.randint(0, 30))), r.choice(["a", "b", "c", None])) for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    key = lambda x: (x.doc_id, x.source, x.size, x.taken)
+    one = mixing.mix(frame).collect()
+    for other in (frame.repartition(7), frame.orderBy("text").coalesce(1), spark.createDataFrame(rows[::-1], frame.schema)):
+        assert collections.Counter(map(key, mixing.mix(other).collect())) == collections.Counter(map(key, one))
+    sized = [(i, t, s, len(t.split())) for i, t, s in rows]
+    target = {x.source: x.target for x in one}
+    hashes = spark.createDataFrame([(n, i, t) for n, (i, t, _, _) in enumerate(sized)], "n int, doc_id long, text string")
+    order = {x.n: (x.o >> 40 & 255, x.o, x.doc_id is not None, x.doc_id or 0, x.t) for x in hashes.selectExpr("n", "doc_id", "xxhash64(doc_id, text, 'shuffle') o", "xxhash64(text) t").collect()}
+    taken = plain_mix(sized, target, order)
+    want = collections.Counter((i, s, n, taken[m]) for m, (i, _, s, n) in enumerate(sized))
+    assert collections.Counter(map(key, one)) == want and any(r.taken > r.size for r in one)
+
+
 def test_language_id(spark):
     r = random.Random(4)
     words = {"en": ["the", "house", "with", "shing"], "fr": ["les", "maison", "avec", "eaux"], "es": ["del", "casa", "ciones", "muy"]}
@@ -222,6 +254,16 @@ def test_toxicity(spark):
     assert left == {i for i in rows if not rows[i].toxic}
 
 
+def test_toxicity_sample_bounds_rows(spark, monkeypatch):
+    rows = [(i % 10, f"alpha beta gamma {i}") for i in range(400)] + [(3, None)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2, i % 3 == 0) for i in range(10)], "doc_id long, quality int, toxic boolean")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_chain", lambda rows, y, names, fold: seen.append(len(y)) or toxicity.Chain(names, [], 1.0))
+    toxicity.train(docs, labels, sample=4, categories={"low_quality": "1 - quality", "toxic": "cast(toxic as int)"})
+    toxicity.train(docs, labels, categories={"low_quality": "1 - quality", "toxic": "cast(toxic as int)"})
+    assert seen == [4, 10]
+
+
 def test_sentence_spans(spark):
     shared = "Here is one whole sentence of some length. And there follows another one right after it! Does a third come too?"
     texts = [None, "", "Only one.", f"Alpha beta. {shared} Omega.", f"{shared} Gamma delta.", f"{shared} {shared}", "No stops here at all\nnor here"]
@@ -230,6 +272,18 @@ def test_sentence_spans(spark):
     assert got[4].kept_text == "Gamma delta." and got[5].kept_text == "" and got[3].kept_text == texts[3] and got[6].n_sentences == 2
 
 
+def test_sentence_spans_without_ids_and_of_short_sentences(spark):
+    r = random.Random(3)
+    say = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    passage = say(25)
+    rows = [(i, f"{say(9)} {passage} {say(9)}") for i in (None, None, None, 5, 5)]
+    rows += [(9, "Yes. No. Maybe so. " + say(5)), (10, say(5) + ". Yes. No. Maybe so."), (11, "Yes. No. " + say(7))]
+    got = sentence_spans.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(g.n_removed > 0 for g in got if g.doc_id is None) == [True] * 3
+    assert sorted(g.n_removed > 0 for g in got if g.doc_id == 5) == [False, True]
+    assert {g.doc_id: g.n_removed for g in got if g.doc_id and g.doc_id > 5} == {9: 0, 10: 3, 11: 0}
+
+
 def test_sentence_spans_in_mid_sentence(spark):
     r = random.Random(8)
     vocabulary = ["".join(r.choice("abcdefghijk") for _ in range(r.randint(2, 8))) for _ in range(3000)]

@@ -329,8 +329,8 @@ def test_sentence_spans_against_quadratic_comparison(spark):
     own = [[[raw[a:b].lower() for a, b in zip(starts[upto[i] : upto[i + 1]], ends[upto[i] : upto[i + 1]])] for i in np.flatnonzero(doc == d)] for d in range(len(texts))]
     runs = set()
     for d, sents in enumerate(own):
-        for a in range(len(sents)):  # the fewest sentences with enough words, from each start and to each end
-            for span in (next(((a, b) for b in range(a + 2, len(sents) + 1) if sum(map(len, sents[a:b])) >= 12), None), next(((b, a + 1) for b in range(a - 1, -1, -1) if sum(map(len, sents[b : a + 1])) >= 12), None)):
+        for a in range(len(sents)):  # the fewest sentences with enough words, or three, from each start and to each end
+            for span in (next(((a, b) for b in range(a + 2, len(sents) + 1) if sum(map(len, sents[a:b])) >= 12 or b == a + 3), None), next(((b, a + 1) for b in range(a - 1, -1, -1) if sum(map(len, sents[b : a + 1])) >= 12 or b == a - 2), None)):
                 if span:
                     runs.add((d, *span))
     runs = sorted(runs)
