@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,28 +11,64 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quillon.operators.events import insert_absent
-
 
 def once_per_subject(events: DataFrame, at: str = "ts", late: str = "1 day") -> DataFrame:
     """Events by (kind, subject_id) once, for as long as the watermark lets a repeat come."""
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark(["kind", "subject_id"])
 
 
-def outbox(events: DataFrame, path: str, key: list[str], order: list[str]) -> DataStreamWriter:
-    """Appends each micro-batch's new keys to a Parquet table; a replayed batch adds nothing."""
+def _until(state: GroupState, live_ms: int | None, begun: int) -> None:
+    """A key's state goes when its time to live is over."""
+    if live_ms:
+        state.setTimeoutDuration(max(1, begun + live_ms - state.getCurrentProcessingTimeMs()))
+
+
+def _first(order: list[str], live_ms: int | None):
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best = None  # one row is held, however many come
+        for frame in frames:
+            best = (frame if best is None else pd.concat([best, frame])).sort_values(order, kind="stable").head(1)
+        now = state.getCurrentProcessingTimeMs()
+        begun = state.get[0] if state.exists else None
+        if begun is None or (live_ms and begun + live_ms <= now):
+            state.update((now,))
+            _until(state, live_ms, now)
+            yield best
+        else:
+            _until(state, live_ms, begun)
+
+    return run
+
+
+def first_of_key(events: DataFrame, key: list[str], order: list[str], live_ms: int | None = None) -> DataFrame:
+    """A stream without the repeats of each key, whenever they come within ``live_ms`` of the first (ever, if it is
+    unset); of several in one batch the first by ``order`` goes through.
+
+    Rows with a null in the key are no repeats of each other, as in a unique index; they pass without state.
+    """
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if live_ms else GroupStateTimeout.NoTimeout
+    whole = events.dropna(subset=key)
+    kept = whole.groupBy(*key).applyInPandasWithState(_first(order, live_ms), events.schema, "begun long", "append", timeout)
+    some_null = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in key))
+    return kept.unionByName(events.filter(some_null))
+
+
+def batches_into(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink for ``foreachBatch``: each micro-batch has a folder by its number, which a replay writes over."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            known = spark.read.schema(batch.schema).parquet(path)
-        except Exception as e:  # the table's first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = spark.createDataFrame([], batch.schema)
-        insert_absent(known, batch, key, order).write.mode("append").parquet(path)
+    return write
 
-    return events.writeStream.foreachBatch(write)
+
+def outbox(events: DataFrame, path: str, key: list[str], order: list[str], live_ms: int | None = None) -> DataStreamWriter:
+    """Writes each key once: what has been written is known from keyed state, never from the table, and a replayed
+    batch replaces itself. ``spark.read.parquet(path)`` has the events and the number of their batch."""
+    return first_of_key(events, key, order, live_ms).writeStream.foreachBatch(batches_into(path))
 
 
 LIMITED = "key string, at timestamp, allowed boolean, retry_after double"
@@ -87,12 +124,17 @@ def limited_batch(hits: DataFrame, most: int, window_seconds: float) -> DataFram
 
 
 def miss_counter():
-    """State of one (source, external_id): eligible runs since it was seen. Input: run, eligible, seen."""
+    """State of one (source, external_id): eligible runs since it was seen. What is held of a batch are the runs after the
+    last sighting in it."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        misses = state.get[0] if state.exists else 0
-        for r in pd.concat(list(frames)).sort_values("run").itertuples():
-            misses = 0 if r.seen else misses + bool(r.eligible)
+        last, missed = None, []
+        for frame in frames:
+            seen = frame.loc[frame["seen"], "run"]
+            last = seen.max() if last is None and len(seen) else max(last, seen.max()) if len(seen) else last
+            missed += frame.loc[frame["eligible"] & ~frame["seen"], "run"].tolist()
+            missed = [n for n in missed if last is None or n > last]
+        misses = len(missed) + (state.get[0] if last is None and state.exists else 0)
         state.update((misses,))
         yield pd.DataFrame([(*key, misses)], columns=["source", "external_id", "misses"])
 
@@ -100,6 +142,7 @@ def miss_counter():
 
 
 def counted_misses(runs: DataFrame) -> DataFrame:
+    """Stream of (source, external_id, run, eligible, seen), runs in order from batch to batch: after each batch the misses of its listings."""
     return runs.groupBy("source", "external_id").applyInPandasWithState(miss_counter(), "source string, external_id string, misses long", "misses long", "update", GroupStateTimeout.NoTimeout)
 
 

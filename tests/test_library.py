@@ -197,16 +197,6 @@ def test_limiter_ignores_refused_hits(spark):
     assert [r.allowed for r in rows] == [True, True, False, True, True] and rows[2].retry_after == 8
 
 
-def test_outbox_stream_is_idempotent(spark, tmp_path):
-    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
-    schema = "kind string, subject_id string, n int"
-    for i in range(2):
-        spark.createDataFrame([("a", "1", i), ("a", str(i + 2), i)], schema).coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(schema).parquet(source)
-        jobs.outbox(stream, sink, ["kind", "subject_id"], ["n"]).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
-    assert sorted(r.subject_id for r in spark.read.parquet(sink).collect()) == ["1", "2", "3"]
-
-
 def test_interleave_keeps_every_row_once(spark):
     rows = spark.range(20).select(F.col("id").alias("recipe"))
     out = recommend.interleave(rows, [F.col("recipe")], rows.filter("recipe > 10"), "recipe", "s").collect()
