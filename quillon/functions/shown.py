@@ -32,6 +32,24 @@ def role_key(c: Column) -> Column:
     return F.trim(F.regexp_replace(words, rf"(( |^)({'|'.join(REQUISITION)}))*(( |^)[0-9]{{5,}})+$", ""))
 
 
+#: The month in which a season's term is over; 13 is January of the next year.
+SEASON_ENDS = {"spring": 6, "summer": 9, "fall": 13, "winter": 16}
+
+
+def display_name(c: Column) -> Column:
+    """A company that is known by a slug as a name: words in title case. A name with a capital or without a letter stays."""
+    words = F.filter(F.split(c, "[-_ ]"), lambda w: w != "")
+    titled = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), " ")
+    return F.when(c.rlike(r"\p{Lu}") | ~c.rlike(r"\p{L}"), c).otherwise(titled)
+
+
+def presented_year(season: Column, year: Column, since: Column) -> Column:
+    """The term's year, null if the term was over when the posting came."""
+    month = F.create_map(*[F.lit(x) for kv in SEASON_ENDS.items() for x in kv])[season]
+    end = F.make_date(year + F.when(month > 12, 1).otherwise(0), (month - 1) % 12 + 1, F.lit(1))
+    return F.when(~F.coalesce(end <= F.to_date(since), F.lit(False)), year)
+
+
 def alert_body(title: Column, season: Column, year: Column, places: Column, most: int = 140) -> Column:
     """title · Season Year · first place +N more, cut with an ellipsis."""
     term = F.nullif(F.concat_ws(" ", F.initcap(season), year.cast("string")), F.lit(""))

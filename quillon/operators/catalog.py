@@ -56,11 +56,17 @@ def reconciled(runs: DataFrame, now: datetime) -> DataFrame:
 
 
 def pruned(rejects: DataFrame, keep_runs: int, samples: int) -> DataFrame:
-    """Rejected rows all; filtered ones of the last runs, and of older runs the first of each reason."""
-    last = F.dense_rank().over(W.partitionBy("source").orderBy(F.desc("run")))
+    """Rejected rows all; filtered ones of the last runs, and of older runs the first of each reason.
+
+    Runs are ranked among themselves, and of a reason's rows only the first are ranked at all, so that no
+    source's or reason's rows meet whole.
+    """
+    runs = rejects.select("source", "run").distinct()
+    recent = runs.withColumn("_last", F.dense_rank().over(W.partitionBy("source").orderBy(F.desc("run")))).filter(F.col("_last") <= keep_runs).drop("_last")
     nth = F.row_number().over(W.partitionBy("source", "run", "reason").orderBy("id"))
-    ranked = rejects.withColumns({"_last": last, "_nth": nth})
-    return ranked.filter((F.col("kind") == "rejected") | (F.col("_last") <= keep_runs) | (F.col("_nth") <= samples)).drop("_last", "_nth")
+    first = rejects.join(recent, ["source", "run"], "left_anti").withColumn("_nth", nth).filter(F.col("_nth") <= samples).drop("_nth")
+    kept = rejects.filter("kind = 'rejected'").unionByName(rejects.filter("kind <> 'rejected'").join(recent, ["source", "run"], "left_semi").select(*rejects.columns))
+    return kept.unionByName(first.filter("kind <> 'rejected'").select(*rejects.columns))
 
 
 def reject_counts(runs: DataFrame, rejects: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.operators.classify import status_of
 from quillon.operators.events import STATUSES, at_literal, may_advance, may_auto_apply, rank
 
 #: Label of each category on a message; a disregarded one has none.
@@ -141,6 +142,25 @@ def reclassified(messages: DataFrame, verdicts: DataFrame) -> DataFrame:
     return messages.join(last, "message_id", "left").filter(~F.col("stored").eqNullSafe(F.col("now")))
 
 
+def refreshed(pending: DataFrame, changes: DataFrame) -> DataFrame:
+    """Proposals (message_id, implied, reviewed) after verdicts changed (message_id, now): one that waits for review says what its
+    message says now, if that is a status; ``refreshed`` tells which did."""
+    said = changes.select("message_id", status_of(F.col("now")).alias("_said"))
+    joined = pending.join(said, "message_id", "left")
+    moves = F.coalesce(~F.col("reviewed") & (F.col("_said") != F.col("implied")), F.lit(False))
+    return joined.withColumns({"refreshed": moves, "implied": F.when(moves, F.col("_said")).otherwise(F.col("implied"))}).drop("_said")
+
+
+def relabelled(changes: DataFrame) -> DataFrame:
+    """What changed verdicts (message_id, now, recorded: the label that was put there) do to labels: added; replaced, the
+    recorded one comes off; withdrawn, nothing is put in its place; or none. A label that is not one of ours stays."""
+    wanted, ours = label_of(F.col("now")), F.when(F.col("recorded").isin(*LABELS.values()), F.col("recorded"))
+    off = F.when(~ours.eqNullSafe(wanted), ours)
+    action = F.when(wanted.isNull() & ours.isNull(), "none").when(wanted.isNull(), "withdrawn").when(off.isNull(), "added").otherwise("replaced")
+    after = F.when(wanted.isNull() & ours.isNull(), F.col("recorded")).otherwise(wanted)
+    return changes.withColumns({"action": action, "add_label": wanted, "remove_label": off, "recorded_after": after})
+
+
 def diagnosed(messages: DataFrame) -> DataFrame:
     """Adds ``moved`` and ``invisible_to_the_gate`` to (stored, with_body, metadata_only)."""
     return messages.withColumns(
@@ -213,14 +233,16 @@ def decided(proposals: DataFrame, decisions: DataFrame) -> tuple[DataFrame, Data
 
 
 def retitled(pending: DataFrame, tracked: DataFrame) -> DataFrame:
-    """What current rules make of pending proposals (id, company_key, role_key, new_company, new_role, implied):
+    """What current rules make of pending proposals (id, company_key, role_key, new_company, new_role, implied) beside
+    tracked applications (company_key, role_key, status): ahead_of_tracker (says more than any of these, and stays),
     already_tracked (to go), duplicate (to go, its status may raise the kept one's), renamed, retitled or unchanged;
     ``status`` is the highest that the kept one's duplicates say. Of equal ones the least id stays."""
-    t = tracked.select(F.col("company_key").alias("new_company"), F.col("role_key").alias("new_role"), F.lit(True).alias("_t")).distinct()
+    t = tracked.groupBy(F.col("company_key").alias("new_company"), F.col("role_key").alias("new_role")).agg(F.max_by("status", rank(F.col("status"))).alias("_t"))
     same = pending.groupBy("new_company", "new_role").agg(F.min("id").alias("_first"), F.max_by("implied", F.struct(rank(F.col("implied")), -F.col("id"))).alias("_most"))
     joined = pending.join(t, ["new_company", "new_role"], "left").join(same, ["new_company", "new_role"])
+    ahead = F.coalesce(may_advance(F.col("_t"), F.col("implied")), F.lit(False))
     outcome = (
-        F.when(F.col("_t"), "already_tracked").when(F.col("id") != F.col("_first"), "duplicate").when(F.col("company_key") != F.col("new_company"), "renamed")
+        F.when(F.col("_t").isNotNull(), F.when(ahead, "ahead_of_tracker").otherwise("already_tracked")).when(F.col("id") != F.col("_first"), "duplicate").when(F.col("company_key") != F.col("new_company"), "renamed")
         .when(F.col("role_key") != F.col("new_role"), "retitled").otherwise("unchanged")
     )
     return joined.withColumn("outcome", outcome).select("id", "outcome", F.when(outcome.isin("renamed", "retitled", "unchanged"), F.col("_most")).otherwise(F.col("implied")).alias("status"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillon.functions import shown
 from quillon.operators import events as E
 from quillon.operators import listing as L
 from quillon.operators import quality
@@ -160,15 +161,14 @@ def qc_violations(spark, sf):
     return quality.violations(A.postings(spark, sf))
 
 
-_ENDS = {"spring": 6, "summer": 9, "fall": 13, "winter": 4}
-
-
-@query(f"""WITH {A.POSTINGS} SELECT posting_id, CASE WHEN NOT coalesce(CASE season WHEN 'spring' THEN make_date(term_year, 6, 1) WHEN 'summer' THEN make_date(term_year, 9, 1) WHEN 'fall' THEN make_date(term_year + 1, 1, 1) WHEN 'winter' THEN make_date(term_year, 4, 1) END < CAST(posted_at AS DATE), false) THEN term_year END AS term_year FROM postings""")
+@query(f"""WITH {A.POSTINGS}, n AS (SELECT *, CASE posting_id % 4 WHEN 0 THEN lower(replace(title, ' ', '-')) WHEN 1 THEN '--' || lower(title) || '_' || posting_id WHEN 2 THEN title ELSE CAST(posting_id AS VARCHAR) END AS slug FROM postings)
+SELECT posting_id, CASE WHEN posting_id % 4 < 2 THEN array_to_string(list_transform(list_filter(regexp_split_to_array(slug, '[-_ ]'), lambda w: w <> ''), lambda w: upper(w[1]) || w[2:]), ' ') ELSE slug END AS company_name,
+  CASE WHEN NOT coalesce(CASE season WHEN 'spring' THEN make_date(term_year, 6, 1) WHEN 'summer' THEN make_date(term_year, 9, 1) WHEN 'fall' THEN make_date(term_year + 1, 1, 1) WHEN 'winter' THEN make_date(term_year + 1, 4, 1) END <= CAST(posted_at AS DATE), false) THEN term_year END AS term_year FROM n""")
 def pj11_term_presented(spark, sf):
-    month = F.create_map(*[F.lit(x) for kv in _ENDS.items() for x in kv])[F.col("season")]
-    end = F.make_date(F.col("term_year") + F.when(month > 12, 1).otherwise(0), F.when(month > 12, 1).otherwise(month), F.lit(1))
-    over = F.coalesce(end < F.to_date("posted_at"), F.lit(False))
-    return A.postings(spark, sf).select("posting_id", F.when(~over, F.col("term_year")).alias("term_year"))
+    """Slugs as names, and years of terms that were over before the posting was there left out."""
+    k, title = F.col("posting_id"), F.col("title")
+    slug = F.when(k % 4 == 0, F.lower(F.replace(title, F.lit(" "), F.lit("-")))).when(k % 4 == 1, F.concat(F.lit("--"), F.lower(title), F.lit("_"), k.cast("string"))).when(k % 4 == 2, title).otherwise(k.cast("string"))
+    return A.postings(spark, sf).select("posting_id", shown.display_name(slug).alias("company_name"), shown.presented_year(F.col("season"), F.col("term_year"), F.col("posted_at")).alias("term_year"))
 
 
 @query(f"""WITH {A.POSTINGS}, {A.SIGHTINGS} SELECT company_key, source, count(DISTINCT posting_id) AS live FROM sightings JOIN postings USING (posting_id) WHERE expired_at IS NULL GROUP BY 1, 2""")

@@ -179,8 +179,8 @@ def fl9_search(spark, sf):
     return M.search(table(spark, sf, "documents"), ["text", "source"], "Que LA").select("doc_id", "lang").orderBy("doc_id").limit(50)
 
 
-_ROLES = """m AS (SELECT event_id AS id, 'firm ' || substr(md5(CAST(user_id % 37 AS VARCHAR)), 1, 12) || CASE WHEN event_id % 2 = 0 THEN 's' ELSE '' END AS company_key, CASE WHEN event_id % 4 = 0 THEN '' ELSE 'software engineering intern' || CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN ' platform' ELSE ' summer' END END AS role_key FROM events),
-a AS (SELECT c_custkey AS id, 'firm ' || substr(md5(CAST(c_custkey % 37 AS VARCHAR)), 1, 12) AS company_key, CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'software engineering intern' WHEN 2 THEN 'software engineering intern platform' WHEN 3 THEN 'data intern' ELSE 'software engineering intern platform team' END AS role_key FROM customer WHERE c_custkey < 100)"""
+_ROLES = """m AS (SELECT event_id AS id, 'firm ' || substr(md5(CAST(user_id AS VARCHAR)), 1, 12) || CASE WHEN event_id % 2 = 0 THEN 's' ELSE '' END AS company_key, CASE WHEN event_id % 4 = 0 THEN '' ELSE 'software engineering intern' || CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN ' platform' ELSE ' summer' END END AS role_key FROM events),
+a AS (SELECT c_custkey AS id, 'firm ' || substr(md5(CAST(c_custkey // 3 AS VARCHAR)), 1, 12) AS company_key, CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'software engineering intern' WHEN 2 THEN 'software engineering intern platform' WHEN 3 THEN 'data intern' ELSE 'software engineering intern platform team' END AS role_key FROM customer)"""
 
 
 @query(f"""WITH {_ROLES}, keys AS (SELECT DISTINCT m.company_key AS m, a.company_key AS k FROM (SELECT DISTINCT company_key FROM m) m, (SELECT DISTINCT company_key FROM a) a WHERE m.company_key = a.company_key OR 1 - damerau_levenshtein(m.company_key, a.company_key) / CAST(greatest(length(m.company_key), length(a.company_key)) AS DOUBLE) >= 0.9 - 1e-12),
@@ -191,9 +191,9 @@ def jn14_role_match(spark, sf):
     k, u, c = F.col("event_id"), F.col("user_id"), F.col("c_custkey")
     firm = lambda x: F.concat(F.lit("firm "), F.substring(F.md5(x.cast("string")), 1, 12))
     role = F.concat(F.lit("software engineering intern"), F.when(k % 3 == 0, "").when(k % 3 == 1, " platform").otherwise(" summer"))
-    mail = table(spark, sf, "events").select(k.alias("id"), F.concat(firm(u % 37), F.when(k % 2 == 0, "s").otherwise("")).alias("company_key"), F.when(k % 4 == 0, "").otherwise(role).alias("role_key"))
+    mail = table(spark, sf, "events").select(k.alias("id"), F.concat(firm(u), F.when(k % 2 == 0, "s").otherwise("")).alias("company_key"), F.when(k % 4 == 0, "").otherwise(role).alias("role_key"))
     own = F.element_at(F.array(*map(F.lit, ("", "software engineering intern", "software engineering intern platform", "data intern", "software engineering intern platform team"))), (c % 5 + 1).cast("int"))
-    apps = table(spark, sf, "customer").filter(c < 100).select(c.alias("id"), firm(c % 37).alias("company_key"), own.alias("role_key"))
+    apps = table(spark, sf, "customer").select(c.alias("id"), firm(F.expr("c_custkey div 3")).alias("company_key"), own.alias("role_key"))
     return M.match_applications(mail, apps, 0.9 - 1e-12)
 
 

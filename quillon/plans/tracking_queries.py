@@ -12,22 +12,22 @@ from quillon.plans import adapters as A
 from quillon.plans.registry import query
 from quillon.session import table
 
-_APPS = """apps AS (SELECT o_orderkey AS id, o_custkey % 50 AS user_id, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 400 + 1 END AS posting_id, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 8 END AS variant,
+_APPS = """apps AS (SELECT o_orderkey AS id, o_custkey // 8 AS user_id, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 400 + 1 END AS posting_id, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 8 END AS variant,
  ['applied', 'oa', 'interview', 'offer', 'rejected'][o_orderkey % 5 + 1] AS status, o_orderdate AS applied_at, 'co-' || (o_custkey % 97) AS company FROM orders),
-variants AS (SELECT c_custkey % 8 AS id, c_custkey % 50 AS user_id, c_name AS label, c_custkey % 5 = 0 AS archived FROM customer WHERE c_custkey <= 200)"""
+variants AS (SELECT c_custkey % 8 AS id, c_custkey // 8 AS user_id, c_name AS label, c_custkey % 5 = 0 AS archived FROM customer)"""
 
 
 def _apps(spark, sf):
     k = F.col("o_orderkey")
     return table(spark, sf, "orders").select(
-        k.alias("id"), (F.col("o_custkey") % 50).alias("user_id"), F.when(k % 7 != 0, k % 400 + 1).alias("posting_id"), F.when(k % 3 != 0, k % 8).alias("variant"),
+        k.alias("id"), F.expr("o_custkey div 8").alias("user_id"), F.when(k % 7 != 0, k % 400 + 1).alias("posting_id"), F.when(k % 3 != 0, k % 8).alias("variant"),
         F.element_at(F.array(*map(F.lit, STATUSES)), (k % 5 + 1).cast("int")).alias("status"), F.col("o_orderdate").alias("applied_at"), F.concat(F.lit("co-"), (F.col("o_custkey") % 97).cast("string")).alias("company"),
     )
 
 
 def _variants(spark, sf):
     k = F.col("c_custkey")
-    return table(spark, sf, "customer").filter(k <= 200).select((k % 8).alias("id"), (k % 50).alias("user_id"), F.col("c_name").alias("label"), (k % 5 == 0).alias("archived"))
+    return table(spark, sf, "customer").select((k % 8).alias("id"), F.expr("c_custkey div 8").alias("user_id"), F.col("c_name").alias("label"), (k % 5 == 0).alias("archived"))
 
 
 @query(f"""WITH {_APPS} SELECT a.id, v.label, count(e.event_id) AS n_events FROM apps a LEFT JOIN variants v ON a.variant = v.id AND a.user_id = v.user_id LEFT JOIN events e ON e.user_id = a.id GROUP BY 1, 2""")
@@ -194,6 +194,30 @@ def cp10_reclassified(spark, sf):
     return T.reclassified(now, stored.unionByName(older)).select("message_id", "stored", "now")
 
 
+_LABEL = "CASE {} WHEN 'confirmation' THEN 'Applied' WHEN 'oa' THEN 'Assessment' WHEN 'interview' THEN 'Interview' WHEN 'offer' THEN 'Offer' WHEN 'rejection' THEN 'Rejected' WHEN 'outreach' THEN 'Outreach' END"
+
+
+@query(f"""WITH c AS (SELECT conv_id * 100 + turn AS message_id, ['oa', 'offer', 'disregarded', 'interview'][length(text) % 4 + 1] AS now, CASE conv_id % 3 WHEN 0 THEN 'Assessment' WHEN 1 THEN 'Starred' END AS recorded FROM conversations),
+w AS (SELECT *, {_LABEL.format('now')} AS wanted, CASE WHEN recorded IN ('Applied', 'Assessment', 'Interview', 'Offer', 'Rejected', 'Outreach') THEN recorded END AS ours FROM c)
+SELECT message_id, CASE WHEN wanted IS NULL AND ours IS NULL THEN 'none' WHEN wanted IS NULL THEN 'withdrawn' WHEN ours IS NULL OR ours = wanted THEN 'added' ELSE 'replaced' END AS action, wanted AS add_label, CASE WHEN ours IS DISTINCT FROM wanted THEN ours END AS remove_label,
+ CASE WHEN wanted IS NULL AND ours IS NULL THEN recorded ELSE wanted END AS recorded_after FROM w""")
+def cp10_relabelled(spark, sf):
+    now = F.element_at(F.array(*map(F.lit, ("oa", "offer", "disregarded", "interview"))), (F.length("text") % 4 + 1).cast("int"))
+    changed = A.messages(spark, sf).select((F.col("conv_id") * 100 + F.col("turn")).alias("message_id"), now.alias("now"), F.when(F.col("conv_id") % 3 == 0, "Assessment").when(F.col("conv_id") % 3 == 1, "Starred").alias("recorded"))
+    return T.relabelled(changed).select("message_id", "action", "add_label", "remove_label", "recorded_after")
+
+
+@query("""WITH c AS (SELECT conv_id * 100 + turn AS message_id, ['oa', 'offer', 'outreach'][length(text) % 3 + 1] AS now FROM conversations),
+p AS (SELECT event_id AS id, event_id % 10000 AS message_id, ['oa', 'interview', 'offer'][event_id % 3 + 1] AS implied, event_id % 4 = 0 AS reviewed FROM events)
+SELECT id, CASE WHEN NOT reviewed AND now IN ('oa', 'offer') AND now <> implied THEN now ELSE implied END AS implied, NOT reviewed AND now IS NOT NULL AND now IN ('oa', 'offer') AND now <> implied AS refreshed FROM p LEFT JOIN c USING (message_id)""")
+def cp10_refreshed_pending(spark, sf):
+    now = F.element_at(F.array(*map(F.lit, ("oa", "offer", "outreach"))), (F.length("text") % 3 + 1).cast("int"))
+    changed = A.messages(spark, sf).select((F.col("conv_id") * 100 + F.col("turn")).alias("message_id"), now.alias("now"))
+    k = F.col("event_id")
+    pending = table(spark, sf, "events").select(k.alias("id"), (k % 10000).alias("message_id"), F.element_at(F.array(*map(F.lit, ("oa", "interview", "offer"))), (k % 3 + 1).cast("int")).alias("implied"), (k % 4 == 0).alias("reviewed"))
+    return T.refreshed(pending, changed).select("id", "implied", "refreshed")
+
+
 @query("""WITH d AS (SELECT event_id AS id, ['oa', 'offer', NULL][event_id % 3 + 1] AS stored, ['oa', 'offer'][event_id % 2 + 1] AS with_body, ['offer', 'oa', 'oa'][event_id % 3 + 1] AS metadata_only FROM events)
 SELECT stored, with_body, count(*) AS n, count(*) FILTER (WHERE stored IS DISTINCT FROM with_body) AS n_moved, count(*) FILTER (WHERE with_body <> metadata_only AND stored IS NOT DISTINCT FROM metadata_only) AS n_invisible FROM d GROUP BY 1, 2""")
 def cp15_diagnosed(spark, sf):
@@ -216,11 +240,11 @@ def cp16_labelling_queue(spark, sf):
     return T.labelling_queue(m, m.filter("id % 3 = 0"), datetime(2024, 1, 5), datetime(2024, 1, 20), 30).select("id", "place")
 
 
-@query("""WITH r AS (SELECT user_id, max(struct_pack(a := ts, b := event_id, c := event_type)) AS r FROM events GROUP BY 1), a AS (SELECT c_custkey AS user_id, TIMESTAMP '2024-01-28' + to_hours(CAST(c_custkey % 60 AS INTEGER)) AS connected_at FROM customer WHERE c_custkey <= 200)
+@query("""WITH r AS (SELECT user_id, max(struct_pack(a := ts, b := event_id, c := event_type)) AS r FROM events GROUP BY 1), a AS (SELECT c_custkey AS user_id, TIMESTAMP '2024-01-28' + to_hours(CAST(c_custkey % 60 AS INTEGER)) AS connected_at FROM customer)
 SELECT user_id, r.c AS outcome, coalesce(connected_at > r.a, false) AS superseded_by_reconnect FROM a LEFT JOIN r USING (user_id)""")
 def cp26_inbox_status(spark, sf):
     runs = table(spark, sf, "events").select("user_id", F.col("ts").alias("at"), F.col("event_id").alias("id"), F.col("event_type").alias("outcome"))
-    accounts = table(spark, sf, "customer").filter("c_custkey <= 200").select(F.col("c_custkey").alias("user_id"), (F.lit("2024-01-28").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("c_custkey") % 60).cast("int"))).alias("connected_at"))
+    accounts = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), (F.lit("2024-01-28").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("c_custkey") % 60).cast("int"))).alias("connected_at"))
     return T.inbox_status(runs, accounts).select("user_id", "outcome", "superseded_by_reconnect")
 
 
@@ -290,10 +314,10 @@ def cp12_decided(spark, sf):
 @query(f"""WITH {_MAIL}, {_KEYED}, p AS (SELECT id, company_key, role_key, implied, CASE WHEN id % 9 = 0 THEN 'co-1' ELSE company_key END AS nc, CASE WHEN id % 10 = 0 THEN 'role ' || id ELSE role_key || '!' END AS nr FROM k WHERE implied IN ('oa', 'interview', 'offer') AND company_key <> '' AND id % 3 <> 0),
 q AS (SELECT id, company_key, role_key, implied, nc, CASE WHEN id % 4 = 1 THEN role_key ELSE nr END AS nr FROM p),
 s AS (SELECT nc, nr, min(id) AS first, arg_max(implied, struct_pack(a := CASE implied WHEN 'oa' THEN 2 WHEN 'interview' THEN 3 ELSE 4 END, b := -id)) AS most FROM q GROUP BY 1, 2),
-o AS (SELECT q.*, most, CASE WHEN nc = 'co-2' AND nr = 'role 1' THEN 'already_tracked' WHEN id <> first THEN 'duplicate' WHEN company_key <> nc THEN 'renamed' WHEN role_key <> nr THEN 'retitled' ELSE 'unchanged' END AS outcome FROM q JOIN s USING (nc, nr))
+o AS (SELECT q.*, most, CASE WHEN nc = 'co-2' AND nr = 'role 1' THEN CASE WHEN implied = 'offer' THEN 'ahead_of_tracker' ELSE 'already_tracked' END WHEN id <> first THEN 'duplicate' WHEN company_key <> nc THEN 'renamed' WHEN role_key <> nr THEN 'retitled' ELSE 'unchanged' END AS outcome FROM q JOIN s USING (nc, nr))
 SELECT id, outcome, CASE WHEN outcome IN ('renamed', 'retitled', 'unchanged') THEN most ELSE implied END AS status FROM o""")
 def cp13_retitled(spark, sf):
     k = F.col("id")
     p = _keyed(spark, sf).filter("implied IN ('oa', 'interview', 'offer') AND company_key <> '' AND id % 3 <> 0")
     p = p.withColumns({"new_company": F.when(k % 9 == 0, "co-1").otherwise(F.col("company_key")), "new_role": F.when(k % 4 == 1, F.col("role_key")).when(k % 10 == 0, F.concat(F.lit("role "), k.cast("string"))).otherwise(F.concat("role_key", F.lit("!")))})
-    return T.retitled(p, spark.createDataFrame([("co-2", "role 1")], "company_key string, role_key string"))
+    return T.retitled(p, spark.createDataFrame([("co-2", "role 1", "interview"), ("co-2", "role 1", "oa")], "company_key string, role_key string, status string"))
