@@ -71,7 +71,7 @@ def ellipsis(c: Column, most: int) -> Column:
 def strip_html(c: Column) -> Column:
     """Text of an HTML page: no script or style, tags as spaces, white space collapsed."""
     bare = F.regexp_replace(c, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
-    return collapse(unescape(F.regexp_replace(bare, r"(?s)<[^>]*>", " ")))
+    return collapse(decode_entities(F.regexp_replace(bare, r"(?s)<[^>]*>", " ")))
 
 
 # Named character references and the plain characters that stand for them.

@@ -198,7 +198,12 @@ def search(rows: DataFrame, columns: list[str], query: str) -> DataFrame:
 
 
 def suggest_with_aliases(names: DataFrame, query: str, limit: int = 5) -> DataFrame:
-    """The best names (name, aliases, at) for a query, each by itself or its best alias; for an empty query the latest, score 1."""
+    """The best names (name, aliases, at) for a query, each by itself or its best alias; for an empty query the latest, score 1.
+
+    With a column ``source`` (a number) names of equal score come in its order, so that what is at hand stands before a
+    catalog's.
+    """
+    tie = ["source", "name"] if "source" in names.columns else ["name"]
     limit = max(1, min(25, limit))
     q = " ".join(query.lower().split())
     if not q:
@@ -214,7 +219,7 @@ def suggest_with_aliases(names: DataFrame, query: str, limit: int = 5) -> DataFr
     words = names.select("name", F.explode(F.array_distinct(F.concat(F.split("name", " "), F.flatten(F.transform("aliases", lambda a: F.split(a, " ")))))).alias("_w"))
     close = words.withColumn("_s", similarity(F.lit(q), F.col("_w"))).groupBy("name").agg(F.max("_s").alias("_s"))
     scored = names.join(close, "name").withColumn("score", F.coalesce(F.greatest(own, alias), F.when(F.col("_s") > 0.7, 0.3 + 0.2 * F.col("_s"))))
-    return scored.filter("score IS NOT NULL").select("name", "score").orderBy(F.desc("score"), "name").limit(limit)
+    return scored.filter("score IS NOT NULL").orderBy(F.desc("score"), *tie).limit(limit).select("name", "score", *tie[:-1])
 
 
 def alias_candidates(keys: DataFrame, key: str) -> DataFrame:

@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FRONT_KEYS = ("title", "slug", "date", "published", "summary")
+#: Characters of a title and of a body at most; a file of more bytes cannot keep to that and is not read.
+MOST_TITLE, MOST_BODY = 200, 100_000
+MOST_BYTES = 4 * (MOST_TITLE + MOST_BODY) + (1 << 16)
 
 
 def front_matter(files: DataFrame) -> DataFrame:
     """slug, title, body, parsed, error of Markdown files (columns path, text) with ``key: value`` front matter.
 
-    A byte order mark and CRLF are tolerated; a README is skipped; an unknown or repeated key is an error.
+    A byte order mark and CRLF are tolerated; a README is skipped; an unknown or repeated key is an error, and so are a body
+    that is blank and a title or body that is too long.
     """
     text = F.regexp_replace(F.regexp_replace("text", "^﻿", ""), "\r\n", "\n")
     name = F.regexp_extract("path", r"([^/]+)\.md$", 1)
@@ -25,13 +29,19 @@ def front_matter(files: DataFrame) -> DataFrame:
         .when(F.size(F.array_except("_k", F.array(*map(F.lit, FRONT_KEYS)))) > 0, "unknown key").when(value("title").isNull(), "no title")
     )
     body = F.regexp_replace("text", r"(?s)\A---\n.*?\n---(\n|\z)", "")
+    error = F.coalesce(error, F.when(F.length(value("title")) > MOST_TITLE, "title too long").when(F.trim(body) == "", "no body").when(F.length(body) > MOST_BODY, "body too long"))
     return rows.select("path", F.coalesce(value("slug"), F.col("stem")).alias("slug"), value("title").alias("title"), body.alias("body"), error.isNull().alias("parsed"), error.alias("error"))
 
 
-def read_markdown(spark: SparkSession, path: str) -> DataFrame:
-    """Markdown files below ``path``, through Spark's readers."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True)
-    return front_matter(raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+def read_markdown(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Markdown files below ``path``, through Spark's readers; of a file beyond ``most_bytes`` only its name is read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(path)
+    # The filter on length reaches the reader, which leaves larger files alone.
+    posts = front_matter(found.filter(F.col("length") <= most_bytes).select("path", F.decode("content", "UTF-8").alias("text")))
+    large = found.filter((F.col("length") > most_bytes) & ~F.lower("path").rlike(r"(^|/)readme\.md$")).select("path")
+    nothing = F.lit(None).cast("string")
+    rejected = large.select("path", F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("slug"), nothing.alias("title"), nothing.alias("body"), F.lit(False).alias("parsed"), F.lit("file too large").alias("error"))
+    return posts.unionByName(rejected)
 
 
 def read_labels(spark: SparkSession, path: str, schema: str) -> DataFrame:

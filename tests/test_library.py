@@ -188,7 +188,7 @@ def test_board_readers(spark):
 def test_front_matter(spark):
     rows = [("d/a.md", "---\ntitle: A\nslug: x\n---\nBody"), ("d/b.md", "---\r\ntitle: B\r\n---\r\n"), ("d/c.md", "---\ntitle: C\ntitle: D\n---\n"), ("d/e.md", "none"), ("d/README.md", "x"), ("d/f.md", "---\ntitle: F\nnope: 1\n---\n")]
     got = {r.path: (r.slug, r.parsed, r.error) for r in files.front_matter(spark.createDataFrame(rows, "path string, text string")).collect()}
-    assert got == {"d/a.md": ("x", True, None), "d/b.md": ("b", True, None), "d/c.md": ("c", False, "repeated key"), "d/e.md": ("e", False, "no front matter"), "d/f.md": ("f", False, "unknown key")}
+    assert got == {"d/a.md": ("x", True, None), "d/b.md": ("b", False, "no body"), "d/c.md": ("c", False, "repeated key"), "d/e.md": ("e", False, "no front matter"), "d/f.md": ("f", False, "unknown key")}
 
 
 def test_limiter_ignores_refused_hits(spark):
@@ -242,11 +242,26 @@ def test_file_readers_and_csv(spark, tmp_path):
     (tmp_path / "posts").mkdir()
     (tmp_path / "posts" / "a.md").write_text("---\ntitle: A\n---\nBody")
     assert [r.slug for r in files.read_markdown(spark, str(tmp_path / "posts")).collect()] == ["a"]
+    head = "---\ntitle: {}\n---\n"
+    for name, text in (("long", head.format("t" * 201) + "x"), ("limit", head.format("字" * 200) + "é" * 100_000), ("body", head.format("t") + "x" * 100_001), ("blank", head.format("t") + " \n"), ("huge", "x" * (files.MOST_BYTES + 1)), ("README", "x" * (files.MOST_BYTES + 1))):
+        (tmp_path / "posts" / f"{name}.md").write_text(text)
+    read = files.read_markdown(spark, str(tmp_path / "posts"))
+    assert {r.slug: r.error for r in read.collect()} == {"a": None, "long": "title too long", "limit": None, "body": "body too long", "blank": "no body", "huge": "file too large"}
+    assert "LessThanOrEqual(length" in read._jdf.queryExecution().toString()
     frame = spark.createDataFrame([(1, "a"), (2, None)], "n int, t string")
     files.write_csv(frame, str(tmp_path / "out"))
     assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 2
 
 
+def test_suggestions_of_equal_score_come_by_source(spark):
+    rows = spark.createDataFrame([("milk a", [], 1, 2), ("milk b", [], 2, 1), ("milk c", [], 3, 1)], "name string, aliases array<string>, at int, source int")
+    assert [(r.name, r.source) for r in matching.suggest_with_aliases(rows, "milk", 2).collect()] == [("milk b", 1), ("milk c", 1)]
+
+
+def test_html_is_read_with_all_entities(spark):
+    assert one(spark, text.strip_html(F.lit("<p>caf&eacute; &#8211; &amp;lt; <script>x</script>end"))) == "cafe – &lt; end"
+
+
 def test_sole_best_refuses_ties(spark):
     rows = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 1.0), ("b", "x", 0.9), ("b", "y", 0.8)], "r string, t string, s double")
     assert [(r.r, r.t) for r in matching.sole_best(rows, "r", "s", "t").collect()] == [("b", "x")]
