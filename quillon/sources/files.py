@@ -29,7 +29,7 @@ def front_matter(files: DataFrame) -> DataFrame:
         .when(F.size(F.array_except("_k", F.array(*map(F.lit, FRONT_KEYS)))) > 0, "unknown key").when(value("title").isNull(), "no title")
     )
     body = F.regexp_replace("text", r"(?s)\A---\n.*?\n---(\n|\z)", "")
-    error = F.coalesce(error, F.when(F.length(value("title")) > MOST_TITLE, "title too long").when(F.trim(body) == "", "no body").when(F.length(body) > MOST_BODY, "body too long"))
+    error = F.coalesce(error, F.when(F.length(value("title")) > MOST_TITLE, "title too long").when(body.rlike(r"^\s*$"), "no body").when(F.length(body) > MOST_BODY, "body too long"))
     return rows.select("path", F.coalesce(value("slug"), F.col("stem")).alias("slug"), value("title").alias("title"), body.alias("body"), error.isNull().alias("parsed"), error.alias("error"))
 
 
