@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from quillon.llm import bpe, exact_dedup, langid, minhash, mixing, secret_scan, sentence_spans, topk, toxicity
+from quillon.llm import bpe, exact_dedup, langid, minhash, mixing, secret_scan, sentence_spans, squares, topk, toxicity
 
 #: Extra columns named as the operators name their own.
 EXTRA = ["_s", "_times", "_copy", "_row", "_maybe", "row", "score", "copy", "times", "key", "cid", "size", "text_sha256"]
@@ -76,7 +76,7 @@ def shingles(text, k):
 
 
 def test_near_duplicates_in_a_chain_and_in_hot_keys(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "SMALL", 8)  # many squares
+    monkeypatch.setattr(squares, "SMALL", 8)  # many squares
     r = random.Random(3)
     base = words(r, 60).split()
     chain = [" ".join(base)]

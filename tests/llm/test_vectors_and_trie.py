@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from quillon.llm import blocks, conversation_trie, embedding_dedup, hard_negatives, kernels, minhash
+from quillon.llm import blocks, conversation_trie, embedding_dedup, hard_negatives, kernels, minhash, squares
 
 TURNS = "conv_id long, turn long, role string, text string, key long, rep string, n long"
 
@@ -122,6 +122,7 @@ def brute_links(rows, limit=0.9):
 @pytest.mark.parametrize(("kind", "in_bucket"), [("double", 512), ("float", 512), ("double", 1)])
 def test_embedding_near_duplicates(spark, kind, in_bucket, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "IN_BUCKET", in_bucket)  # 1: several polytopes make a key
+    monkeypatch.setattr(squares, "SMALL", 16)  # many squares
     r = np.random.default_rng(5)
     base = r.normal(size=(12, 12))
     vectors = [base[i % 12] + r.normal(size=12) * (0.05 if i % 3 else 0.3) for i in range(360)] + [base[0]] * 150 + [base[0] * 3] * 5
