@@ -15,12 +15,27 @@ from quillon.operators.events import at_literal
 
 
 def purchase_gaps(history: DataFrame, item: str, at: str) -> DataFrame:
-    """Per item with two purchases or more: the upper median of the gaps in days, and the last purchase."""
-    gap = days(F.col(at), F.lag(at).over(W.partitionBy(item).orderBy(at)))
-    gaps = history.select(item, at, gap.alias("_gap"))
-    one = gaps.groupBy(item).agg(F.sort_array(F.collect_list("_gap")).alias("_all"), F.max(at).alias("last_at"))
-    middle = F.element_at("_all", (F.floor(F.size("_all") / 2) + 1).cast("int"))
-    return one.filter(F.size("_all") > 0).select(item, middle.alias("median_gap"), F.size("_all").cast("long").alias("n_gaps"), "last_at")
+    """Per item with two purchases or more: the upper median of the gaps in days, and the last purchase.
+
+    Neighbours are found within the hours of an item, then between its hours; the median by counts of whole days, then by
+    counts of the values within its day. So no window runs over all purchases of an item.
+    """
+    rows = history.select(item, at, F.date_trunc("hour", at).alias("_hour"))
+    near = days(F.col(at), F.lag(at).over(W.partitionBy(item, "_hour").orderBy(at)))
+    hours = rows.groupBy(item, "_hour").agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
+    far = days(F.col("_first"), F.lag("_last").over(W.partitionBy(item).orderBy("_hour")))
+    gaps = rows.select(item, near.alias("_gap")).unionByName(hours.select(item, far.alias("_gap"))).filter("_gap IS NOT NULL")
+    values = gaps.groupBy(item, F.floor("_gap").alias("_day"), "_gap").agg(F.count(F.lit(1)).alias("_n"))
+    by_day = values.groupBy(item, "_day").agg(F.sum("_n").alias("_in_day"))
+    upto = W.partitionBy(item).orderBy("_day").rowsBetween(W.unboundedPreceding, 0)
+    by_day = by_day.withColumns({"_upto": F.sum("_in_day").over(upto), "n_gaps": F.sum("_in_day").over(W.partitionBy(item))})
+    middle = F.floor(F.col("n_gaps") / 2) + 1
+    of = by_day.filter((F.col("_upto") >= middle) & (F.col("_upto") - F.col("_in_day") < middle)).select(item, "_day", "n_gaps", (F.col("_upto") - F.col("_in_day")).alias("_before"))
+    within = W.partitionBy(item, "_day").orderBy("_gap").rowsBetween(W.unboundedPreceding, 0)
+    reached = values.join(of, [item, "_day"]).withColumn("_reached", F.col("_before") + F.sum("_n").over(within))
+    median = reached.filter(F.col("_reached") >= middle).groupBy(item, "n_gaps").agg(F.min("_gap").alias("median_gap"))
+    last = hours.groupBy(item).agg(F.max("_last").alias("last_at"))
+    return median.join(last, item).select(item, "median_gap", "n_gaps", "last_at")
 
 
 def shopping_suggestions(stock: DataFrame, history: DataFrame, item: str, expires: str, at: str, now: datetime, within_days: int = 3) -> DataFrame:
