@@ -36,7 +36,7 @@ from quillon.llm.kernels import U, mix64, powers, prefix_hash, slices, text_buff
 
 VOCABULARY = "word_bpe_49k.json"
 #: Entries in a generation of kept words, and of kept chunks.
-KEPT_WORDS, KEPT_CHUNKS = 60_000, 6_000
+KEPT_WORDS, KEPT_CHUNKS = 120_000, 6_000
 #: Bytes of a word or chunk that is kept.
 LONGEST = 4096
 #: Chunks are 1 / CUT_RATE bytes long on average beyond the least length.
