@@ -1,17 +1,20 @@
 """BPE encoding and decoding that reuses content-defined chunks.
 
-A rolling hash over the bytes cuts each text into chunks of some hundred bytes, so that
-passages shared by documents give the same chunks wherever they stand. A task encodes a
+A hash of the bytes before each white space cuts each text into chunks of some hundred bytes, so
+that passages shared by documents give the same chunks wherever they stand. A task encodes a
 chunk it has not met as whole words (runs between ASCII white space) and keeps the result;
-the next document that holds the chunk takes it from there. A cut may fall inside a word, so
-a chunk holds its finished middle and its two open ends. Joining two chunks re-encodes what
-straddles the cut together with the whole word on either side of it, and asks whether both
-sides come out as they were: ids and decoded text of the three must be those of the parts.
-Where they do not agree, the whole text is encoded anew at once, which is the library's own
-result. So chunk reuse never decides what the ids are.
+the next document that holds the chunk takes it from there. Joining two chunks re-encodes the
+words on either side of the cut together, and asks whether both come out as they were: ids and
+decoded text of the two must be those of the parts. Where they do not agree, the whole text is
+encoded anew at once, which is the library's own result. So chunk reuse never decides what the
+ids are.
+
+A word of Latin letters alone is one word to the vocabulary's split, and its letters are
+normalised one by one; so it goes to the library's BPE model directly. All other words go through the
+whole tokenizer.
 
 Reuse is per task: chunks and words are kept in its worker, bounded in number and bytes
-(two generations of at most ``KEPT`` entries of at most ``LONGEST`` bytes each), and are only
+(two generations of at most ``KEPT_`` entries of at most ``LONGEST_`` bytes each), and are only
 ever a saving; any task can be run again anywhere. A vocabulary that is not of the form for which words can
 be encoded apart (``_apart``) is encoded text by text.
 
@@ -26,33 +29,38 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillon.llm.kernels import U, mix64, powers, prefix_hash, slices, text_buffers, trimmed
+from quillon.llm.kernels import U, mix64, slices, text_buffers, trimmed
 
 VOCABULARY = "word_bpe_49k.json"
 #: Entries in a generation of kept words, and of kept chunks.
-KEPT_WORDS, KEPT_CHUNKS = 60_000, 6_000
-#: Bytes of a word or chunk that is kept.
-LONGEST = 4096
-#: Chunks are 1 / CUT_RATE bytes long on average beyond the least length.
-CUT_RATE, WINDOW, LEAST = 256, 16, 64
+KEPT_WORDS, KEPT_CHUNKS = 30_000, 4_000
+#: Bytes of a word, and of a chunk, that is kept.
+LONGEST_WORD, LONGEST_CHUNK = 64, 1024
+#: One white space in CUT_RATE is a cut, if the chunk has LEAST bytes by then; WINDOW bytes before it decide.
+CUT_RATE, WINDOW, LEAST = 48, 16, 64
 # Fixed value: the split of the vocabularies whose words can be encoded apart.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SPACE = re.compile(rb"[ \t\n\r]+")
-#: Between a word and one mark at its end the tokenizer always parts; so the two are looked up apart.
-_PARTS = re.compile(rb"[ \t\n\r]+|(?<=[a-z0-9])(?=[.,;:!?](?:[ \t\n\r]|$))")
+#: Between a word and the marks at its end the tokenizer always parts; so the two are looked up apart. The apostrophe is
+#: no such mark, since the split reads on after it, nor is what special tokens are made of.
+_PARTS = re.compile(rb"[ \t\n\r]+|(?=[.,;:!?#$%&*]+(?:[ \t\n\r]|$))(?:(?<=[a-z0-9])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))")
+#: Letters that neither compose with one another nor change by what stands beside them.
+LETTERS = [chr(c) for c in (*range(65, 91), *range(97, 123), *range(192, 256)) if c not in (215, 247)]
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 class _Kept:
     """A bounded memo: entries of the last two generations."""
 
-    def __init__(self, most: int):
-        self.most, self.new, self.old = most, {}, {}
+    def __init__(self, most: int, longest: int):
+        self.most, self.longest, self.new, self.old = most, longest, {}, {}
 
     def get(self, key):
         found = self.new.get(key)
@@ -61,7 +69,7 @@ class _Kept:
         return found
 
     def put(self, key: bytes, value) -> None:
-        if len(key) > LONGEST:
+        if len(key) > self.longest:
             return
         if len(self.new) >= self.most:
             self.old, self.new = self.new, {}
@@ -73,7 +81,8 @@ def _apart(tokenizer) -> tuple[bool, bool]:
 
     They can if no step moves text across white space: normalizers that work within a word
     or on white space itself, a split that keeps the matches of a pattern that white space
-    cannot match, and plain BPE with neither prefix, post-processor nor decoder.
+    cannot match, and plain BPE with neither prefix, post-processor nor decoder; added
+    tokens must be of the form <|name|>, which no run of letters or of marks holds.
     """
     if tokenizer.normalizer is None or tokenizer.pre_tokenizer is None or type(tokenizer.model).__name__ != "BPE":
         return False, False
@@ -86,7 +95,8 @@ def _apart(tokenizer) -> tuple[bool, bool]:
         return False, False
     simple = not tokenizer.model.dropout and tokenizer.post_processor is None and tokenizer.decoder is None
     added = tokenizer.get_added_tokens_decoder().values()
-    return simple and not any(t.lstrip or t.rstrip for t in added), any(x["type"] == "Lowercase" for x in normal)
+    marked = all(re.fullmatch(r"<\|\w+\|>", t.content) and not t.lstrip and not t.rstrip for t in added)
+    return simple and marked, any(x["type"] == "Lowercase" for x in normal)
 
 
 class Codec:
@@ -103,13 +113,20 @@ class Codec:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words, self.chunks = _Kept(KEPT_WORDS), _Kept(KEPT_CHUNKS)
+        self.forget()
         self.apart, self.caseless = _apart(self.tokenizer)
+        if self.apart:
+            self.model = self.tokenizer.model
+            known = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.names, self.digits = [""] * (max(known.values()) + 1), list(map(str, range(max(known.values()) + 1)))
+            for name, i in known.items():
+                self.names[i] = name
+            self.letters = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(c))[0][0] for c in LETTERS}
         self.met = self.reused = self.joins = self.disagreed = 0
 
     def forget(self) -> None:
         """Give up what was kept: the worker outlives the task."""
-        self.words, self.chunks = _Kept(KEPT_WORDS), _Kept(KEPT_CHUNKS)
+        self.words, self.chunks = _Kept(KEPT_WORDS, LONGEST_WORD), _Kept(KEPT_CHUNKS, LONGEST_CHUNK)
 
     def whole(self, text: str) -> tuple[int, str, str]:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -117,18 +134,28 @@ class Codec:
 
     def encode_words(self, words: list[bytes]) -> list[tuple[int, str, str]]:
         found = list(map(self.words.new.get, words))
-        if None in found:
-            fresh, unknown = {}, []
-            for w, f in zip(words, found, strict=True):
-                if f is None and w not in fresh:
-                    fresh[w] = piece = self.words.get(w)
-                    if piece is None:
-                        unknown.append(w)
-            for w, e in zip(unknown, self.tokenizer.encode_batch_fast([w.decode() for w in unknown], add_special_tokens=False), strict=True):
+        if None not in found:
+            return found
+        other: dict[bytes, list[int]] = {}
+        for at in [i for i, f in enumerate(found) if f is None]:
+            w = words[at]
+            piece = self.words.get(w)
+            if piece is None:
+                text = w.decode()
+                if len(w) > LONGEST_WORD or not _LETTERS.fullmatch(text):
+                    other.setdefault(w, []).append(at)
+                    continue
+                ids = [t.id for t in self.model.tokenize(text.translate(self.letters))]
+                piece = (len(ids), " ".join([self.digits[i] for i in ids]), " ".join([self.names[i] for i in ids]))
+                self.words.put(w, piece)
+            found[at] = piece
+        if other:
+            for (w, places), e in zip(other.items(), self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False), strict=True):
                 ids = e.ids
-                fresh[w] = piece = (len(ids), " ".join(map(str, ids)), self.tokenizer.decode(ids, skip_special_tokens=False))
+                piece = (len(ids), " ".join(map(str, ids)), self.tokenizer.decode(ids, skip_special_tokens=False))
                 self.words.put(w, piece)
-            found = [fresh[w] if f is None else f for w, f in zip(words, found, strict=True)]
+                for at in places:
+                    found[at] = piece
         return found
 
     @staticmethod
@@ -140,74 +167,71 @@ class Codec:
             return Codec.joined([p for p in pieces if p[0]])
         return sum(n), " ".join(ids), " ".join(texts)
 
-    def chunk(self, raw: bytes) -> tuple:
-        """(open head, finished middle, open tail, first and last word of the middle); without
-        white space all is head and the middle None."""
+    def chunk(self, raw: bytes) -> tuple[tuple[int, str, str], bytes, bytes]:
+        """(piece, first and last word) of a chunk."""
         self.met += 1
         found = self.chunks.get(raw)
         if found is None:
-            words = _ends(raw)
-            found = (raw, None, b"", b"", b"")
-            if len(words) > 1:
-                inner = [w for w in _PARTS.split(raw[len(words[0]) : len(raw) - len(words[-1])]) if w]
-                found = (words[0], self.joined(self.encode_words(inner)), words[-1], *((inner[0], inner[-1]) if inner else (b"", b"")))
+            words = [w for w in _PARTS.split(raw) if w]
+            found = (self.joined(self.encode_words(words)), words[0], words[-1]) if words else ((0, "", ""), b"", b"")
             self.chunks.put(raw, found)
         else:
             self.reused += 1
         return found
 
-    def agree(self, joins: list[tuple[bytes, bytes, bytes]]) -> bool:
-        """Do the joins (word before, what straddles the cut, word after) encode and decode to what their parts do?"""
+    def agree(self, joins: list[tuple[bytes, ...]]) -> bool:
+        """Do all joins (words around a cut) encode and decode to what their parts do?"""
+        return not self.apart_from(joins)
+
+    def apart_from(self, joins: list[tuple[bytes, ...]]) -> list[int]:
+        """The numbers of the joins that do not encode and decode to what their parts do."""
         spans = [b" ".join(w for w in j if w).decode() for j in joins]
         self.joins += len(joins)
-        for join, e in zip(joins, self.tokenizer.encode_batch_fast(spans, add_special_tokens=False), strict=True):
+        wrong = []
+        for k, (join, e) in enumerate(zip(joins, self.tokenizer.encode_batch_fast(spans, add_special_tokens=False), strict=True)):
             ids = e.ids
             n, own, text = self.joined(self.encode_words([w for w in join if w]))
             if len(ids) != n or " ".join(map(str, ids)) != own or self.tokenizer.decode(ids, skip_special_tokens=False) != text:
-                self.disagreed += 1
-                return False
-        return True
+                wrong.append(k)
+        self.disagreed += len(wrong)
+        return wrong
 
-    def encode(self, raw: bytes, cuts: list[int]) -> tuple[int, str, str]:
-        """One text, cut at the given places."""
+    def encode(self, texts: list[bytes], cuts: list[list[int]]) -> Iterator[tuple[int, str, str]]:
+        """Texts, each cut at the given places; all joins are tested in one batch before any is given."""
         if not self.apart:
-            return self.whole(raw.decode())
-        pieces, joins, open_, before = [], [], b"", b""
-        for a, b in zip([0, *cuts], [*cuts, len(raw)], strict=True):
-            head, middle, tail, first, last = self.chunk(raw[a:b])
-            open_ += head
-            if middle is not None:
-                if open_:
-                    pieces += self.encode_words([open_])
-                    if a:
-                        joins.append((before, open_, first))
-                pieces.append(middle)
-                open_, before = tail, last
-        if open_:
-            pieces += self.encode_words([open_])
-            if cuts:
-                joins.append((before, open_, b""))
-        if joins and not self.agree(joins):
-            return self.whole(raw.decode())
-        return self.joined(pieces)
-
-
-def _ends(raw: bytes) -> tuple[bytes, ...]:
-    """(what stands before the first white space, what stands after the last), or the whole alone."""
-    first = _SPACE.search(raw)
-    if first is None:
-        return (raw,)
-    return raw[: first.start()], raw[max(raw.rfind(c) for c in (b" ", b"\t", b"\n", b"\r")) + 1 :]
+            yield from (self.whole(raw.decode()) for raw in texts)
+            return
+        made, joins, of = [], [], []
+        for d, (raw, places) in enumerate(zip(texts, cuts, strict=True)):
+            pieces, before = [], b""
+            for a, b in zip([0, *places], [*places, len(raw)], strict=True):
+                piece, first, last = self.chunk(raw[a:b])
+                pieces.append(piece)
+                if before and first:
+                    joins.append((before, first))
+                    of.append(d)
+                before = last or before
+            made.append(pieces)
+        anew = {of[k] for k in self.apart_from(joins)} if joins else set()
+        for d, pieces in enumerate(made):
+            yield self.whole(texts[d].decode()) if d in anew else self.joined(pieces)
 
 
 def cut_places(data: np.ndarray) -> np.ndarray:
-    """Where the hash of the last WINDOW bytes says to cut, never inside a character."""
-    if len(data) <= WINDOW:
-        return np.zeros(0, np.int64)
-    prefix = prefix_hash(data)
-    at = np.arange(WINDOW, len(data))
-    rolling = (prefix[WINDOW:-1] - prefix[: -WINDOW - 1]) * powers(len(prefix), inverse=True)[: len(at)]
-    return at[((mix64(rolling) >> U(40)) % U(CUT_RATE) == 0) & ((data[WINDOW:] & 0xC0) != 0x80)]
+    """White space where the hash of the WINDOW bytes before it says to cut."""
+    at = np.flatnonzero(_spaces()[data])
+    at = at[at >= WINDOW]
+    if not len(at):
+        return at
+    eight = np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data), strides=(1,))  # the eight bytes from each place
+    return at[(mix64(eight[at - 8] ^ mix64(eight[at - WINDOW])) >> U(40)) % U(CUT_RATE) == 0]
+
+
+@lru_cache(maxsize=1)
+def _spaces() -> np.ndarray:
+    table = np.zeros(256, dtype=bool)
+    table[list(b" \t\n\r")] = True
+    return table
 
 
 _CODECS: dict[str, Codec] = {}
@@ -225,18 +249,22 @@ def _encoded(codec: Codec, column: pa.Array) -> Iterator[tuple[int, str, str]]:
         own = data[offsets[a] : offsets[b]]
         cuts = cut_places(own)
         raw = own.tobytes()
+        texts, places = [], []
         for d in range(a, b):
             start, end = int(offsets[d] - offsets[a]), int(offsets[d + 1] - offsets[a])
             text = raw[start:end]
-            # The tokenizer ignores case, but for the names of its special tokens; beyond ASCII, letters compose first.
-            text = text.lower() if codec.caseless and b"<|" not in text and text.isascii() else text
+            # The tokenizer ignores case, but for the names of its special tokens. It composes before it lowers, and letters
+            # of ASCII compose with U+0300 to U+036F alone.
+            plain = codec.caseless and b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text
+            texts.append(text.lower() if plain else text)
             i, j = np.searchsorted(cuts, (start + LEAST, end))
-            places, last = [], start
+            places.append([])
+            last = start
             for c in cuts[i:j].tolist():
                 if c - last >= LEAST:
-                    places.append(c - start)
+                    places[-1].append(c - start)
                     last = c
-            yield codec.encode(text, places)
+        yield from codec.encode(texts, places)
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -376,6 +377,43 @@ def test_bpe_composes_before_lowering_and_checks_its_joins(spark, tmp_path):
     assert [q.ids for q in bpe.encode(rows_of(spark, [(1, texts[-1], "a")]), str(tmp_path / "other.json")).collect()] == [t.encode(texts[-1], add_special_tokens=False).ids]
 
 
+def _library():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
+def test_bpe_sends_words_of_letters_to_the_model_alone():
+    t, r = _library(), random.Random(15)
+
+    class Counting:
+        def __init__(self):
+            self.texts = []
+
+        def __getattr__(self, name):
+            return getattr(t, name)
+
+        def encode_batch_fast(self, texts, **kind):
+            self.texts += texts
+            return t.encode_batch_fast(texts, **kind)
+
+    plain = [" ".join("".join(r.choice("ANOnosteéÉß") for _ in range(r.randint(1, 12))) + r.choice(["", "", ",", ".!!", "$$$"]) for _ in range(300)) for _ in range(20)]
+    awkward = ["".join("".join(r.choice(["a", "Q", "é", "'", "'s", "don't", "’", ".", "!", "7", "²", "ª", "\u030c", "\u0331", "K", "İ", "ς", "Σ", "\xa0", "\x0b", "<|endoftext|>", "|>", "<|"]) for _ in range(r.randint(1, 6))) + r.choice([" ", "\n", "  "]) for _ in range(60)) for _ in range(300)]
+    codec = bpe.Codec(public_tokenizers.path("word_bpe_49k.json"))
+    for texts in (plain, awkward):
+        codec.tokenizer, codec.joins = Counting(), 0
+        got = list(bpe._encoded(codec, pa.array(texts)))
+        for x, g in zip(texts, got, strict=True):
+            ids = t.encode(x, add_special_tokens=False).ids
+            assert g == (len(ids), " ".join(map(str, ids)), t.decode(ids, skip_special_tokens=False)), x
+        if texts is plain:
+            alone = [x for x in codec.tokenizer.texts if " " not in x]
+            assert codec.joins > 50 and not any(map(str.isalpha, alone)) and len(alone) < 10
+
+
 def test_pipeline_against_brute_force(spark):
     from tokenizers import Tokenizer
 
