@@ -414,6 +414,24 @@ def test_bpe_sends_words_of_letters_to_the_model_alone():
             assert codec.joins > 50 and not any(map(str.isalpha, alone)) and len(alone) < 10
 
 
+def test_bpe_keeps_little_in_a_worker():
+    import tracemalloc
+
+    r = random.Random(16)
+    codec = bpe.Codec(public_tokenizers.path("word_bpe_49k.json"))
+    prose = pa.array([" ".join("".join(r.choice("enostaré") for _ in range(9)) for _ in range(1000)) for _ in range(200)])
+    long = pa.array([" ".join("".join(r.choice("enostaré") for _ in range(700)) for _ in range(20)) for _ in range(200)])
+    tracemalloc.start()
+    try:
+        for texts, most in ((prose, 60e6), (long, 40e6)):
+            tracemalloc.reset_peak()
+            assert sum(n > 0 for n, _, _ in bpe._encoded(codec, texts)) == 200
+            codec.forget()
+            assert tracemalloc.get_traced_memory()[1] < most
+    finally:
+        tracemalloc.stop()
+
+
 def test_pipeline_against_brute_force(spark):
     from tokenizers import Tokenizer
 
