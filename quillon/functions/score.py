@@ -22,6 +22,16 @@ def clamp(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """To so many decimals as SQL engines with binary numbers do: the scaled number to the nearest whole one, halves away from zero.
+
+    ``round`` goes by the decimal that a number is printed as, so 0.37944740849999997 is below the half for it; scaled by
+    10^9 it is the half itself.
+    """
+    scale = F.lit(10.0**digits)
+    return F.round(c * scale) / scale
+
+
 def hourly_usd(low: Column, high: Column, currency: Column, period: Column) -> Column:
     """Midpoint in dollars an hour; null if absent or not comparable."""
     middle = F.coalesce((low + high) / 2, low)

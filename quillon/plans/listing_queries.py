@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillon.functions import score as S
 from quillon.functions import shown
 from quillon.operators import events as E
 from quillon.operators import listing as L
@@ -134,7 +135,7 @@ for _name in _AXIS:
 @query(f"""WITH {A.POSTINGS}, {A.SIGHTINGS}, {A.SIGNALS}, {A.SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY company_key, title, coalesce(location, '') ORDER BY round(composite, 9) DESC, posting_id) AS n FROM scored WHERE expired_at IS NULL)
 SELECT company_key, title, coalesce(location, '') AS place, min(posting_id) FILTER (WHERE n = 1) AS posting_id, count(*) - 1 AS n_other, coalesce(string_agg(CAST(posting_id AS VARCHAR), ',' ORDER BY n) FILTER (WHERE n > 1), '') AS other_openings FROM r GROUP BY 1, 2, 3""")
 def er5_fold_openings(spark, sf):
-    rows = L.ranked(_scored(spark, sf), "composite", A.NOW_POSTINGS).withColumns({"place": F.coalesce("location", F.lit("")), "value": F.round("value", 9)})
+    rows = L.ranked(_scored(spark, sf), "composite", A.NOW_POSTINGS).withColumns({"place": F.coalesce("location", F.lit("")), "value": S.rounded(F.col("value"), 9)})
     folded = L.fold_openings(rows, ["company_key", "title", "place"])
     return folded.select("company_key", "title", "place", "posting_id", F.size("other_openings").cast("long").alias("n_other"), F.array_join(F.transform("other_openings", lambda x: x.cast("string")), ",").alias("other_openings"))
 
