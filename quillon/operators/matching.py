@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.fuzzy import similarity, suggestion_score
 from quillon.functions.text import phrase
+from quillon.session import materialize
 
 
 def by_identity(rows: DataFrame, targets: DataFrame, keys: list[str], row_id: str, target_id: str) -> DataFrame:
@@ -68,12 +69,40 @@ def _in_key(length: int, least: float) -> int:
     return max([n for n in range(1, min(IN_KEY, shared) + 1) if math.comb(length - shared + n, n) <= KEYS], default=1)
 
 
-def _letter_keys(rank: dict[str, int], least: float, probe: bool):
+def _edits(length, least: float):
+    """Edits that strings may be apart if the longer has this length; a number or a column."""
+    if isinstance(length, Column):
+        return F.floor((1 - least) * length + _SLACK).cast("int")
+    return math.floor((1 - least) * length + _SLACK)
+
+
+def _one_edit_length(least: float) -> float:
+    """The greatest length up to which similar strings are one edit apart at most."""
+    if 1 - least <= _SLACK:
+        return math.inf
+    n = int(2 / (1 - least)) + 1
+    while _edits(n, least) > 1:
+        n -= 1
+    return n
+
+
+def _one_less(strings: DataFrame, least: float) -> DataFrame:
+    """(t, key): a string and each string that is one letter less, where that many edits are allowed, as 64-bit hashes.
+
+    Strings one edit apart, or with two neighbours swapped, share one of these, and hardly any other strings do.
+    """
+    n = F.length("t")
+    made = F.transform(F.sequence(F.when(_edits(n, least) >= 1, 0).otherwise(n), n), lambda i: F.xxhash64(F.concat(F.substr("t", F.lit(1), i), F.substr("t", i + 2))))
+    return strings.filter(_edits(n + 1, least) >= 1).select("t", F.explode(F.array_distinct(made)).alias("key"))
+
+
+def _letter_keys(rank: dict[str, int], least: float, probe: bool, above: float = 0, others: set[int] | None = None):
     """Keys of strings: sets of their rarest letters, one of which two similar strings share.
 
     Of two strings that share s letters (repeated ones numbered), the first length - s + n in any one order have n in
     common. So the n-letter subsets of these are keys. An indexed string has keys of its own length; a probe has keys
-    for each length that a similar string can have.
+    for each length that a similar string can have. Only pairs of which the longer string is longer than ``above`` are
+    sought, and partners of the lengths ``others``, if told.
     """
 
     def keys(text: str) -> set[str]:
@@ -84,9 +113,9 @@ def _letter_keys(rank: dict[str, int], least: float, probe: bool):
             letters.append((rank.get(c, -1), c, seen[c]))
         letters = [f"{c}{n}" for _, c, n in sorted(letters)]
         n = len(letters)
-        lengths = range(_shared_at_least(n, least), int((n + _SLACK) / least) + 1) if probe else [n]
+        lengths = [x for x in range(_shared_at_least(n, least), int((n + _SLACK) / least) + 1) if max(n, x) > above and (others is None or x in others)]
         out = set()
-        for other in lengths:
+        for other in lengths if probe else [n] if lengths else []:
             shared, size = _shared_at_least(max(n, other), least), _in_key(other, least)
             out.update(f"{other} {''.join(x)}" for x in combinations(letters[: n - shared + size], size))
         return out
@@ -103,23 +132,35 @@ def _letter_keys(rank: dict[str, int], least: float, probe: bool):
 def fuzzy_companies(rows: DataFrame, row_key: str, known: DataFrame, known_key: str, least: float = 0.9) -> DataFrame:
     """(row_key, known_key, score) of all pairs with an edit similarity of ``least`` (above 0) or more; equal keys score 1.
 
-    Strings meet under keys of rare letters, which follow from ``least`` and miss no pair; what meets is tested
-    by length and by a plain edit distance first, then by the similarity itself.
+    Equal strings meet by themselves, and those so short that one edit is the most under what is left of them without
+    a letter. Longer ones meet under keys of rare letters. All keys follow from ``least`` and miss no pair; what meets
+    is tested by length and by a plain edit distance first, then by the similarity itself.
     """
     if not 0 < least <= 1:
         raise ValueError("least must be above 0 and at most 1")
     a = rows.select(F.col(row_key).alias("t")).filter("t IS NOT NULL AND t <> ''").distinct()
     b = known.select(F.col(known_key).alias("t")).filter("t IS NOT NULL AND t <> ''").distinct()
-    letters = b.select(F.explode(F.split("t", "")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "c").limit(LETTERS)
-    rank = {r.c: i for i, r in enumerate(reversed(letters.collect()))}  # rare letters first, unknown ones before all
-    left = a.mapInPandas(_letter_keys(rank, least, True), "t string, key string").withColumnRenamed("t", "_a")
-    right = b.mapInPandas(_letter_keys(rank, least, False), "t string, key string").withColumnRenamed("t", "_b")
-    pairs = left.join(right, "key").select("_a", "_b").distinct()
+    equal = a.join(b, "t").select(F.col("t").alias("_a"), F.col("t").alias("_b"), F.lit(1.0).alias("score"))
+    near = _one_edit_length(least)
+    short = F.length("t") <= near
+    left, right = (_one_less(x.filter(short) if near < math.inf else x, least) for x in (a, b))
+    pairs = left.withColumnRenamed("t", "_a").join(right.withColumnRenamed("t", "_b"), "key").filter("_a <> _b").select("_a", "_b")
+    sizes = rows.select(F.length(row_key).alias("n"), F.lit(True).alias("probe")).distinct().union(known.select(F.length(known_key), F.lit(False)).distinct())
+    sizes = [r for r in sizes.filter("n > 0").collect()]
+    by_rows, by_known = ({r.n for r in sizes if r.probe == side} for side in (True, False))
+    if any(max(x, y) > near and min(x, y) >= _shared_at_least(max(x, y), least) for x in by_rows for y in by_known):
+        letters = b.select(F.explode(F.split("t", "")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "c").limit(LETTERS)
+        rank = {r.c: i for i, r in enumerate(reversed(letters.collect()))}  # rare letters first, unknown ones before all
+        left = a.mapInPandas(_letter_keys(rank, least, True, near, by_known), "t string, key string").withColumnRenamed("t", "_a")
+        right = b.mapInPandas(_letter_keys(rank, least, False, near, by_rows), "t string, key string").withColumnRenamed("t", "_b")
+        pairs = pairs.union(left.join(right, "key").filter("_a <> _b").select("_a", "_b"))
     longer = F.greatest(F.length("_a"), F.length("_b"))
-    edits = F.floor((1 - least) * longer + _SLACK).cast("int")  # a swap is two edits where swaps are not known
-    close = pairs.filter((longer - F.least(F.length("_a"), F.length("_b")) <= edits) & (F.levenshtein("_a", "_b") <= 2 * edits))
-    scored = close.withColumn("score", F.when(F.col("_a") == F.col("_b"), F.lit(1.0)).otherwise(similarity(F.col("_a"), F.col("_b"))))
-    return scored.filter(F.col("score") >= least).toDF(row_key, known_key, "score")
+    edits = _edits(longer, least)
+    close = pairs.distinct().filter(longer - F.least(F.length("_a"), F.length("_b")) <= edits).withColumn("_plain", F.levenshtein("_a", "_b"))
+    close = close.filter(F.col("_plain") <= 2 * edits)  # a swap is two edits where swaps are not known
+    swapped = lambda c: F.when(F.col("_plain") > 1, F.col(c))  # noqa: E731  one plain edit is one in any case
+    scored = close.withColumn("score", F.when(F.col("_plain") == 1, 1 - 1 / longer).otherwise(similarity(swapped("_a"), swapped("_b"))))
+    return scored.select("_a", "_b", "score").filter(F.col("score") >= least).union(equal).toDF(row_key, known_key, "score")
 
 
 def sole_best(scored: DataFrame, row: str, score: str, target: str) -> DataFrame:
@@ -177,16 +218,24 @@ def match_applications(mail: DataFrame, apps: DataFrame, least: float = 0.9) ->
     then an application without a role (1). Mail without a role matches a sole candidate only (0). Two
     applications of the best fit are none. ``mail``: id, company_key, role_key; ``apps``: id, company_key, role_key.
     """
-    near = fuzzy_companies(mail.withColumnRenamed("company_key", "_m"), "_m", apps.withColumnRenamed("company_key", "_k"), "_k", least)
+    asked = mail.select(F.col("company_key").alias("_m"), F.col("role_key").alias("_asked")).distinct()
+    asked = materialize(asked, "asked")  # what decides; mail repeats it
+    near = fuzzy_companies(asked, "_m", apps.withColumnRenamed("company_key", "_k"), "_k", least)
     a = apps.select(F.col("id").alias("app_id"), F.col("company_key").alias("_k"), F.col("role_key").alias("_role"))
-    pairs = mail.join(near, F.col("company_key") == F.col("_m")).join(a, "_k")
-    role, own = F.col("role_key"), F.col("_role")
+    pairs = near.select("_m", "_k").join(a, "_k").join(asked, "_m")
+    role, own = F.col("_asked"), F.col("_role")
     short = F.least(F.size(F.split(role, " ")), F.size(F.split(own, " ")))
     begins = (short >= 3) & (F.startswith(own, F.concat(role, F.lit(" "))) | F.startswith(role, F.concat(own, F.lit(" "))))
     fit = F.when(role == "", 0).when(role == own, 3).when((own != "") & begins, 2).when(own == "", 1)
-    best = pairs.withColumn("fit", fit).filter("fit IS NOT NULL").groupBy("id", "fit").agg(F.count_distinct("app_id").alias("n"), F.min("app_id").alias("app_id"))
-    top = best.groupBy("id").agg(F.max(F.struct("fit", "n", "app_id")).alias("b")).select("id", "b.*")
-    return top.filter("n = 1").select("id", "app_id", "fit")
+
+    def top(rows: DataFrame, *by: str) -> DataFrame:
+        """The best fit, with the least and the greatest application of it."""
+        first = F.min(F.struct(-F.col("fit"), F.isnull("lo"), F.col("lo").alias("lo"))).alias("_first")
+        return rows.groupBy(*by).agg(first, F.max(F.struct("fit", "hi")).alias("_last")).select(*by, "_last.fit", "_first.lo", "_last.hi")
+
+    best = top(pairs.select("_m", "_asked", fit.alias("fit"), F.col("app_id").alias("lo"), F.col("app_id").alias("hi")).filter("fit IS NOT NULL"), "_m", "_asked")
+    hits = mail.join(best, (F.col("company_key") == F.col("_m")) & F.col("role_key").eqNullSafe(F.col("_asked")))
+    return top(hits.select("id", "fit", "lo", "hi"), "id").filter("lo = hi").select("id", F.col("lo").alias("app_id"), "fit")
 
 
 def search(rows: DataFrame, columns: list[str], query: str) -> DataFrame:
