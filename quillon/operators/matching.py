@@ -144,7 +144,8 @@ def fuzzy_companies(rows: DataFrame, row_key: str, known: DataFrame, known_key:
     near = _one_edit_length(least)
     short = F.length("t") <= near
     left, right = (_one_less(x.filter(short) if near < math.inf else x, least) for x in (a, b))
-    pairs = left.withColumnRenamed("t", "_a").join(right.withColumnRenamed("t", "_b"), "key").filter("_a <> _b").select("_a", "_b")
+    # keys are many times the strings, which Spark's estimates don't see: no side is broadcast
+    pairs = left.withColumnRenamed("t", "_a").join(right.withColumnRenamed("t", "_b").hint("merge"), "key").filter("_a <> _b").select("_a", "_b")
     sizes = rows.select(F.length(row_key).alias("n"), F.lit(True).alias("probe")).distinct().union(known.select(F.length(known_key), F.lit(False)).distinct())
     sizes = [r for r in sizes.filter("n > 0").collect()]
     by_rows, by_known = ({r.n for r in sizes if r.probe == side} for side in (True, False))
@@ -153,7 +154,7 @@ def fuzzy_companies(rows: DataFrame, row_key: str, known: DataFrame, known_key:
         rank = {r.c: i for i, r in enumerate(reversed(letters.collect()))}  # rare letters first, unknown ones before all
         left = a.mapInPandas(_letter_keys(rank, least, True, near, by_known), "t string, key string").withColumnRenamed("t", "_a")
         right = b.mapInPandas(_letter_keys(rank, least, False, near, by_rows), "t string, key string").withColumnRenamed("t", "_b")
-        pairs = pairs.union(left.join(right, "key").filter("_a <> _b").select("_a", "_b"))
+        pairs = pairs.union(left.join(right.hint("merge"), "key").filter("_a <> _b").select("_a", "_b"))
     longer = F.greatest(F.length("_a"), F.length("_b"))
     edits = _edits(longer, least)
     close = pairs.distinct().filter(longer - F.least(F.length("_a"), F.length("_b")) <= edits).withColumn("_plain", F.levenshtein("_a", "_b"))

@@ -66,3 +66,12 @@ def test_mail_against_a_plain_loop(spark):
     got = [tuple(x) for x in found.select("id", "app_id", F.col("fit").cast("int")).collect()]
     want = plain_match(mail, apps, 0.9)
     assert sorted(got) == sorted(want) and len({w[2] for w in want}) == 4
+
+
+@pytest.mark.parametrize("least", [0.5, 0.9])
+def test_keys_are_not_broadcast(spark, capsys, least):
+    """Keys are many times the strings, so that a small table of strings may be a large one of keys."""
+    names = spark.createDataFrame([(f,) for f in FIRMS[:20]], "k string")
+    matching.fuzzy_companies(names.toDF("m"), "m", names, "k", least).explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin [key#" in plan and "BroadcastHashJoin [key#" not in plan
