@@ -19,13 +19,16 @@ from quillon.session import materialize
 def by_identity(rows: DataFrame, targets: DataFrame, keys: list[str], row_id: str, target_id: str) -> DataFrame:
     """First hit over several keys in order of trust: one equi-join per key, never an OR join.
 
-    ``rows`` and ``targets`` hold the key columns; null keys match nothing.
+    ``rows`` and ``targets`` hold the key columns; null keys match nothing. Of a key's targets the least is what can be
+    hit, so a row meets one target a key, however many share it.
     """
-    found = None
+    found = rows.select(row_id, *keys)
     for i, key in enumerate(keys):
-        hit = rows.select(row_id, key).join(targets.select(target_id, key), key).select(row_id, target_id, F.lit(i).alias("nth_key"))
-        found = hit if found is None else found.unionByName(hit)
-    return found.groupBy(row_id).agg(F.min(F.struct("nth_key", target_id)).alias("m")).select(row_id, f"m.{target_id}", "m.nth_key")
+        least = targets.groupBy(F.col(key).alias(f"_key{i}")).agg(F.min(target_id).alias(f"_least{i}"))
+        found = found.join(least, F.col(key) == F.col(f"_key{i}"), "left")
+    hits = [F.when(F.col(f"_key{i}").isNotNull(), F.struct(F.lit(i).alias("nth_key"), F.col(f"_least{i}").alias(target_id))) for i in range(len(keys))]
+    hit = found.select(row_id, F.coalesce(*hits).alias("m")).filter("m IS NOT NULL")
+    return hit.groupBy(row_id).agg(F.min("m").alias("m")).select(row_id, f"m.{target_id}", "m.nth_key")
 
 
 #: So many names at most are broadcast; more are joined by a shuffle of both sides.
