@@ -105,7 +105,7 @@ def tx19_guess(spark, sf):
     names = names.union(part.select(F.explode(F.split("name", " ")))).union(spark.createDataFrame([("reply",), ("no",)], "name string"))
     orders = table(spark, sf, "orders").select("o_orderkey", F.expr(_GUESS_SENDER).alias("sender"), F.expr(_GUESS_SUBJECT).alias("subject"), F.expr(_GUESS_BODY).alias("body"))
     mail = orders.withColumn("mail", C.mail(F.col("sender"), F.col("subject"), F.col("body")))
-    mail = mail.withColumn("found", N.Finder(spark, names).found(F.col("mail.sender"), F.col("mail.headline"), F.col("mail.text")))
+    mail = N.Finder(spark, names).find(mail, F.col("mail.sender"), F.col("mail.headline"), F.col("mail.text"))
     guess = N.company_guess(F.col("found"), F.col("sender"), F.col("subject"), C.ATS_DOMAINS, C.any_of(C.MACHINE_SENDER))
     return mail.select("o_orderkey", guess.alias("company_guess"), N.named_in(F.col("found")).alias("named_in"))
 
